@@ -117,8 +117,110 @@ SELECT event_id,
        WHEN event_id % 10 IN (1, 2) THEN [CAST(user_id AS VARCHAR), CAST(user_id + 1 AS VARCHAR)]
        WHEN event_id % 10 = 3 THEN [CAST(user_id AS VARCHAR), CAST(user_id AS VARCHAR)]
        ELSE [CAST(user_id AS VARCHAR)] END AS affected_users,
-  epoch_ms(ts) AS timestamp,
+  epoch_us(ts) // 1000 AS timestamp,
   {_session_sql("user_id || '|' || strftime(ts, '%Y-%m-%d')")} AS session_id,
   CASE WHEN event_id % 17 != 0 THEN '10.0.' || (user_id % 4) || '.' || (user_id % 250) END AS source_ip,
   CASE WHEN event_id % 5 = 0 THEN 'corr-' || event_id END AS correlation_id
 FROM events"""
+
+
+_IDS_SQL = f"list_sort(list_distinct(list_transform(affected_users, lambda u: {hmac_sql('u')})))"
+
+# Fan-out with payloads: chain_id, event_id, position, ts (s), payload_type, payload_json, idx.
+PAYLOADS_SQL = f"""
+access AS ({ACCESS_SQL}),
+prepared AS (
+  SELECT *, timestamp // 1000 AS ts,
+    {_IDS_SQL} AS ids,
+    '"source_ip":"' || coalesce(source_ip, 'unknown') || '"' AS ip_member
+  FROM access),
+fanned AS (
+  SELECT *, unnest(list_concat(['_deployment'], affected_users)) AS subject,
+    unnest(range(len(affected_users) + 1)) AS position
+  FROM prepared),
+payloads AS (
+  SELECT event_id, position, ts,
+    CASE WHEN subject = '_deployment' THEN subject ELSE {hmac_sql("subject")} END AS chain_id,
+    CASE WHEN subject = '_deployment' THEN 2 ELSE 1 END AS payload_type,
+    CASE WHEN subject = '_deployment' THEN
+      '{{"action":"' || action || '","actor_id":"' || admin_id || '","actor_type":"admin","category":"admin_access",'
+      || '"details":{{"affected_user_count":' || len(affected_users) || ',"query_fingerprint":"'
+      || query_fingerprint || '"}},"resource":"' || resource || '","scope":{{}},"session_id":"' || session_id
+      || '",' || ip_member || '}}'
+    ELSE
+      '{{"action":"' || action || '","actor_id":"' || admin_id || '","actor_label":"' || admin_id
+      || '","actor_type":"admin","affected_user_ids":["' || array_to_string(ids, '","') || '"],'
+      || CASE WHEN correlation_id IS NULL THEN '' ELSE '"correlation_id":"' || correlation_id || '",' END
+      || '"protocol":"' || protocol || '","query_fingerprint":"' || query_fingerprint || '","resource":"'
+      || resource || '","scope":{{"bytes":0,"rows":0}},"session_id":"' || session_id || '",' || ip_member || '}}'
+    END AS payload_json,
+    row_number() OVER (PARTITION BY subject ORDER BY event_id, position) - 1 AS idx
+  FROM fanned)"""
+
+_BUILT: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def shared_table(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A derived table several queries start from, written once per application and scale."""
+    from chainlake.session import materialize
+
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _BUILT:
+        _BUILT[key] = materialize(build(spark, sf_dir), name)
+    return _BUILT[key]
+
+
+def build_access_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chainlake.operators.chain import build_chains
+    from chainlake.operators.events import access_payloads
+
+    return build_chains(access_payloads(access_events(spark, sf_dir), SALT))
+
+
+def chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chains of all access events."""
+    return shared_table(spark, sf_dir, "chains", build_access_chains)
+
+
+def tamper_kind() -> Column:
+    return F.when(F.col("chain_id") == "_deployment", 1).otherwise(
+        F.conv(F.substring("chain_id", 1, 2), 16, 10).cast("int") % 7
+    )
+
+
+def tampered_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains with one kind of damage each, at the middle index, by chain id."""
+    entries = chains(spark, sf_dir)
+    counts = entries.groupBy("chain_id").agg(F.floor(F.count("*") / 2).alias("__m"))
+    rows = entries.join(counts, "chain_id").withColumn(
+        "__k", F.when(F.col("index") == F.col("__m"), tamper_kind()).otherwise(0)
+    )
+    rows = rows.filter("__k != 3").withColumns(
+        {
+            "payload_json": F.when(
+                F.col("__k") == 1, F.replace("payload_json", F.lit('"resource":"'), F.lit('"resource":"x'))
+            ).otherwise(F.col("payload_json")),
+            "prev_hash": F.when(F.col("__k") == 2, F.sha2("entry_hash", 256)).otherwise(F.col("prev_hash")),
+            "version": F.when(F.col("__k") == 4, 2).otherwise(F.col("version")),
+            "payload_type": F.when(F.col("__k") == 5, 9).otherwise(F.col("payload_type")),
+            "__copies": F.when(F.col("__k") == 6, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))),
+        }
+    )
+    return rows.select(*entries.columns, F.explode("__copies").alias("__c")).drop("__c")
+
+
+# Expected verdict per damaged chain, from entry counts alone.
+TAMPERED_SQL = f"""
+{PAYLOADS_SQL},
+sizes AS (SELECT chain_id, count(*) AS n, count(*) // 2 AS m,
+  CASE WHEN chain_id = '_deployment' THEN 1 ELSE CAST('0x' || substr(chain_id, 1, 2) AS INT) % 7 END AS k
+  FROM payloads GROUP BY chain_id),
+verdicts AS (
+  SELECT chain_id, k, n, m,
+    n + CASE WHEN k = 3 THEN -1 WHEN k = 6 THEN 1 ELSE 0 END AS entries,
+    CASE WHEN k = 0 OR (k = 3 AND m = n - 1) THEN NULL
+         WHEN k = 1 THEN 'tampered_entry' WHEN k = 2 AND m = 0 THEN 'invalid_first'
+         WHEN k = 2 THEN 'broken_chain' WHEN k IN (3, 6) THEN 'index'
+         WHEN k = 4 THEN 'version' ELSE 'payload_type' END AS error,
+    CASE WHEN k = 0 THEN n WHEN k = 6 THEN m + 1 ELSE m END AS valid_prefix
+  FROM sizes WHERE NOT (k = 3 AND n = 1))"""
