@@ -69,7 +69,7 @@ def object_bucket(path: Column) -> Column:
 
 
 def object_key(path: Column) -> Column:
-    return F.regexp_extract(path, "^/*[^/]*/(.*)$", 1)
+    return F.regexp_extract(path, "^/*[^/]+/(.*)$", 1)
 
 
 def access_key(authorization: Column, query: Column) -> Column:

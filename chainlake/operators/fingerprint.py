@@ -92,7 +92,7 @@ def _restore(text: Column, pieces: Column) -> Column:
 
 
 def _items(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, _COMMA), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, _COMMA), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def analyze_queries(log: DataFrame, column: str = "statement") -> DataFrame:
@@ -259,7 +259,7 @@ def analyze_commands(log: DataFrame, column: str = "statement") -> DataFrame:
     )
 
     def member(obj: Column, name: Column) -> Column:
-        return F.get_json_object(obj, F.concat(F.lit("$['"), name, F.lit("']")))
+        return F.call_function("get_json_object", obj, F.concat(F.lit("$['"), name, F.lit("']")))
 
     def shown(value: Column) -> Column:
         items = F.from_json(value, "array<string>")

@@ -7,6 +7,7 @@ enter the plan as literals, so every resolver is a narrow projection.
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -150,23 +151,20 @@ def resolve_users_doc(
     ).drop("__pairs")
 
 
-def java_pattern(pattern: str) -> str:
-    """Named groups in the ``(?P<name>`` spelling become ``(?<name>``."""
-    return pattern.replace("(?P<", "(?<")
-
-
 def valid_patterns(patterns: list[tuple[str, str]]) -> list[tuple[str, str, int]]:
-    """(bucket, regex, number of the user_id group) of the patterns that compile."""
-    import re
+    """(bucket, regex, number of the user_id group) of the patterns that compile.
 
+    Java group names allow no underscore, so groups are addressed by number.
+    """
     out = []
     for bucket, pattern in patterns:
         try:
-            compiled = re.compile(pattern.replace("(?<user_id>", "(?P<user_id>"))
+            compiled = re.compile(re.sub(r"\(\?<(?=\w+>)", "(?P<", pattern))
         except re.error:
             continue
         if "user_id" in compiled.groupindex:
-            out.append((bucket, java_pattern(pattern), compiled.groupindex["user_id"]))
+            numbered = re.sub(r"\(\?P<\w+>", "(", compiled.pattern)
+            out.append((bucket, numbered, compiled.groupindex["user_id"]))
     return out
 
 

@@ -224,3 +224,182 @@ verdicts AS (
          WHEN k = 4 THEN 'version' ELSE 'payload_type' END AS error,
     CASE WHEN k = 0 THEN n WHEN k = 6 THEN m + 1 ELSE m END AS valid_prefix
   FROM sizes WHERE NOT (k = 3 AND n = 1))"""
+
+
+def caller_ip() -> Column:
+    return F.concat(F.lit("10.0."), F.col("user_id") % 4, F.lit("."), F.col("user_id") % 250)
+
+
+def caller_credential() -> Column:
+    return F.when(F.col("user_id") % 3 == 0, "app_user").otherwise(F.concat(F.lit("dba"), F.col("user_id") % 5))
+
+
+CALLER_SQL = """'10.0.' || (user_id % 4) || '.' || (user_id % 250) AS source_ip,
+  CASE WHEN user_id % 3 = 0 THEN 'app_user' ELSE 'dba' || (user_id % 5) END AS credential"""
+SESSION_SQL = _session_sql("user_id || '|' || strftime(ts, '%Y-%m-%d')")
+K_SQL = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
+
+
+def session_id() -> Column:
+    return _session(F.concat_ws("|", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")))
+
+
+def _format(template: str) -> Column:
+    """Template with {u}, {v} (= u + 1), {k} and {e} filled from an event row."""
+    text: Column = F.lit(template)
+    values = {
+        "{u}": F.col("user_id"),
+        "{v}": F.col("user_id") + 1,
+        "{k}": F.get_json_object("props", "$.k").cast("bigint"),
+        "{e}": F.col("event_id"),
+    }
+    for mark, value in values.items():
+        if mark in template:
+            text = F.replace(text, F.lit(mark), value.cast("string"))
+    return text
+
+
+def _format_sql(template: str) -> str:
+    text = "'" + template.replace("'", "''") + "'"
+    values = {"{u}": "user_id", "{v}": "user_id + 1", "{k}": K_SQL, "{e}": "event_id"}
+    for mark, value in values.items():
+        if mark in template:
+            text = f"replace({text}, '{mark}', CAST({value} AS VARCHAR))"
+    return text
+
+
+def by_action(values: dict[str, str]) -> Column:
+    out = None
+    for event_type, template in values.items():
+        cond = F.col("event_type") == event_type
+        out = F.when(cond, _format(template)) if out is None else out.when(cond, _format(template))
+    return out
+
+
+def by_action_sql(values: dict[str, str | None]) -> str:
+    return (
+        "CASE event_type "
+        + " ".join(
+            f"WHEN '{t}' THEN {'NULL' if v is None else _format_sql(v)}" for t, v in values.items()
+        )
+        + " END"
+    )
+
+
+STATEMENTS = {
+    "view": "SELECT name, u.email FROM users u WHERE u.id = {u} AND status = 'active'",
+    "click": "update orders SET note='it''s {k}', qty=-{k} WHERE user_id IN ({u},{v})  and region != 'x;y'",
+    "purchase": "SELECT o.id, count(*) AS n FROM public.orders o JOIN users AS u ON u.id = o.user_id "
+    "WHERE (o.user_id = {u} OR u.flag IS NOT NULL) AND paid = true GROUP BY o.id ORDER BY n LIMIT 10;",
+    "signup": "ALTER TABLE payments ADD COLUMN c{k} int",
+    "error": "DELETE FROM messages WHERE sender_id = '{u}' OR recipient_id >= {v} -- {k}",
+}
+BROKEN = "SELECT 'open FROM users WHERE id = {u}"
+UTILITY = "SHOW server_version"
+
+
+def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    statement = (
+        F.when(F.col("event_id") % 29 == 0, _format(BROKEN))
+        .when(F.col("event_id") % 23 == 0, UTILITY)
+        .otherwise(by_action(STATEMENTS))
+    )
+    return table(spark, sf_dir, "events").select(
+        "event_id",
+        event_ms().alias("ts_ms"),
+        caller_ip().alias("source_ip"),
+        caller_credential().alias("credential"),
+        F.lit("postgres").alias("protocol"),
+        session_id().alias("session_id"),
+        statement.alias("statement"),
+    )
+
+
+def log_case_sql(values: dict[str, str | None], broken: str = "NULL", utility: str = "NULL") -> str:
+    """Per-statement expectation: the template's, or what broken and utility statements give."""
+    return (
+        f"CASE WHEN event_id % 29 = 0 THEN {broken} WHEN event_id % 23 = 0 THEN {utility} "
+        f"ELSE {by_action_sql(values)} END"
+    )
+
+
+COMMANDS = {
+    "view": '{"find":"users","filter":{"_id":{u},"age":{"$gt":{k}}},"projection":{"name":1,"email":1}}',
+    "click": '{"update":"messages","filter":{"$or":[{"sender_id":{u}},{"recipient_id":{"$in":[{u},"{v}"]}}]},'
+    '"u":{"seen":true}}',
+    "purchase": '{"aggregate":"orders","pipeline":[{"$match":{"a":1}},{"$group":{"_id":"$b"}}],'
+    '"filter":{"user_id":"{u}","tags":[1,"b"]}}',
+    "signup": '{"createIndexes":"payments","indexes":[{"key":{"a":1}}]}',
+    "error": '{"delete":"messages","filter":{"sender_id":{"$eq":{u}},"note":null}}',
+}
+
+
+def command_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    statement = F.when(F.col("event_id") % 9 == 0, '{"ping":1}').otherwise(by_action(COMMANDS))
+    return table(spark, sf_dir, "events").select(
+        "event_id",
+        event_ms().alias("ts_ms"),
+        caller_ip().alias("source_ip"),
+        caller_credential().alias("credential"),
+        F.lit("mongodb").alias("protocol"),
+        session_id().alias("session_id"),
+        statement.alias("statement"),
+    )
+
+
+_METHODS = {"view": "GET", "click": "PUT", "purchase": "HEAD", "signup": "POST", "error": "DELETE"}
+
+
+def object_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    path = (
+        F.when(e % 19 == 0, "/uploads")
+        .when(e % 11 == 0, _format("/uploads/system/f{e}"))
+        .when(e % 7 == 0, _format("/media/{u}"))
+        .otherwise(_format("/uploads/users/{u}/f{e}.jpg"))
+    )
+    q = (
+        F.when(e % 13 == 0, "uploads=")
+        .when(
+            e % 5 == 0,
+            F.concat(F.lit("X-Amz-Algorithm=A&X-Amz-Credential=AK"), F.col("user_id") % 3, F.lit("%2F2024%2Fr")),
+        )
+        .otherwise("")
+    )
+    headers = F.map_filter(
+        F.create_map(
+            F.lit("x-forwarded-for"),
+            F.when(e % 2 == 0, F.concat(caller_ip(), F.lit(" , 1.1.1.1"))),
+            F.lit("x-real-ip"),
+            F.when(e % 3 == 0, F.lit("10.9.9.9")),
+            F.lit("authorization"),
+            F.when(
+                (e % 5).isin(1, 2),
+                F.concat(F.lit("AWS4-HMAC-SHA256 Credential=AK"), F.col("user_id") % 4, F.lit("/2024/r/s3")),
+            ),
+        ),
+        lambda k, v: v.isNotNull(),
+    )
+    return table(spark, sf_dir, "events").select(
+        "event_id",
+        event_ms().alias("ts_ms"),
+        by_action(_METHODS).alias("method"),
+        path.alias("path"),
+        q.alias("query"),
+        headers.alias("headers"),
+    )
+
+
+OBJECT_SQL = f"""
+SELECT event_id, user_id, epoch_us(ts) // 1000 AS ts_ms, {by_action_sql(_METHODS)} AS method,
+  CASE WHEN event_id % 19 = 0 OR event_id % 11 = 0 THEN 'uploads' WHEN event_id % 7 = 0 THEN 'media'
+       ELSE 'uploads' END AS bucket,
+  CASE WHEN event_id % 19 = 0 THEN '' WHEN event_id % 11 = 0 THEN 'system/f' || event_id
+       WHEN event_id % 7 = 0 THEN CAST(user_id AS VARCHAR)
+       ELSE 'users/' || user_id || '/f' || event_id || '.jpg' END AS key,
+  CASE WHEN event_id % 13 = 0 THEN 'uploads=' WHEN event_id % 5 = 0 THEN 'presigned' ELSE '' END AS q,
+  CASE WHEN event_id % 2 = 0 THEN '10.0.' || (user_id % 4) || '.' || (user_id % 250)
+       WHEN event_id % 3 = 0 THEN '10.9.9.9' ELSE '0.0.0.0' END AS source_ip,
+  CASE WHEN event_id % 5 IN (1, 2) THEN 'AK' || (user_id % 4)
+       WHEN event_id % 5 = 0 AND event_id % 13 != 0 THEN 'AK' || (user_id % 3) END AS credential
+FROM events"""
