@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["chains", "logs"]
+MODULES = ["chains", "events", "logs", "observer"]
 
 
 def load():
