@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["chains", "events", "logs", "observer", "operations", "replicas"]
+MODULES = ["chains", "events", "logs", "observer", "operations", "replicas", "streams"]
 
 
 def load():

@@ -15,6 +15,15 @@ SALT = "test-salt"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table; a ``stream:`` prefix on the folder reads it as a file stream."""
+    if sf_dir.startswith("stream:"):
+        folder = sf_dir.removeprefix("stream:")
+        schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
+        return (
+            spark.readStream.schema(schema)
+            .option("pathGlobFilter", f"{name}.parquet")
+            .parquet(folder)
+        )
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

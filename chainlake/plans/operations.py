@@ -208,18 +208,18 @@ def connections(spark, sf_dir):
 
 
 CONNECTIONS_SQL = f"SELECT event_id, {MS_SQL} // 16 AS ts_ms, {fx.CALLER_SQL} FROM events"
-_COUNT_SQL = f"""WITH c AS ({CONNECTIONS_SQL}), counted AS (
+COUNT_SQL = f"""WITH c AS ({CONNECTIONS_SQL}), counted AS (
   SELECT *, count(*) OVER (PARTITION BY source_ip ORDER BY ts_ms RANGE BETWEEN 59999 PRECEDING AND CURRENT ROW)
     - count(*) OVER (PARTITION BY source_ip, ts_ms)
     + row_number() OVER (PARTITION BY source_ip, ts_ms ORDER BY event_id) AS connections FROM c)"""
 
 
-@query("connection_count", f"{_COUNT_SQL} SELECT event_id, source_ip, connections FROM counted")
+@query("connection_count", f"{COUNT_SQL} SELECT event_id, source_ip, connections FROM counted")
 def connection_count(spark, sf_dir):
     return limits.connection_count(connections(spark, sf_dir)).select("event_id", "source_ip", "connections")
 
 
-@query("behaviour_anomaly", f"{_COUNT_SQL} SELECT event_id, source_ip FROM counted WHERE connections = 1")
+@query("behaviour_anomaly", f"{COUNT_SQL} SELECT event_id, source_ip FROM counted WHERE connections = 1")
 def behaviour_anomaly(spark, sf_dir):
     return limits.behaviour_anomaly(connections(spark, sf_dir)).select("event_id", "source_ip")
 
@@ -241,7 +241,10 @@ def token_sql(key: str, source: str = CONNECTIONS_SQL) -> str:
     SELECT event_id, allowed FROM b"""
 
 
-@query("token_bucket_ip", token_sql("source_ip"))
+SQL_TOKEN_IP = token_sql("source_ip")
+
+
+@query("token_bucket_ip", SQL_TOKEN_IP)
 def token_bucket_ip(spark, sf_dir):
     rows = limits.token_bucket(connections(spark, sf_dir), "source_ip", TOKEN_RATE, TOKEN_BURST)
     return rows.select("event_id", "allowed")
