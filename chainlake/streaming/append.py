@@ -144,16 +144,28 @@ def process2_tick(
     return _read(spark, path, _CURSORS).filter(F.col("tick_id") == tick_id)
 
 
+NO_DATA_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
 def run_to_table(stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream over what its source holds now and read what it wrote."""
+    """Run a stream over what its source holds now and read what it wrote.
+
+    Operators with processing-time timers ask for another batch for ever, so a bounded
+    run must not start batches without data.
+    """
     spark = stream.sparkSession
     out, checkpoint = new_path(spark, name), new_path(spark, f"{name}-checkpoint")
-    query = (
-        stream.writeStream.format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    before = spark.conf.get(NO_DATA_BATCHES)
+    spark.conf.set(NO_DATA_BATCHES, "false")
+    try:
+        query = (
+            stream.writeStream.format("parquet")
+            .option("path", out)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.set(NO_DATA_BATCHES, before)
     return spark.read.schema(stream.schema).parquet(out)
