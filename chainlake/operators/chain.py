@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chainlake.functions.crypto import is_hash_hex, row_entry_hash
-from chainlake.operators.fold import SEGMENT_ROWS, longest_key, ordered_fold
-from chainlake.operators.scan import BUCKET_ROWS, Running, bucket_of, running
+from chainlake.operators.fold import SEGMENT_ROWS, ordered_fold
+from chainlake.operators.scan import BUCKET_ROWS, Running, bucket_of, longest_key, running
 from chainlake.schemas import (
     CHAIN_ENTRY_COLUMNS,
     ENTRY_VERSION,
@@ -71,12 +71,15 @@ def build_chains(
         start = old.select(
             "chain_id", F.col("entry_count").cast("bigint").alias("index"), F.col("head").alias("__state")
         )
+    longest = longest_key(payloads, ["chain_id"])
     numbered = running(
         rows,
         ["chain_id"],
         order,
         bucket_of(F.col(order[0]), bucket_rows),
         {"__upto": Running("sum", F.col("__n"))},
+        longest,
+        bucket_rows,
     )
     numbered = numbered.filter(F.col(order[0]) >= 0).select(
         "chain_id",
@@ -95,7 +98,7 @@ def build_chains(
         ["index", "timestamp", "payload_type", "payload_json"],
         [T.StructField("prev_hash", T.StringType()), T.StructField("entry_hash", T.StringType())],
         start,
-        longest_key(payloads, "chain_id"),
+        longest,
         segment_rows,
     )
     return linked.select(*CHAIN_ENTRY_COLUMNS, *keep)

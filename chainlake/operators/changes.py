@@ -141,6 +141,7 @@ def attribute_actor(changes: DataFrame, by: str | None = None, bucket_rows: int
         ["seq"],
         bucket_of(F.col("seq"), bucket_rows),
         {"__actor": Running("last", F.col("marker_actor"))},
+        bucket_rows=bucket_rows,
     )
     return (
         out.filter("marker_actor IS NULL")

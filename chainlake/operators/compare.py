@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 
 from chainlake.functions.canon import canonical_object, canonicalize, is_plain
 from chainlake.operators.events import is_projectable, observed_members, parse_deployment
-from chainlake.operators.fold import longest_key, ordered_fold
-from chainlake.operators.scan import BUCKET_ROWS, Running, bucket_of, running
+from chainlake.operators.fold import ordered_fold
+from chainlake.operators.scan import BUCKET_ROWS, bucket_of, dense_ordinal, longest_key
 from chainlake.schemas import DEPLOYMENT_CHAIN, ZERO_HASH
 
 
@@ -117,10 +117,11 @@ def process2(
     projected = fields.filter(is_projectable()).select(
         "index", canonical_object(members).alias("prx_json")
     )
-    numbered = running(
-        projected, [], ["index"], bucket_of(F.col("index"), bucket_rows), {"n": Running("sum", F.lit(1))}
+    read = prx.agg(F.count("*")).first()[0]
+    numbered = dense_ordinal(
+        projected, [], ["index"], bucket_of(F.col("index"), bucket_rows), "ordinal", read, bucket_rows
     )
-    left = numbered.select((F.col("n") - 1).alias("ordinal"), F.col("index").alias("prx_index"), "prx_json")
+    left = numbered.select("ordinal", F.col("index").alias("prx_index"), "prx_json")
     canonical, bad = _canonical(F.col("payload_json"))
     right = obs.select(
         (F.col("index") - cursor_obs).alias("ordinal"),
@@ -225,7 +226,7 @@ def running_hash(payloads: DataFrame, key: str, index: str, canonical: str, **kw
         [canonical],
         [T.StructField("state", T.StringType())],
         None,
-        longest_key(payloads, key),
+        longest_key(payloads, [key]),
         **kwargs,
     )
     return states.groupBy(key).agg(

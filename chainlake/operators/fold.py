@@ -113,7 +113,3 @@ def ordered_fold(
         done.append(target)
     return spark.read.schema(out_schema).parquet(*done)
 
-
-def longest_key(df: DataFrame, key: str) -> int:
-    """Row count of the largest key; reads only the key column."""
-    return df.groupBy(key).count().agg(F.max("count")).first()[0] or 0

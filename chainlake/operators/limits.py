@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chainlake.operators.fold import SEGMENT_ROWS, longest_key, ordered_fold
-from chainlake.operators.scan import BUCKET_ROWS, Running, bucket_of, dense_ordinal, running
+from chainlake.operators.fold import SEGMENT_ROWS, ordered_fold
+from chainlake.operators.scan import BUCKET_ROWS, Running, bucket_of, dense_ordinal, longest_key, running
 
 ALERT_FAILURES = 3
 STUCK_MS = 300_000
@@ -31,6 +31,7 @@ def failure_streaks(
             "__island": Running("sum", F.when(F.col("ok"), 1).otherwise(0)),
             "__run": Running("sum", F.when(F.col("ok"), 0).otherwise(1)),
         },
+        bucket_rows=bucket_rows,
     )
     # Failures before an island's success are counted off to number failures within a run.
     islands = numbered.groupBy("chain_id", "__island").agg(
@@ -93,8 +94,14 @@ def behaviour_anomaly(connections: DataFrame, window_ms: int = 60_000) -> DataFr
     return connection_count(connections, window_ms).filter("connections = 1").drop("connections")
 
 
-def _by_arrival(df: DataFrame, key: str, order: list[str], bucket: Column) -> DataFrame:
-    return dense_ordinal(df.filter(F.col(key).isNotNull()), [key], order, bucket, "__i")
+def _by_arrival(
+    df: DataFrame, key: str, order: str, bucket_rows: int
+) -> tuple[DataFrame, int]:
+    """Rows with a key, numbered per key in arrival order, and the size of the largest key."""
+    keyed = df.filter(F.col(key).isNotNull())
+    longest = longest_key(keyed, [key])
+    bucket = bucket_of(F.col(order), bucket_rows)
+    return dense_ordinal(keyed, [key], [order], bucket, "__i", longest, bucket_rows), longest
 
 
 def bucket_step(state, now_ms: int, rate: float, burst: float):
@@ -129,7 +136,7 @@ def token_bucket(
         state = f"{tokens!r} {last}"
         return state, (allowed, state)
 
-    rows = _by_arrival(requests, key, [order], bucket_of(F.col(order), bucket_rows))
+    rows, longest = _by_arrival(requests, key, order, bucket_rows)
     folded = ordered_fold(
         rows,
         key,
@@ -138,7 +145,7 @@ def token_bucket(
         ["ts_ms"],
         [T.StructField("allowed", T.BooleanType()), T.StructField("__bucket_state", T.StringType())],
         None,
-        longest_key(requests.filter(F.col(key).isNotNull()), key),
+        longest,
         segment_rows,
     ).drop("__i", "__bucket_state")
     keyless = requests.filter(F.col(key).isNull()).withColumn("allowed", F.lit(True))
@@ -173,7 +180,7 @@ def reject_replayed(
         state = None if stored is None else str(stored)
         return state, (verdict, state)
 
-    rows = _by_arrival(tokens, "jti", [order], bucket_of(F.col(order), bucket_rows))
+    rows, longest = _by_arrival(tokens, "jti", order, bucket_rows)
     return ordered_fold(
         rows,
         "jti",
@@ -182,6 +189,6 @@ def reject_replayed(
         ["seen_at", "exp"],
         [T.StructField("verdict", T.StringType()), T.StructField("__stored_exp", T.StringType())],
         None,
-        longest_key(tokens, "jti"),
+        longest,
         segment_rows,
     ).drop("__i", "__stored_exp")

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chainlake.functions.text import truncate_reason
-from chainlake.operators.fold import SEGMENT_ROWS, longest_key, ordered_fold
-from chainlake.operators.scan import BUCKET_ROWS, Running, bucket_of, dense_ordinal, running
+from chainlake.operators.fold import SEGMENT_ROWS, ordered_fold
+from chainlake.operators.scan import BUCKET_ROWS, Running, bucket_of, dense_ordinal, longest_key, running
 
 # Windows and thresholds.
 RECENT_ERROR_MS = 30_000
@@ -69,11 +69,12 @@ def sessionize(
     ``seq`` is the unique arrival position and agrees with ``ts_ms`` order.
     """
     bucket = bucket_of(F.col("seq"), bucket_rows)
-    timed = running(ops, [key], ["seq"], bucket, {"__prev": Running("last", F.col("ts_ms"), inclusive=False)})
+    longest = longest_key(ops, [key])
+    previous = {"__prev": Running("last", F.col("ts_ms"), inclusive=False)}
+    timed = running(ops, [key], ["seq"], bucket, previous, longest, bucket_rows)
     starts = F.col("__prev").isNull() | (F.col("ts_ms") - F.col("__prev") > gap_ms)
-    numbered = running(
-        timed, [key], ["seq"], bucket, {"__session": Running("sum", F.when(starts, 1).otherwise(0))}
-    )
+    sessions = {"__session": Running("sum", F.when(starts, 1).otherwise(0))}
+    numbered = running(timed, [key], ["seq"], bucket, sessions, longest, bucket_rows)
     return numbered.groupBy(key, F.col("__session").alias("session_number")).agg(
         F.count("*").alias("op_count"),
         F.min("ts_ms").alias("started_at"),
@@ -95,7 +96,12 @@ def batch_checkpoints(
 ) -> DataFrame:
     """Digest of every ``every`` consecutive rows of a large operation."""
     numbered = dense_ordinal(
-        rows.select(key, order, digest), [key], [order], bucket_of(F.col(order), bucket_rows), "__n"
+        rows.select(key, order, digest),
+        [key],
+        [order],
+        bucket_of(F.col(order), bucket_rows),
+        "__n",
+        bucket_rows=bucket_rows,
     )
     pairs = F.array_sort(F.collect_list(F.struct("__n", digest)))
     return (
@@ -303,7 +309,8 @@ def ticks(
         .agg(F.bool_or("is_end").alias("is_end"))
         .withColumn("scheduler", F.lit("one"))
     )
-    rows = dense_ordinal(requests, ["scheduler"], ["at"], F.floor(F.col("at") / 86_400_000), "__i")
+    longest = longest_key(requests, ["scheduler"])
+    rows = dense_ordinal(requests, ["scheduler"], ["at"], F.floor(F.col("at") / 86_400_000), "__i", longest)
     folded = ordered_fold(
         rows,
         "scheduler",
@@ -317,7 +324,7 @@ def ticks(
             T.StructField("__tick_state", T.StringType()),
         ],
         None,
-        longest_key(requests, "scheduler"),
+        longest,
         segment_rows,
     )
     timer_runs = folded.filter("__timers > 0").select(

@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chainlake.operators.scan import Running, bucket_of, running
+from chainlake.operators.scan import BUCKET_ROWS, Running, bucket_of, longest_key, running
 
-RANGE_BUCKET = 65_536
-
-
-def merge_ranges(ranges: DataFrame, bucket_rows: int = RANGE_BUCKET) -> DataFrame:
+def merge_ranges(ranges: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Merge overlapping or adjacent intervals (chain_id, from_index, to_index, at).
 
     Intervals with one start collapse first. The running end and the start of the
@@ -20,12 +17,15 @@ def merge_ranges(ranges: DataFrame, bucket_rows: int = RANGE_BUCKET) -> DataFram
         F.max("to_index").alias("to_index"), F.max("at").alias("at")
     )
     bucket = bucket_of(F.col("from_index"), bucket_rows)
+    longest = longest_key(starts, ["chain_id"])
     reached = running(
         starts,
         ["chain_id"],
         ["from_index"],
         bucket,
         {"__reached": Running("max", F.col("to_index"), inclusive=False)},
+        longest,
+        bucket_rows,
     )
     opens = F.col("__reached").isNull() | (F.col("from_index") > F.col("__reached") + 1)
     islands = running(
@@ -34,6 +34,8 @@ def merge_ranges(ranges: DataFrame, bucket_rows: int = RANGE_BUCKET) -> DataFram
         ["from_index"],
         bucket,
         {"__island": Running("max", F.when(opens, F.col("from_index")))},
+        longest,
+        bucket_rows,
     )
     return (
         islands.groupBy("chain_id", F.col("__island").alias("from_index"))
@@ -87,6 +89,7 @@ def eviction_plan(
     max_bytes: int,
     deployment_chain: str = "_deployment",
     bucket_ms: int = 86_400_000,
+    bucket_rows: int = BUCKET_ROWS,
     require_verified: bool = True,
 ) -> DataFrame:
     """Chains to evict, oldest first, until usage is back under ``max_bytes``.
@@ -127,6 +130,7 @@ def eviction_plan(
         ["modified_ms", "chain_id"],
         F.floor(F.col("modified_ms") / bucket_ms),
         {"freed_before": Running("sum", F.col("bytes"), inclusive=False)},
+        bucket_rows=bucket_rows,
     )
     freed = freed.withColumn("freed_before", F.coalesce("freed_before", F.lit(0)))
     return freed.filter(F.col("freed_before") < to_free)

@@ -1,15 +1,17 @@
 """Running aggregates that stay spread out when one key is very large.
 
-A plain ``Window.partitionBy(key)`` puts every row of a key into one task. Here a
-key is cut into buckets of its order column. Each bucket is summarised by a
-partially aggregated ``groupBy``; a window over those few summaries gives the value
-carried into each bucket; one carry row per bucket then joins the rows of that
-bucket in a window partitioned by (key, bucket). No task sees more than a bucket.
+``Window.partitionBy(key)`` puts every row of a key into one task. That is fine up to
+``bucket_rows`` rows. Keys above it (found by a count) are cut into buckets of their
+order column: a partially aggregated ``groupBy`` summarises each bucket, a window over
+those few summaries gives the value carried into each bucket, and one carry row per
+bucket joins the bucket's own rows in a window partitioned by (key, bucket). No task
+sees more than a bucket, and small keys pay nothing.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,71 +29,99 @@ class Running:
 
 
 def bucket_of(order: Column, width: int = BUCKET_ROWS) -> Column:
-    """Bucket number of a unique integer order column; a bucket holds at most ``width`` rows."""
+    """Bucket number of an integer order column; unique values give ``width`` rows at most."""
     return F.floor(order / width).cast("bigint")
 
 
+def longest_key(df: DataFrame, keys: list[str]) -> int:
+    """Row count of the largest key; reads only the key columns."""
+    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+
+
+_COMBINE = {"sum": F.sum, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}
+
+
+def _frames(partition: list[str], order: list[str], measures: dict[str, Running]) -> list[Column]:
+    window = Window.partitionBy(*partition).orderBy(*order)
+    upto = window.rowsBetween(Window.unboundedPreceding, 0)
+    earlier = window.rowsBetween(Window.unboundedPreceding, -1)
+    return [
+        _COMBINE[m.kind](f"__in_{n}").over(upto if m.inclusive else earlier).alias(n)
+        for n, m in measures.items()
+    ]
+
+
 def running(
     df: DataFrame,
     keys: list[str],
     order: list[str],
     bucket: Column,
     measures: dict[str, Running],
+    longest: int | None = None,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Add the running ``measures`` of each key in ``order``.
 
-    ``bucket`` must not decrease along ``order`` and ``order`` must be total.
+    ``bucket`` must not decrease along ``order`` and ``order`` must be total. ``longest``
+    is the row count of the largest key, counted here when the caller does not know it.
     """
-    base = df.select("*", bucket.alias("__bucket"))
-    base = base.select(
-        "*", *[m.value.alias(f"__in_{name}") for name, m in measures.items()], F.lit(1).alias("__row")
-    )
+    base = df.select("*", *[m.value.alias(f"__in_{name}") for name, m in measures.items()])
+    if (longest_key(df, keys) if longest is None else longest) <= bucket_rows:
+        return base.select(*df.columns, *_frames(keys, order, measures))
+
+    base = base.withColumn("__bucket", bucket)
+    if keys:
+        # At most (rows / bucket_rows) keys can be this large, so the list is broadcast.
+        large = df.groupBy(*keys).count().filter(F.col("count") > bucket_rows)
+        large = F.broadcast(
+            large.select(*[F.col(k).alias(f"__large_{k}") for k in keys], F.lit(True).alias("__large"))
+        )
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__large_{k}")) for k in keys])
+        base = base.join(large, same, "left").drop(*[f"__large_{k}" for k in keys])
+    else:
+        base = base.withColumn("__large", F.lit(True))
+    # Small keys keep all their rows in one bucket and need no carry row.
+    base = base.withColumn("__bucket", F.when(F.col("__large"), F.col("__bucket")))
+
     order_key = F.struct(*[F.col(c) for c in order])
     partials = []
     for name, m in measures.items():
         value = F.col(f"__in_{name}")
-        if m.kind == "sum":
-            partials.append(F.sum(value).alias(f"__in_{name}"))
-        elif m.kind == "max":
-            partials.append(F.max(value).alias(f"__in_{name}"))
+        if m.kind == "last":
+            partials.append(F.max_by(value, F.when(value.isNotNull(), order_key)).alias(f"__in_{name}"))
         else:
-            partials.append(
-                F.max_by(value, F.when(value.isNotNull(), order_key)).alias(f"__in_{name}")
-            )
-    before = (
-        Window.partitionBy(*keys)
-        .orderBy("__bucket")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    combine = {"sum": F.sum, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}
+            partials.append(_COMBINE[m.kind](value).alias(f"__in_{name}"))
+    before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     carry = (
-        base.groupBy(*keys, "__bucket")
+        base.filter("__large")
+        .groupBy(*keys, "__bucket")
         .agg(*partials)
         .select(
             *keys,
             "__bucket",
-            *[combine[m.kind](f"__in_{n}").over(before).alias(f"__in_{n}") for n, m in measures.items()],
+            *[_COMBINE[m.kind](f"__in_{n}").over(before).alias(f"__in_{n}") for n, m in measures.items()],
             F.lit(0).alias("__row"),
         )
     )
-    local = Window.partitionBy(*keys, "__bucket").orderBy("__row", *order)
-    upto = local.rowsBetween(Window.unboundedPreceding, 0)
-    earlier = local.rowsBetween(Window.unboundedPreceding, -1)
-    results = [
-        combine[m.kind](f"__in_{n}").over(upto if m.inclusive else earlier).alias(n)
-        for n, m in measures.items()
-    ]
+    rows = base.drop("__large").withColumn("__row", F.lit(1))
     return (
-        base.unionByName(carry, allowMissingColumns=True)
-        .select(*df.columns, "__row", *results)
+        rows.unionByName(carry, allowMissingColumns=True)
+        .select(*df.columns, "__row", *_frames([*keys, "__bucket"], ["__row", *order], measures))
         .filter("__row = 1")
         .drop("__row")
     )
 
 
 def dense_ordinal(
-    df: DataFrame, keys: list[str], order: list[str], bucket: Column, name: str
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    bucket: Column,
+    name: str,
+    longest: int | None = None,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Number the rows of each key 0, 1, 2, ... in ``order``."""
-    out = running(df, keys, order, bucket, {name: Running("sum", F.lit(1))})
+    count = {name: Running("sum", F.lit(1))}
+    out = running(df, keys, order, bucket, count, longest, bucket_rows)
     return out.withColumn(name, F.col(name) - 1)

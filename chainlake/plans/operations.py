@@ -194,7 +194,7 @@ STREAKS_SQL = f"""o AS (SELECT 'c' || (user_id % 20) AS chain_id, event_id AS se
 
 @query("failure_streaks", f"WITH {STREAKS_SQL} SELECT * FROM streaks")
 def failure_streaks(spark, sf_dir):
-    return limits.failure_streaks(outcomes(spark, sf_dir), bucket_rows=700)
+    return limits.failure_streaks(outcomes(spark, sf_dir), bucket_rows=200)
 
 
 def connections(spark, sf_dir):
@@ -382,16 +382,16 @@ def replication_gate(spark, sf_dir):
     runs AS (
       SELECT lo AS run_at, '' AS trigger, 0 AS n FROM bounds
       UNION ALL
-      SELECT CASE WHEN nxt IS NOT NULL AND nxt < run_at + 14460000 THEN greatest(nxt, run_at + 60000)
-                  ELSE run_at + 14460000 END,
-        CASE WHEN nxt IS NOT NULL AND nxt < run_at + 14460000 THEN 'session_end' ELSE 'periodic' END, n + 1
+      SELECT CASE WHEN nxt IS NOT NULL AND nxt < run_at + 18000000 THEN greatest(nxt, run_at + 3600000)
+                  ELSE run_at + 18000000 END,
+        CASE WHEN nxt IS NOT NULL AND nxt < run_at + 18000000 THEN 'session_end' ELSE 'periodic' END, n + 1
       FROM (SELECT run_at, n, (SELECT min(e) FROM ends WHERE e > r.run_at) AS nxt FROM runs r)
       WHERE run_at <= (SELECT hi FROM bounds))
     SELECT run_at, trigger FROM runs WHERE n > 0 AND run_at <= (SELECT hi FROM bounds)""",
 )
 def ticks(spark, sf_dir):
     lo, hi = fx.table(spark, sf_dir, "events").agg(F.min(fx.event_ms()), F.max(fx.event_ms())).first()
-    return ops.ticks(session_ends(spark, sf_dir), lo, hi)
+    return ops.ticks(session_ends(spark, sf_dir), lo, hi, debounce_ms=3_600_000)
 
 
 @query(

@@ -60,7 +60,8 @@ def append_batch(events: DataFrame, batch_id: int, path: str, salt: str) -> None
         .filter((F.col("day") >= oldest - RETENTION_DAYS) & (F.col("batch_id") != batch_id))
         .select("event_id")
     )
-    fresh = batch.join(seen, "event_id", "left_anti")
+    # Used by four jobs below; a lost executor recomputes its part from the source.
+    fresh = batch.join(seen, "event_id", "left_anti").persist()
     entries = build_chains(
         access_payloads(fresh.drop("__day"), salt), current_heads(spark, path, before=batch_id)
     )
@@ -82,6 +83,7 @@ def append_batch(events: DataFrame, batch_id: int, path: str, salt: str) -> None
     )
     ids = fresh.select("event_id", F.lit(batch_id).cast("bigint").alias("batch_id"), F.col("__day").alias("day"))
     _overwrite(ids, f"{path}/ids", "day", "batch_id")
+    fresh.unpersist()
 
 
 def appended_entries_of(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
