@@ -58,6 +58,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     from chainlake.operators.chain import verify_chains
     from chainlake.plans import fixtures, load
+    from chainlake.plans.observer import observer_chain
 
     registered = dict(load()[0])
     registered["verify_chains"] = lambda s, d: verify_chains(fixtures.chains(s, d))
@@ -68,6 +69,8 @@ def main() -> None:
     for name in HEADLINE:
         if name == "verify_chains":
             fixtures.chains(spark, sf_dir)
+        if name == "process2_divergence":
+            observer_chain(spark, sf_dir)
         start = time.perf_counter()
         registered[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)

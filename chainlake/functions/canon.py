@@ -13,7 +13,7 @@ import math
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -102,19 +102,29 @@ def is_plain(json_text: Column) -> Column:
     return json_text.rlike(r"^[\x20-\x7e]*$") & ~json_text.contains("\\u00")
 
 
-def canonical_object(members: dict[str, Column], plain_only: bool = False) -> Column:
-    """Canonical JSON of an object with known member names; null members are absent.
+def object_text(members: dict[str, Column]) -> Column:
+    """JSON of an object with known member names in canonical order; null members are absent."""
+    fields = [members[name].alias(name) for name in sorted(members, key=_utf16)]
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "true"})
+
 
-    ``plain_only`` keeps the expression in the JVM and fails on text that would
-    need normalising.
+def with_canonical(df: DataFrame, objects: dict[str, dict[str, Column]], plain_only: bool = False) -> DataFrame:
+    """Add a canonical JSON column per entry of ``objects`` (column name -> members).
+
+    The JSON text is a projection of its own, so that testing and using it do not write
+    it again. Only text that is not plain goes to the Python helper; ``plain_only`` keeps
+    everything in the JVM and fails on such text.
     """
-    fields = [members[name].alias(name) for name in sorted(members, key=_utf16)]
-    text = F.to_json(F.struct(*fields), {"ignoreNullFields": "true"})
-    if plain_only:
-        problem = F.raise_error(F.lit("text needs Unicode normalisation")).cast("string")
-        return F.when(is_plain(text), text).otherwise(problem)
-    rest = canonicalize(F.when(~is_plain(text), text))["canonical"]
-    return F.when(is_plain(text), text).otherwise(rest)
+    staged = df.withColumns({f"__{name}": object_text(members) for name, members in objects.items()})
+    out = {}
+    for name in objects:
+        text = F.col(f"__{name}")
+        if plain_only:
+            rest = F.raise_error(F.lit("text needs Unicode normalisation")).cast("string")
+        else:
+            rest = canonicalize(F.when(~is_plain(text), text))["canonical"]
+        out[name] = F.when(is_plain(text), text).otherwise(rest)
+    return staged.withColumns(out).drop(*[f"__{name}" for name in objects])
 
 
 def sorted_map(m: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chainlake.functions.canon import canonical_object, canonicalize, is_plain
+from chainlake.functions.canon import canonicalize, is_plain, with_canonical
 from chainlake.operators.events import is_projectable, observed_members, parse_deployment
 from chainlake.operators.fold import ordered_fold
 from chainlake.operators.scan import BUCKET_ROWS, bucket_of, dense_ordinal, longest_key
@@ -114,8 +114,8 @@ def process2(
     fields = parse_deployment(prx.select("index", "payload_type", "payload_json"))
     members = observed_members(salt, F.col("p.actor_id"), F.col("p.details")["query_fingerprint"])
     members["action"], members["resource"] = F.col("p.action"), F.col("p.resource")
-    projected = fields.filter(is_projectable()).select(
-        "index", canonical_object(members).alias("prx_json")
+    projected = with_canonical(fields.filter(is_projectable()), {"prx_json": members}).select(
+        "index", "prx_json"
     )
     read = prx.agg(F.count("*")).first()[0]
     numbered = dense_ordinal(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chainlake.functions.canon import canonical_object, empty_map, sorted_map
+from chainlake.functions.canon import canonicalize, empty_map, sorted_map, with_canonical
 from chainlake.functions.crypto import hmac_sha256_hex
 from chainlake.functions.text import ms_to_seconds
 from chainlake.schemas import (
@@ -41,10 +41,14 @@ def spec_actor_type(c: Column) -> Column:
     return F.when(c == "ci_cd", "cicd").otherwise(c)
 
 
-def access_members(salt: str) -> dict[str, Column]:
-    ids = F.array_sort(
-        F.array_distinct(F.transform("affected_users", lambda u: hmac_sha256_hex(salt, u)))
+def hashed_users(salt: str) -> Column:
+    """Keyed digests of the affected users, order and duplicates kept."""
+    return F.coalesce(
+        F.transform("affected_users", lambda u: hmac_sha256_hex(salt, u)), F.array().cast("array<string>")
     )
+
+
+def access_members(hashed: Column) -> dict[str, Column]:
     return {
         "actor_id": F.col("admin_id"),
         "actor_type": F.lit("admin"),
@@ -52,7 +56,7 @@ def access_members(salt: str) -> dict[str, Column]:
         "protocol": spec_protocol(F.col("protocol")),
         "action": F.when(F.col("action").isin(DATA_ACTIONS), F.col("action")).otherwise("write"),
         "resource": F.col("resource"),
-        "affected_user_ids": F.coalesce(ids, F.array().cast("array<string>")),
+        "affected_user_ids": F.array_sort(F.array_distinct(hashed)),
         "query_fingerprint": F.col("query_fingerprint"),
         "scope": F.struct(F.lit(0).alias("bytes"), F.lit(0).alias("rows")),
         "source_ip": F.coalesce(F.element_at("metadata", F.lit("source_ip")), F.lit("unknown")),
@@ -82,41 +86,43 @@ def deployment_members() -> dict[str, Column]:
 
 def to_access_payload(events: DataFrame, salt: str, plain_only: bool = False) -> DataFrame:
     """User-chain payload of each access event."""
-    return events.withColumns(
-        {
-            "timestamp": ms_to_seconds(F.col("timestamp")),
-            "payload_type": F.lit(TYPE_ACCESS),
-            "payload_json": canonical_object(access_members(salt), plain_only),
-        }
+    hashed = events.withColumn("__hashed", hashed_users(salt))
+    rows = with_canonical(hashed, {"payload_json": access_members(F.col("__hashed"))}, plain_only)
+    return rows.drop("__hashed").withColumns(
+        {"timestamp": ms_to_seconds(F.col("timestamp")), "payload_type": F.lit(TYPE_ACCESS)}
     )
 
 
 def access_to_deployment(events: DataFrame, plain_only: bool = False) -> DataFrame:
     """Deployment payload of each access event; carries a user count, never user ids."""
-    return events.withColumns(
-        {
-            "timestamp": ms_to_seconds(F.col("timestamp")),
-            "payload_type": F.lit(TYPE_DEPLOYMENT),
-            "payload_json": canonical_object(deployment_members(), plain_only),
-        }
+    return with_canonical(events, {"payload_json": deployment_members()}, plain_only).withColumns(
+        {"timestamp": ms_to_seconds(F.col("timestamp")), "payload_type": F.lit(TYPE_DEPLOYMENT)}
     )
 
 
 def access_payloads(events: DataFrame, salt: str, plain_only: bool = False) -> DataFrame:
-    """Fan-out with the payload that belongs in each chain, ready for ``build_chains``."""
-    rows = fan_out(events)
-    is_deployment = F.col("subject") == DEPLOYMENT_CHAIN
+    """Fan-out with the payload that belongs in each chain, ready for ``build_chains``.
+
+    All users of an event get the same payload, so texts and digests are made once per
+    event and copied by the fan-out.
+    """
+    hashed = events.withColumn("__hashed", hashed_users(salt))
+    rows = with_canonical(
+        hashed,
+        {"__user": access_members(F.col("__hashed")), "__deployment": deployment_members()},
+        plain_only,
+    )
+    chains = F.concat(F.array(F.lit(DEPLOYMENT_CHAIN)), "__hashed")
+    is_deployment = F.col("position") == 0
     return rows.select(
+        "event_id", "timestamp", "__user", "__deployment", F.posexplode(chains).alias("position", "chain_id")
+    ).select(
         "event_id",
         "position",
-        F.when(is_deployment, F.col("subject"))
-        .otherwise(hmac_sha256_hex(salt, F.col("subject")))
-        .alias("chain_id"),
+        "chain_id",
         ms_to_seconds(F.col("timestamp")).alias("timestamp"),
         F.when(is_deployment, TYPE_DEPLOYMENT).otherwise(TYPE_ACCESS).alias("payload_type"),
-        F.when(is_deployment, canonical_object(deployment_members(), plain_only))
-        .otherwise(canonical_object(access_members(salt), plain_only))
-        .alias("payload_json"),
+        F.when(is_deployment, F.col("__deployment")).otherwise(F.col("__user")).alias("payload_json"),
     )
 
 
@@ -144,13 +150,13 @@ def system_members() -> dict[str, Column]:
 
 def system_to_deployment(events: DataFrame, plain_only: bool = False) -> DataFrame:
     """Deployment payload of each system event, at the event's own time."""
-    return events.select(
+    return with_canonical(events, {"payload_json": system_members()}, plain_only).select(
         "event_id",
         F.lit(0).alias("position"),
         F.lit(DEPLOYMENT_CHAIN).alias("chain_id"),
         ms_to_seconds(F.col("timestamp")).alias("timestamp"),
         F.lit(TYPE_DEPLOYMENT).alias("payload_type"),
-        canonical_object(system_members(), plain_only).alias("payload_json"),
+        "payload_json",
     )
 
 
@@ -198,13 +204,8 @@ def project_to_observed(
     )
     shared = F.col("fingerprint") if fingerprint is None else fingerprint
     members = observed_members(salt, F.col("actor"), shared)
-    return rows.select(
-        "chain_id",
-        "index",
-        "timestamp",
-        *[members[n].alias(n) for n in members],
-        canonical_object(members, plain_only).alias("observed_json"),
-    )
+    out = rows.select("chain_id", "index", "timestamp", *[members[n].alias(n) for n in members])
+    return with_canonical(out, {"observed_json": {n: F.col(n) for n in members}}, plain_only)
 
 
 def observe_change(
@@ -213,20 +214,19 @@ def observe_change(
     """Attributed change rows (seq, timestamp, action, resource, actor, scope) as observer payloads."""
     shared = F.sha2("scope", 256) if fingerprint is None else fingerprint
     members = observed_members(salt, F.col("actor"), shared)
-    return changes.filter(F.col("action").isin(OBSERVABLE_ACTIONS)).select(
+    kept = changes.filter(F.col("action").isin(OBSERVABLE_ACTIONS))
+    return with_canonical(kept, {"payload_json": members}, plain_only).select(
         F.col("seq").alias("event_id"),
         F.lit(0).alias("position"),
         F.lit(DEPLOYMENT_CHAIN).alias("chain_id"),
         "timestamp",
         F.lit(TYPE_OBSERVED).alias("payload_type"),
-        canonical_object(members, plain_only).alias("payload_json"),
+        "payload_json",
     )
 
 
 def payload_well_formed(payloads: DataFrame) -> DataFrame:
     """Why a payload must be refused, or null: null member, size, id order."""
-    from chainlake.functions.canon import canonicalize
-
     ids = F.from_json("payload_json", "affected_user_ids ARRAY<STRING>")["affected_user_ids"]
     # Only texts that contain the word can hold a null; the others stay in the JVM.
     suspect = F.when(F.col("payload_json").contains("null"), F.col("payload_json"))

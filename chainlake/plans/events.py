@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chainlake.functions.canon import canonical_object, canonicalize
+from chainlake.functions.canon import canonicalize, with_canonical
 from chainlake.operators import events
 from chainlake.operators.ops import system_event
 from chainlake.plans import fixtures as fx
@@ -180,9 +180,9 @@ def payload_well_formed(spark, sf_dir):
 def canonical_documents(spark, sf_dir):
     """Whole texts with a decomposed letter appended; normalised in the canonical form."""
     text = F.concat("text", F.lit(" é"))
-    return fx.table(spark, sf_dir, "documents").select(
-        "doc_id", canonical_object({"text": text, "lang": F.col("lang")}).alias("canonical")
-    )
+    documents = fx.table(spark, sf_dir, "documents")
+    members = {"text": text, "lang": F.col("lang")}
+    return with_canonical(documents, {"canonical": members}).select("doc_id", "canonical")
 
 
 @query(

@@ -24,7 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
             .option("pathGlobFilter", f"{name}.parquet")
             .parquet(folder)
         )
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    # The driver tables are one small file each; spread those that the scan cannot split.
+    # Large tables come in many splits and are read as they are.
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if _splits(df) < cores else df
+
+
+def _splits(df: DataFrame) -> int:
+    """Scan tasks of a table, from the planned scan."""
+    return df.rdd.getNumPartitions()
 
 
 def hmac_sql(expr: str, salt: str = SALT) -> str:

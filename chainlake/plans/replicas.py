@@ -257,6 +257,12 @@ merged AS (SELECT chain_id, min(f) AS from_index, max(t) AS to_index, max(stamp)
 
 @query("merge_ranges", f"WITH {RANGES_SQL} SELECT chain_id, from_index, to_index, stamp FROM merged")
 def merge_ranges(spark, sf_dir):
+    return ranges.merge_ranges(index_ranges(spark, sf_dir)).withColumnRenamed("at", "stamp")
+
+
+@query("merge_ranges_large_keys", f"WITH {RANGES_SQL} SELECT chain_id, from_index, to_index, stamp FROM merged")
+def merge_ranges_large_keys(spark, sf_dir):
+    """Every chain counts as too large for one task and is merged bucket by bucket."""
     merged = ranges.merge_ranges(index_ranges(spark, sf_dir), bucket_rows=512)
     return merged.withColumnRenamed("at", "stamp")
 
