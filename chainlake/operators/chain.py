@@ -39,6 +39,7 @@ def build_chains(
     heads: DataFrame | None = None,
     order: tuple[str, ...] = ("event_id", "position"),
     keep: tuple[str, ...] = (),
+    longest: int | None = None,
     bucket_rows: int = BUCKET_ROWS,
     segment_rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
@@ -46,6 +47,7 @@ def build_chains(
 
     ``payloads``: chain_id, timestamp (s), payload_type, payload_json and the order
     columns, of which the first is the non-negative source offset of the event.
+    ``longest`` is the number of new rows of the largest chain, counted if not given.
     ``heads``: chain_id, entry_count, head of chains that already exist. ``keep`` names
     payload columns to carry through.
     """
@@ -71,7 +73,8 @@ def build_chains(
         start = old.select(
             "chain_id", F.col("entry_count").cast("bigint").alias("index"), F.col("head").alias("__state")
         )
-    longest = longest_key(payloads, ["chain_id"])
+    if longest is None:
+        longest = longest_key(payloads, ["chain_id"])
     numbered = running(
         rows,
         ["chain_id"],

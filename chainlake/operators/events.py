@@ -126,6 +126,13 @@ def access_payloads(events: DataFrame, salt: str, plain_only: bool = False) -> D
     )
 
 
+def longest_chain(events: DataFrame) -> int:
+    """Entries the largest chain gets from these events, counted before any digest is made."""
+    subjects = events.select(F.explode("affected_users").alias("user")).groupBy("user").count()
+    total = events.agg(F.count("*").alias("n"))
+    return subjects.agg(F.max("count").alias("n")).unionByName(total).agg(F.max("n")).first()[0] or 0
+
+
 def system_members() -> dict[str, Column]:
     details = F.coalesce("details", empty_map())
     with_artifact = F.when(

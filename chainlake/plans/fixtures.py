@@ -190,9 +190,10 @@ def shared_table(spark: SparkSession, sf_dir: str, name: str, build) -> DataFram
 
 def build_access_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chainlake.operators.chain import build_chains
-    from chainlake.operators.events import access_payloads
+    from chainlake.operators.events import access_payloads, longest_chain
 
-    return build_chains(access_payloads(access_events(spark, sf_dir), SALT))
+    events = access_events(spark, sf_dir)
+    return build_chains(access_payloads(events, SALT), longest=longest_chain(events))
 
 
 def chains(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from chainlake.operators.chain import build_chains
 from chainlake.operators.compare import process2
-from chainlake.operators.events import access_payloads
+from chainlake.operators.events import access_payloads, longest_chain
 from chainlake.operators.read import chain_heads
 from chainlake.session import new_path
 from chainlake.sources.chain_log import append_entries
@@ -63,7 +63,9 @@ def append_batch(events: DataFrame, batch_id: int, path: str, salt: str) -> None
     # Used by four jobs below; a lost executor recomputes its part from the source.
     fresh = batch.join(seen, "event_id", "left_anti").persist()
     entries = build_chains(
-        access_payloads(fresh.drop("__day"), salt), current_heads(spark, path, before=batch_id)
+        access_payloads(fresh.drop("__day"), salt),
+        current_heads(spark, path, before=batch_id),
+        longest=longest_chain(fresh),
     )
     append_entries(entries, batch_id, f"{path}/entries")
     written = appended_entries_of(spark, path, batch_id)
