@@ -15,6 +15,7 @@ from chainlake.operators.scan import BUCKET_ROWS, Running, bucket_of, longest_ke
 from chainlake.schemas import (
     CHAIN_ENTRY_COLUMNS,
     ENTRY_VERSION,
+    MAX_PAYLOAD_BYTES,
     TYPE_ACCESS,
     TYPE_DEPLOYMENT,
     TYPE_OBSERVED,
@@ -113,7 +114,8 @@ def link_groups(entries: DataFrame, trusted: DataFrame | None = None) -> DataFra
     Each entry is sent to its own slot and, as a predecessor, to the next one, so the
     shuffle key is (chain_id, index): a chain of any length spreads over all tasks.
     """
-    recomputed = F.coalesce(row_entry_hash() == F.lower("entry_hash"), F.lit(False))
+    small = F.octet_length("payload_json") <= MAX_PAYLOAD_BYTES
+    recomputed = F.coalesce(small & (row_entry_hash() == F.lower("entry_hash")), F.lit(False))
     own = F.struct(
         F.col("entry_hash"),
         F.col("prev_hash"),

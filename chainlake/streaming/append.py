@@ -16,7 +16,7 @@ from chainlake.operators.events import access_payloads, longest_chain
 from chainlake.operators.read import chain_heads
 from chainlake.session import new_path
 from chainlake.sources.chain_log import append_entries
-from chainlake.schemas import CHAIN_ENTRY
+from chainlake.schemas import CHAIN_ENTRY, CHAIN_ENTRY_COLUMNS
 
 RETENTION_DAYS = 7
 _HEADS = "chain_id STRING, entry_count BIGINT, head STRING, last_timestamp BIGINT, batch_id BIGINT"
@@ -40,7 +40,7 @@ def current_heads(spark: SparkSession, path: str, before: int | None = None) ->
 
 
 def appended_entries(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, f"{path}/entries", CHAIN_ENTRY)
+    return _read(spark, f"{path}/entries", CHAIN_ENTRY).select(*CHAIN_ENTRY_COLUMNS)
 
 
 def append_batch(events: DataFrame, batch_id: int, path: str, salt: str) -> None:
