@@ -22,16 +22,14 @@ from chainlake.schemas import (
     ZERO_HASH,
 )
 
-def _link(state, columns, i):
+def _link(state, index, timestamp, payload_type, payload_json):
     """Hash one envelope on top of the previous entry hash."""
     previous = state or ZERO_HASH
-    payload = columns["payload_json"][i].encode("utf-8")
-    digest = hashlib.sha256(
-        struct.pack(">BQq", ENTRY_VERSION, columns["index"][i], columns["timestamp"][i])
-        + bytes.fromhex(previous)
-        + struct.pack(">BI", columns["payload_type"][i], len(payload))
-        + payload
-    ).hexdigest()
+    payload = payload_json.encode("utf-8")
+    header = struct.pack(
+        ">BQq32sBI", ENTRY_VERSION, index, timestamp, bytes.fromhex(previous), payload_type, len(payload)
+    )
+    digest = hashlib.sha256(header + payload).hexdigest()
     return digest, (previous, digest)
 
 

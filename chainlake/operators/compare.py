@@ -213,8 +213,8 @@ def running_hash(payloads: DataFrame, key: str, index: str, canonical: str, **kw
 
     ``index`` is dense per key. One row per key with the final state.
     """
-    def step(state, columns, i):
-        data = bytes.fromhex(state or ZERO_HASH) + columns[canonical][i].encode("utf-8")
+    def step(state, text):
+        data = bytes.fromhex(state or ZERO_HASH) + text.encode("utf-8")
         digest = hashlib.sha256(data).hexdigest()
         return digest, (digest,)
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,24 +27,27 @@ def _fold_batches(step: Callable, key: str, inputs: list[str], names: list[str],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state = None, None
         for batch in batches:
-            columns = {n: batch.column(n).to_pylist() for n in inputs}
-            starts = batch.column("__state").to_pylist()
-            seeds = batch.column("__seed").to_pylist()
-            results, keep = [], []
-            for i, k in enumerate(columns[key]):
+            rows = zip(
+                batch.column(key).to_pylist(),
+                batch.column("__seed").to_pylist(),
+                batch.column("__state").to_pylist(),
+                zip(*[batch.column(n).to_pylist() for n in inputs]),
+            )
+            results = []
+            for k, seed, start, values in rows:
                 if k != current:
                     current, state = k, None
-                if seeds[i]:
-                    state = starts[i]
-                    keep.append(False)
+                if seed:
+                    state = start
                     continue
-                state, values = step(state, columns, i)
-                results.append(values)
-                keep.append(True)
-            rows = batch if all(keep) else batch.filter(pa.array(keep))
+                state, out = step(state, *values)
+                results.append(out)
+            if len(results) < batch.num_rows:
+                batch = batch.filter(pc.invert(batch.column("__seed")))
             kept = [n for n in batch.schema.names if n not in ("__state", "__seed")]
-            outs = [pa.array([r[j] for r in results], t) for j, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([rows.column(n) for n in kept] + outs, kept + names)
+            columns = zip(*results) if results else [[] for _ in names]
+            outs = [pa.array(list(c), t) for c, t in zip(columns, types)]
+            yield pa.RecordBatch.from_arrays([batch.column(n) for n in kept] + outs, kept + names)
 
     return run
 
@@ -61,8 +65,8 @@ def ordered_fold(
 ) -> DataFrame:
     """Fold each key in ``index`` order and append the columns ``out``.
 
-    ``step(state, columns, row)`` returns ``(new_state, out_values)``; ``columns`` holds
-    the columns named by ``inputs``. The last out column is the stored state that the
+    ``step(state, *inputs)`` gets the values of the columns named by ``inputs`` and returns
+    ``(new_state, out_values)``. The last out column is the stored state that the
     next segment starts from. ``index`` is dense per key but may start anywhere.
     ``start`` has ``(key, index, __state)`` rows: the state just before that index.
     ``longest`` bounds the number of rows of any key.
@@ -82,7 +86,7 @@ def ordered_fold(
                 allowMissingColumns=True,
             )
         ready = rows.repartition(key).sortWithinPartitions(key, index, F.desc("__seed"))
-        return ready.mapInArrow(_fold_batches(step, key, [key, *inputs], names, types), out_schema)
+        return ready.mapInArrow(_fold_batches(step, key, inputs, names, types), out_schema)
 
     if longest <= segment_rows:
         return fold(df, start)

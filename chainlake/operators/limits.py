@@ -127,12 +127,12 @@ def token_bucket(
     without a key are always allowed.
     """
 
-    def step(state, columns, i):
+    def step(state, ts_ms):
         parsed = None
         if state is not None:
             tokens, last = state.split(" ")
             parsed = (float(tokens), int(last))
-        (tokens, last), allowed = bucket_step(parsed, columns["ts_ms"][i], rate, burst)
+        (tokens, last), allowed = bucket_step(parsed, ts_ms, rate, burst)
         state = f"{tokens!r} {last}"
         return state, (allowed, state)
 
@@ -173,10 +173,8 @@ def reject_replayed(
     how many ids are remembered.
     """
 
-    def step(state, columns, i):
-        stored, verdict = replay_step(
-            None if state is None else int(state), columns["seen_at"][i], columns["exp"][i]
-        )
+    def step(state, seen_at, exp):
+        stored, verdict = replay_step(None if state is None else int(state), seen_at, exp)
         state = None if stored is None else str(stored)
         return state, (verdict, state)
 

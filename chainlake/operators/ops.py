@@ -295,9 +295,9 @@ def ticks(
     The scheduler starts at ``start_ms``. Ends of one millisecond count once.
     """
 
-    def step(state, columns, i):
+    def step(state, at, is_end):
         last = start_ms if state is None else int(state)
-        timers, run, new = tick_step(last, columns["at"][i], columns["is_end"][i], period_ms, debounce_ms)
+        timers, run, new = tick_step(last, at, is_end, period_ms, debounce_ms)
         return str(new), (last, timers, run, str(new))
 
     stop = session_ends.sparkSession.createDataFrame([(end_ms, False)], "at BIGINT, is_end BOOLEAN")
