@@ -25,7 +25,7 @@ from chainlake.llm.common import map_texts, ship_package
 from chainlake.llm.ngrams import Words, hash_words, places
 from chainlake.session import materialize
 
-BITS = 20
+BITS = 18
 SAMPLE = 16_000
 SHARDS = 8
 ROUNDS = 3
