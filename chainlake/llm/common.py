@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+#: Rows of one Arrow batch of texts.
+BATCH_ROWS = 1_000
 #: Texts (in characters) handed to one call of a batch function.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 
 
 _SHIPPED: set[str] = set()
@@ -55,6 +57,8 @@ def map_texts(
     A null text is an empty text. Memory is bounded by one Arrow batch.
     """
     ship_package(df.sparkSession)
+    # Whole texts are large rows; a batch of them has to fit beside the models of a worker.
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     kept = [f for f in df.schema.fields if f.name != text_col]
     schema = T.StructType(kept + out)
     arrow = to_arrow_schema(schema)

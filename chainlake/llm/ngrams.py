@@ -9,7 +9,7 @@ import numpy as np
 import xxhash
 
 #: Different words a worker remembers the hash of.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: ASCII letters and digits and all bytes of other characters make words.
 _WORD_BYTES = bytes(i if i >= 128 or chr(i).isalnum() else 32 for i in range(256))

@@ -29,7 +29,7 @@ from chainlake.llm.common import map_texts, ship_package
 SPACE = "▁"
 LONG = 512
 #: Segments a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 _BITS = 20
 
 
