@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import struct
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +33,17 @@ def _link(state, index, timestamp, payload_type, payload_json):
     return digest, (previous, digest)
 
 
+def refusal(payload: str = "payload_json") -> Column:
+    """Why a payload can't become an entry; null when it can."""
+    size = F.octet_length(payload)
+    return F.when(size.isNull(), "null_payload").when(size > MAX_PAYLOAD_BYTES, "payload_too_large")
+
+
+def refused_payloads(payloads: DataFrame) -> DataFrame:
+    """The payload rows that ``build_chains`` leaves out, each with its ``reason``."""
+    return payloads.withColumn("reason", refusal()).filter("reason IS NOT NULL")
+
+
 def build_chains(
     payloads: DataFrame,
     heads: DataFrame | None = None,
@@ -48,10 +59,11 @@ def build_chains(
     columns, of which the first is the non-negative source offset of the event.
     ``longest`` is the number of new rows of the largest chain, counted if not given.
     ``heads``: chain_id, entry_count, head of chains that already exist. ``keep`` names
-    payload columns to carry through.
+    payload columns to carry through. Rows that ``refused_payloads`` names are left out.
     """
     order = list(order)
     carried = [c for c in dict.fromkeys([*order, *keep])]
+    payloads = payloads.filter(refusal().isNull())
     rows = payloads.select(
         "chain_id",
         F.col("timestamp").cast("bigint").alias("timestamp"),
@@ -106,21 +118,26 @@ def build_chains(
     return linked.select(*CHAIN_ENTRY_COLUMNS, *keep)
 
 
-def link_groups(entries: DataFrame, trusted: DataFrame | None = None) -> DataFrame:
-    """One row per (chain, index) with the entry and the hash of the entry before it.
-
-    Each entry is sent to its own slot and, as a predecessor, to the next one, so the
-    shuffle key is (chain_id, index): a chain of any length spreads over all tasks.
-    """
+def _own() -> Column:
+    """What is checked of an entry; of several copies of an index the least one stands for it."""
     small = F.octet_length("payload_json") <= MAX_PAYLOAD_BYTES
     recomputed = F.coalesce(small & (row_entry_hash() == F.lower("entry_hash")), F.lit(False))
-    own = F.struct(
+    return F.struct(
         F.col("entry_hash"),
         F.col("prev_hash"),
         F.coalesce(F.col("version") != ENTRY_VERSION, F.lit(True)).alias("bad_version"),
         F.col("payload_type"),
         (~recomputed).alias("bad_hash"),
     )
+
+
+def link_groups(entries: DataFrame, trusted: DataFrame | None = None) -> DataFrame:
+    """One row per (chain, index) with the entry and the hash of the entry before it.
+
+    Each entry is sent to its own slot and, as a predecessor, to the next one, so the
+    shuffle key is (chain_id, index): a chain of any length spreads over all tasks.
+    """
+    own = _own()
     slots = entries.select(
         "chain_id",
         F.explode(
@@ -184,9 +201,9 @@ def verify_chains(
     it should), payload type, link to the entry before, recomputed hash; then, where
     ``expected_heads`` (chain_id, expected_head) names the chain, its head. ``trusted``
     (chain_id, entry_count, head) makes the check incremental: entries must continue it.
-    Profile ``server`` accepts payload types 1 and 2 only.
+    Profile ``two_types`` accepts payload types 1 and 2 only.
     """
-    types = [TYPE_ACCESS, TYPE_DEPLOYMENT] + ([] if profile == "server" else [TYPE_OBSERVED])
+    types = [TYPE_ACCESS, TYPE_DEPLOYMENT] + ([] if profile == "two_types" else [TYPE_OBSERVED])
     slots = link_groups(entries, trusted).withColumn("__error", _slot_error(types, check_type))
     present = F.col("copies") > 0
     found = F.when(
@@ -290,13 +307,18 @@ def last_valid(entries: DataFrame) -> DataFrame:
 
 
 def truncate_to_valid(entries: DataFrame) -> DataFrame:
-    """Keep only the valid prefix of each chain."""
+    """Keep only the valid prefix of each chain, one copy of each of its entries."""
     keep = last_valid(entries).filter("needs_recovery").select("chain_id", "valid_prefix")
-    return (
-        entries.join(keep, "chain_id", "left")
-        .filter(F.col("valid_prefix").isNull() | (F.col("index") < F.col("valid_prefix")))
-        .drop("valid_prefix")
+    whole = entries.join(keep, "chain_id", "left_anti")
+    copies = Window.partitionBy("chain_id", "index").orderBy("__own")
+    cut = (
+        entries.join(keep, "chain_id")
+        .filter(F.col("index") < F.col("valid_prefix"))
+        .withColumn("__own", _own())
+        .withColumn("__copy", F.row_number().over(copies))
+        .filter("__copy = 1")
     )
+    return whole.unionByName(cut.select(*whole.columns))
 
 
 def bisect_divergence(a: DataFrame, b: DataFrame) -> DataFrame:

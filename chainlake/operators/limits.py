@@ -170,7 +170,7 @@ def reject_replayed(
     """Add ``verdict`` (fresh, replayed, expired) to token uses (event_id, jti, seen_at, exp).
 
     A token id stays taken until the expiry of its last fresh use; there is no cap on
-    how many ids are remembered.
+    how many ids are remembered. Uses without an id have the verdict missing_jti.
     """
 
     def step(state, seen_at, exp):
@@ -179,7 +179,7 @@ def reject_replayed(
         return state, (verdict, state)
 
     rows, longest = _by_arrival(tokens, "jti", order, bucket_rows)
-    return ordered_fold(
+    folded = ordered_fold(
         rows,
         "jti",
         "__i",
@@ -190,3 +190,5 @@ def reject_replayed(
         longest,
         segment_rows,
     ).drop("__i", "__stored_exp")
+    keyless = tokens.filter(F.col("jti").isNull()).withColumn("verdict", F.lit("missing_jti"))
+    return folded.unionByName(keyless)

@@ -237,7 +237,9 @@ def assignment_from_seed(seeds: pd.Series, replicas: pd.Series) -> pd.DataFrame:
     """Verifier ordinal and lifetime that a recorded seed determines."""
 
     def derive(seed_hex, count):
-        seed = bytes.fromhex(seed_hex)
+        if pd.isna(count) or count < 2 or seed_hex is None:
+            return None, None  # nobody is left to verify
+        count, seed = int(count), bytes.fromhex(seed_hex)
         order, state = list(range(1, count)), seed
         for i in range(len(order) - 1, 0, -1):
             j = int.from_bytes(state[:8], "big") % (i + 1)
@@ -247,7 +249,7 @@ def assignment_from_seed(seeds: pd.Series, replicas: pd.Series) -> pd.DataFrame:
         return order[0], ttl
 
     return pd.DataFrame(
-        [derive(s, int(n)) for s, n in zip(seeds, replicas)], columns=["verifier_ordinal", "ttl_secs"]
+        [derive(s, n) for s, n in zip(seeds, replicas)], columns=["verifier_ordinal", "ttl_secs"], dtype="object"
     )
 
 

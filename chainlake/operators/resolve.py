@@ -168,6 +168,33 @@ def valid_patterns(patterns: list[tuple[str, str]]) -> list[tuple[str, str, int]
     return out
 
 
+def group_start(regex: str, number: int) -> int:
+    """Position of the bracket that opens a numbered group."""
+    count, at, in_class = 0, 0, False
+    while at < len(regex):
+        char = regex[at]
+        if char == "\\":
+            at += 1
+        elif in_class:
+            in_class = char != "]"
+        elif char == "[":
+            in_class = True
+        elif char == "(" and regex[at + 1 : at + 2] != "?":
+            count += 1
+            if count == number:
+                return at
+        at += 1
+    raise ValueError(f"{regex} has no group {number}")
+
+
+def _compiles(regex: str) -> bool:
+    try:
+        re.compile(regex)
+    except re.error:
+        return False
+    return True
+
+
 def _bucket_matches(bucket: str) -> Column:
     return F.lit(True) if bucket == "*" else F.col("bucket") == bucket
 
@@ -205,12 +232,18 @@ def fingerprint_requests(requests: DataFrame, patterns: list[tuple[str, str]]) -
     """
     normalized = F.lit(None).cast("string")
     for bucket, regex, group in reversed(valid_patterns(patterns)):
-        # The match starts where the text before it ends; the id lies inside the match.
-        whole = F.regexp_substr(F.col("key"), F.lit(regex))
-        user = F.regexp_extract("key", regex, group)
-        head = F.left(F.col("key"), F.position(whole, F.col("key")) - 1)
-        offset = F.position(user, whole)
-        prefix = F.concat(head, F.left(whole, offset - 1))
+        # The text before the id is a group of its own, since the id may also occur earlier.
+        at = group_start(regex, group)
+        split = rf"\A([\s\S]*?)({regex[:at]}){regex[at:]}"
+        if _compiles(regex[:at]) and "|" not in regex:
+            user = F.regexp_extract("key", split, group + 2)
+            prefix = F.concat(F.regexp_extract("key", split, 1), F.regexp_extract("key", split, 2))
+        else:
+            # The id is inside another group or an alternative: take its first place in the match.
+            whole = F.regexp_substr(F.col("key"), F.lit(regex))
+            user = F.regexp_extract("key", regex, group)
+            head = F.left(F.col("key"), F.position(whole, F.col("key")) - 1)
+            prefix = F.concat(head, F.left(whole, F.position(user, whole) - 1))
         more = F.length(prefix) + F.length(user) < F.length("key")
         text = F.concat(prefix, F.lit("{user_id}"), F.when(more, "/*").otherwise(""))
         normalized = F.when(_bucket_matches(bucket) & F.col("key").rlike(regex), text).otherwise(normalized)

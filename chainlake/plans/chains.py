@@ -159,8 +159,8 @@ def recovery_last_valid(spark, sf_dir):
 @query(
     "recovery_truncate",
     f"""WITH {fx.TAMPERED_SQL}
-    SELECT chain_id, CASE WHEN k = 6 THEN m + 2 ELSE valid_prefix END AS kept FROM verdicts
-    WHERE CASE WHEN k = 6 THEN m + 2 ELSE valid_prefix END > 0""",
+    SELECT chain_id, CASE WHEN k = 6 THEN m + 1 ELSE valid_prefix END AS kept FROM verdicts
+    WHERE CASE WHEN k = 6 THEN m + 1 ELSE valid_prefix END > 0""",
 )
 def recovery_truncate(spark, sf_dir):
     kept = chain.truncate_to_valid(fx.tampered_chains(spark, sf_dir))

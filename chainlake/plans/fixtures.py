@@ -314,7 +314,7 @@ STATEMENTS = {
     "error": "DELETE FROM messages WHERE sender_id = '{u}' OR recipient_id >= {v} -- {k}",
 }
 BROKEN = "SELECT 'open FROM users WHERE id = {u}"
-UTILITY = "SHOW server_version"
+UTILITY = "SHOW timezone"
 
 
 def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,7 +42,7 @@ SHAPES = {
     "error": "delete from messages where sender_id = ? or recipient_id >= ?",
 }
 SHAPE_SQL = fx.log_case_sql(
-    SHAPES, broken=f"lower({fx._format_sql(fx.BROKEN)})", utility="'show server_version'"
+    SHAPES, broken=f"lower({fx._format_sql(fx.BROKEN)})", utility="'show timezone'"
 )
 
 

@@ -253,7 +253,10 @@ def token_bucket_ip(spark, sf_dir):
 def token_uses(spark, sf_dir):
     return fx.table(spark, sf_dir, "events").select(
         "event_id",
-        F.md5(F.concat_ws("|", (F.col("user_id") * 10).cast("string"), F.col("event_id") % 3)).alias("jti"),
+        F.when(
+            F.col("event_id") % 11 != 0,
+            F.md5(F.concat_ws("|", (F.col("user_id") * 10).cast("string"), F.col("event_id") % 3)),
+        ).alias("jti"),
         ms_to_seconds(fx.event_ms()).alias("seen_at"),
         (
             ms_to_seconds(fx.event_ms()) + F.when(F.col("event_id") % 7 == 0, -5).otherwise(200_000)
@@ -262,9 +265,9 @@ def token_uses(spark, sf_dir):
 
 
 REPLAY_SQL = """WITH RECURSIVE u AS (
-      SELECT event_id, md5((user_id * 10) || '|' || (event_id % 3)) AS jti, epoch_us(ts) // 1000000 AS seen_at,
+      SELECT event_id, CASE WHEN event_id % 11 != 0 THEN md5((user_id * 10) || '|' || (event_id % 3)) END AS jti, epoch_us(ts) // 1000000 AS seen_at,
         epoch_us(ts) // 1000000 + CASE WHEN event_id % 7 = 0 THEN -5 ELSE 200000 END AS exp FROM events),
-    n AS (SELECT *, row_number() OVER (PARTITION BY jti ORDER BY event_id) AS i FROM u),
+    n AS (SELECT *, row_number() OVER (PARTITION BY jti ORDER BY event_id) AS i FROM u WHERE jti IS NOT NULL),
     b AS (
       SELECT jti, i, event_id, CASE WHEN exp <= seen_at THEN NULL ELSE exp END AS stored,
         CASE WHEN exp <= seen_at THEN 'expired' ELSE 'fresh' END AS verdict FROM n WHERE i = 1
@@ -273,7 +276,7 @@ REPLAY_SQL = """WITH RECURSIVE u AS (
         CASE WHEN n.exp <= n.seen_at OR b.stored > n.seen_at THEN b.stored ELSE n.exp END,
         CASE WHEN n.exp <= n.seen_at THEN 'expired' WHEN b.stored > n.seen_at THEN 'replayed' ELSE 'fresh' END
       FROM b JOIN n ON n.jti = b.jti AND n.i = b.i + 1)
-    SELECT event_id, verdict FROM b"""
+    SELECT event_id, verdict FROM b UNION ALL SELECT event_id, 'missing_jti' FROM u WHERE jti IS NULL"""
 
 
 @query("reject_replayed", REPLAY_SQL)

@@ -26,7 +26,10 @@ _CURSORS = "cursor_prx BIGINT, cursor_obs BIGINT, divergent BOOLEAN, entries_ver
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as exc:
+        # Only a folder that isn't there yet is an empty table; anything else is an error.
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 

@@ -43,6 +43,10 @@ class TokenBucket(_Processor):
         self.bucket = handle.getValueState("bucket", "tokens DOUBLE, last_ms BIGINT", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues):
+        if key[0] is None:
+            for pdf in rows:
+                yield pd.DataFrame({"event_id": pdf["event_id"], "allowed": True})
+            return
         pdf = _ordered(rows, "event_id")
         state = tuple(self.bucket.get()) if self.bucket.exists() else None
         allowed = []
@@ -80,6 +84,10 @@ class ReplayedTokens(_Processor):
         self.exp = handle.getValueState("exp", "exp BIGINT")
 
     def handleInputRows(self, key, rows, timerValues):
+        if key[0] is None:
+            for pdf in rows:
+                yield pd.DataFrame({"event_id": pdf["event_id"], "verdict": "missing_jti"})
+            return
         pdf = _ordered(rows, "event_id")
         before = self.exp.get()[0] if self.exp.exists() else None
         stored, verdicts = before, []

@@ -132,7 +132,7 @@ def test_observed_type_by_profile(spark):
     rows = payload_rows(spark, {"o": 2}).withColumn("payload_type", F.lit(3))
     built = chain.build_chains(rows).cache()
     assert verdict(built)["o"] == (None, 2)
-    assert verdict(built, profile="server")["o"] == ("payload_type", 0)
+    assert verdict(built, profile="two_types")["o"] == ("payload_type", 0)
 
 
 def test_oversize_payload_fails(spark):
