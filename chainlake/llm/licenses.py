@@ -213,7 +213,7 @@ def learn(documents: DataFrame, text_col: str = "text", size: int = SAMPLE) -> C
     order = F.xxhash64("p")
     total = documents.count()
     # Paragraphs by a hash threshold first, so that the ordering below sees few rows.
-    share = min(1_000_000, 4_000_000 * size // max(total, 1) + 1)
+    share = min(1_000_000, 1_000_000 * size // max(total, 1) + 1)
     near = lines.filter(F.pmod(order, F.lit(1_000_000)) < share).select(order.alias("h"), F.substring("p", 1, 600).alias("p"))
     return fit([r["p"] for r in near.orderBy("h", "p").limit(size).collect()])
 
