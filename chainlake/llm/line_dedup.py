@@ -18,10 +18,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chainlake.session import materialize
+
 MAX_RATIO = 0.1
 MIN_PAGES = 5
-#: Rows of per-host data that may be broadcast; beyond it the planner picks a shuffle join.
-BROADCAST_HOSTS = 10_000
+#: Line hashes, and characters of boilerplate, that may be broadcast; beyond it the planner
+#: picks a shuffle join.
+BROADCAST_HASHES = 500_000
+BROADCAST_CHARS = 16_000_000
 
 
 def lines_of(text: Column) -> Column:
@@ -45,6 +49,10 @@ def boilerplate(
     hashes = single.groupBy(*keys, F.xxhash64("line").alias("h")).agg(F.count("*").alias("n"))
     hashes = hashes.filter(F.col("n") >= min_pages)
     often = hashes.join(totals, keys).filter(F.col("n") > least).select(*keys, "h")
+    # Few hashes pass; with their number known, the second pass moves no text either.
+    often = materialize(often, "line-hashes")
+    if often.count() <= BROADCAST_HASHES:
+        often = F.broadcast(often)
     lines = (
         single.withColumn("h", F.xxhash64("line"))
         .join(often, [*keys, "h"], "left_semi")
@@ -74,7 +82,9 @@ def dedup(
     found = boilerplate(pages, host, text_col, max_ratio, min_pages).select(
         F.col("host").alias("__host"), F.col("nohost").alias("__nohost"), F.col("lines").alias("__bp")
     )
-    if pages.select(host.alias("h")).distinct().limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
+    found = materialize(found, "boilerplate")
+    size = found.agg(F.sum(F.length("__host") + F.length(F.array_join("__bp", "\n")) + 64)).first()[0]
+    if (size or 0) <= BROADCAST_CHARS:
         found = F.broadcast(found)
     joined = pages.withColumns(
         {"__h": F.coalesce(host.cast("string"), F.lit("")), "__hnull": host.isNull()}
