@@ -5,6 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+from chainlake.functions.crypto import row_entry_hash
 from chainlake.operators import chain, read
 from chainlake.schemas import CHAIN_ENTRY, ZERO_HASH
 
@@ -136,8 +137,12 @@ def test_observed_type_by_profile(spark):
 
 
 def test_oversize_payload_fails(spark):
-    rows = payload_rows(spark, {"o": 2}).withColumn("payload_json", F.repeat(F.lit("x"), 1_048_577))
-    assert verdict(chain.build_chains(rows))["o"] == ("tampered_entry", 0)
+    large = F.repeat(F.lit("x"), 1_048_577)
+    rows = payload_rows(spark, {"o": 1})
+    assert chain.build_chains(rows.withColumn("payload_json", large)).count() == 0
+    # An entry that was stored all the same fails, though its hash is right.
+    stored = chain.build_chains(rows).withColumn("payload_json", large)
+    assert verdict(stored.withColumn("entry_hash", row_entry_hash()))["o"] == ("tampered_entry", 0)
 
 
 def test_last_valid_prefix(spark, built):
