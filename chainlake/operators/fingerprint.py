@@ -1,14 +1,15 @@
 """Log-wide fingerprints and statement analysis, as regular-expression projections.
 
-Quoted text is taken out first by splitting on the quote character: odd pieces are
-literal contents. The patterns therefore never meet a quote, run in linear time on
-statements of any length and stay inside the JVM. This covers the statement forms an
-access log needs; it is not a SQL grammar.
+Literals, quoted identifiers and comments are taken out first, from left to right by one
+pattern, so none of them is looked for inside another. The patterns after that never meet a
+quote, run in linear time on statements of any length and stay inside the JVM. This covers
+the statement forms an access log needs; it is not a SQL grammar.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,8 +21,6 @@ from chainlake.functions.text import command_action
 # Fixed values: (pattern, replacement) steps that bring a statement whose quoted
 # literals are already "?" to its canonical spacing. RE2-compatible.
 NORMALIZE_STEPS = [
-    (r"/\*[^*]*\*+(?:[^/*][^*]*\*+)*/", " "),
-    (r"--[^\n]*", " "),
     (r"(?:\?)+", "?"),
     (r"(?i)\b[exbn]\?", "?"),
     (r"(^|[^A-Za-z0-9_$.\"])[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?\b", "$1?"),
@@ -37,19 +36,36 @@ NORMALIZE_STEPS = [
     (r"^\s+|\s+$", ""),
 ]
 _MARK = "\u0001"
+#: Stands around the number of a quoted identifier, so that it reads as a plain name.
+_NAME_MARK = "__qid__"
+#: Literals, quoted identifiers and comments. A doubled quote makes two literals that touch.
+_QUOTED = r"""'[^']*'|"[^"]*"|/\*[^*]*\*+(?:[^/*][^*]*\*+)*/|--[^\n]*"""
 
 
-def _pieces(statement: Column) -> Column:
-    return F.split(statement, "'", -1)
+def _cut(statement: Column) -> tuple[Column, Column]:
+    """(text between quoted parts and comments, those parts)."""
+    return F.split(statement, _QUOTED, -1), F.regexp_extract_all(statement, F.lit(_QUOTED), F.lit(0))
+
+
+def _balanced(between: Column) -> Column:
+    """Whether no quote or comment is left open."""
+    return ~F.exists(between, lambda p: p.contains("'") | p.contains('"') | p.contains("/*"))
+
+
+def _rejoin(between: Column, stand_ins: Column) -> Column:
+    return F.array_join(F.zip_with(between, stand_ins, lambda p, t: F.concat(p, F.coalesce(t, F.lit("")))), "")
 
 
 def normalize_sql(statement: Column) -> Column:
     """Literals to ``?``, canonical spacing, lower case; unbalanced quotes: lower-cased raw text."""
-    pieces = _pieces(statement)
-    text = F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 0, p).otherwise("?")), "")
+    between, quoted = _cut(statement)
+    text = _rejoin(
+        between,
+        F.transform(quoted, lambda t: F.when(t.startswith("'"), "?").when(t.startswith('"'), t).otherwise(" ")),
+    )
     for pattern, replacement in NORMALIZE_STEPS:
         text = F.regexp_replace(text, pattern, replacement)
-    return F.lower(F.when(F.size(pieces) % 2 == 1, text).otherwise(statement))
+    return F.lower(F.when(_balanced(between), text).otherwise(statement))
 
 
 def fingerprint_queries(log: DataFrame, column: str = "statement") -> DataFrame:
@@ -74,23 +90,42 @@ _LITERAL = rf"^(?:-\s*)?(?:[0-9][\w.]*|(?:{_MARK}[0-9]+{_MARK})+|(?i:true|false|
 
 
 def _first_statement(masked: Column) -> Column:
-    return F.trim(F.split_part(masked, F.lit(";"), F.lit(1)))
+    return F.btrim(F.split_part(masked, F.lit(";"), F.lit(1)), F.lit(" \t\r\n"))
+
 
+def _nested(depth: int) -> str:
+    """Pattern of a pair of parentheses with others inside, down to ``depth``."""
+    inner = f"|{_nested(depth - 1)}" if depth else ""
+    return rf"\((?:[^()]++{inner})*+\)"
 
-def _restore(text: Column, pieces: Column) -> Column:
-    """Put quoted literals back in place of their marks."""
-    parts = F.split(text, _MARK, -1)
+
+#: One common table expression; its query may hold parentheses six deep.
+_CTE = rf"{_NAME}\s*(?:\([^()]*+\)\s*)?as\s*(?:(?:not\s+)?materialized\s*)?{_nested(6)}"
+_WITH = rf"(?is)^with\s+(?:recursive\s+)?{_CTE}(?:\s*,\s*{_CTE})*+\s*"
+
+
+def _put_back(text: Column, mark: str, quoted: Column, of: Callable[[Column], Column] = lambda t: t) -> Column:
+    """Put ``of`` the quoted parts in place of their numbers, which stand between two ``mark``."""
+    number = lambda x: F.try_to_number(x, F.lit("999999999")).cast("int")
     return F.array_join(
         F.transform(
-            parts,
-            lambda x, i: F.when(i % 2 == 0, x).otherwise(
-                F.concat(F.lit("'"), F.get(pieces, F.try_to_number(x, F.lit("999999999")).cast("int")), F.lit("'"))
-            ),
+            F.split(text, mark, -1), lambda x, i: F.when(i % 2 == 0, x).otherwise(of(F.get(quoted, number(x))))
         ),
         "",
     )
 
 
+def _restore(text: Column, quoted: Column) -> Column:
+    """Literals and quoted identifiers as they were written."""
+    return _put_back(_put_back(text, _MARK, quoted), _NAME_MARK, quoted)
+
+
+def _named(text: Column, quoted: Column) -> Column:
+    """Identifiers without their quotes."""
+    bare = lambda t: F.substring(t, F.lit(2), F.length(t) - 2)
+    return _put_back(text, _NAME_MARK, quoted, bare)
+
+
 def _items(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, _COMMA), lambda x: F.trim(x)), lambda x: x != "")
 
@@ -98,25 +133,24 @@ def _items(text: Column) -> Column:
 def analyze_queries(log: DataFrame, column: str = "statement") -> DataFrame:
     """Add action, tables, columns, filters and raw_where of each statement's first part.
 
-    Unknown statements and unbalanced quotes give a null action and empty arrays.
+    A query after common table expressions counts alone. Unknown statements and unbalanced
+    quotes give a null action and empty arrays.
     """
-    pieces = _pieces(F.col(column))
-    masked = F.array_join(
-        F.transform(
-            pieces,
-            lambda p, i: F.when(i % 2 == 0, p).otherwise(
-                F.concat(F.lit(_MARK), i.cast("string"), F.lit(_MARK))
-            ),
-        ),
-        "",
-    )
-    masked = F.regexp_replace(masked, r"/\*[^*]*\*+(?:[^/*][^*]*\*+)*/|--[^\n]*", " ")
-    flat = _first_statement(masked)
+    between, quoted = _cut(F.col(column))
+
+    def stand_in(t: Column, i: Column) -> Column:
+        wrap = lambda mark: F.concat(F.lit(mark), i.cast("string"), F.lit(mark))
+        return F.when(t.startswith("'"), wrap(_MARK)).when(t.startswith('"'), wrap(_NAME_MARK)).otherwise(" ")
+
+    first = _first_statement(_rejoin(between, F.transform(quoted, stand_in)))
+    df = log.withColumns({"__pieces": quoted, "__first": F.when(_balanced(between), first).otherwise("")})
+    # Anchored, and left as it is before anything but a query, which then gives only an action.
+    flat = F.regexp_replace("__first", _WITH + r"(?=select\b)", "")
     for _ in range(3):
         flat = F.regexp_replace(flat, r"(?i)\(\s*select\b[^()]*\)", "(subquery)")
-    df = log.withColumns({"__pieces": pieces, "__text": flat})
+    df = df.withColumn("__text", flat)
 
-    text = F.when(F.size("__pieces") % 2 == 1, F.col("__text")).otherwise("")
+    text = F.col("__text")
     verb = F.lower(F.regexp_extract(text, r"^([A-Za-z]+)", 1))
     is_table_ddl = text.rlike(r"(?i)^(?:create(?:\s+(?:temp|temporary|unlogged))?|alter)\s+table\b")
     is_drop = verb == "drop"
@@ -129,7 +163,7 @@ def analyze_queries(log: DataFrame, column: str = "statement") -> DataFrame:
     )
     df = df.withColumns({"action": action, "__verb": verb})
 
-    text, verb = F.col("__text"), F.col("__verb")
+    verb = F.col("__verb")
     reads = (verb == "select") & ~is_set_operation
     from_list = _extract(text, rf"(?is)\bfrom\s+(.*?)(?:\s+(?:where|set|values|{_TAIL[:-2]})\b.*)?$")
     joins = F.regexp_replace(
@@ -150,7 +184,8 @@ def analyze_queries(log: DataFrame, column: str = "statement") -> DataFrame:
     def table(item: Column) -> Column:
         sub = item.rlike(r"(?i)^\(subquery\)")
         alias = _extract(item, rf"(?i)^(?:\(subquery\)|{_NAME})\s+(?:as\s+)?(\w+)")
-        name = F.regexp_replace(F.regexp_extract(item, rf"^({_NAME})", 1), '"', "")
+        name = _named(F.regexp_extract(item, rf"^({_NAME})", 1), F.col("__pieces"))
+        alias = _named(alias, F.col("__pieces"))
         return F.struct(F.when(sub, "(subquery)").otherwise(name).alias("name"), alias.alias("alias"))
 
     tables = F.filter(
@@ -192,6 +227,8 @@ def analyze_queries(log: DataFrame, column: str = "statement") -> DataFrame:
         value = F.trim(value)
         return F.when(value.rlike(_LITERAL), _restore(value, F.col("__pieces")))
 
+    named = lambda c: _named(c, F.col("__pieces"))
+
     def predicate(term: Column) -> Column:
         term = F.regexp_replace(F.trim(term), r"^[\s(]+(?!subquery)", "")
         compared = r"(?is)^([\w.]+)\s*(=|<>|!=|<=|>=|<|>)\s*(.*)$"
@@ -202,19 +239,19 @@ def analyze_queries(log: DataFrame, column: str = "statement") -> DataFrame:
         )
         operator = F.regexp_extract(term, compared, 2)
         by_list = F.struct(
-            F.regexp_extract(term, listed, 1).alias("column"),
+            named(F.regexp_extract(term, listed, 1)).alias("column"),
             F.lit("IN").alias("operator"),
             F.concat(F.lit("("), F.array_join(in_values, ", "), F.lit(")")).alias("value"),
         )
         by_null = F.struct(
-            F.regexp_extract(term, null_test, 1).alias("column"),
+            named(F.regexp_extract(term, null_test, 1)).alias("column"),
             F.when(F.regexp_extract(term, null_test, 2) != "", "IS NOT NULL")
             .otherwise("IS NULL")
             .alias("operator"),
             F.lit(None).cast("string").alias("value"),
         )
         by_value = F.struct(
-            F.regexp_extract(term, compared, 1).alias("column"),
+            named(F.regexp_extract(term, compared, 1)).alias("column"),
             F.when(operator == "!=", "<>").otherwise(operator).alias("operator"),
             literal(F.regexp_replace(F.regexp_extract(term, compared, 3), r"\)+$", "")).alias("value"),
         )
@@ -232,12 +269,12 @@ def analyze_queries(log: DataFrame, column: str = "statement") -> DataFrame:
             "tables": tables,
             "columns": F.transform(
                 F.array_compact(F.coalesce(columns, no_strings)),
-                lambda c: _restore(c, F.col("__pieces")),
+                lambda c: _restore(_named(c, F.col("__pieces")), F.col("__pieces")),
             ),
             "filters": filters,
             "raw_where": _restore(where, F.col("__pieces")),
         }
-    ).drop("__pieces", "__text", "__verb")
+    ).drop("__pieces", "__first", "__text", "__verb")
 
 
 def analyze_commands(log: DataFrame, column: str = "statement") -> DataFrame:

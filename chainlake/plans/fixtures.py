@@ -287,17 +287,17 @@ def _format_sql(template: str) -> str:
     return text
 
 
-def by_action(values: dict[str, str]) -> Column:
+def by_action(values: dict[str, str], kind: Column | None = None) -> Column:
     out = None
     for event_type, template in values.items():
-        cond = F.col("event_type") == event_type
+        cond = (F.col("event_type") if kind is None else kind) == event_type
         out = F.when(cond, _format(template)) if out is None else out.when(cond, _format(template))
     return out
 
 
-def by_action_sql(values: dict[str, str | None]) -> str:
+def by_action_sql(values: dict[str, str | None], kind: str = "event_type") -> str:
     return (
-        "CASE event_type "
+        f"CASE {kind} "
         + " ".join(
             f"WHEN '{t}' THEN {'NULL' if v is None else _format_sql(v)}" for t, v in values.items()
         )
@@ -312,7 +312,16 @@ STATEMENTS = {
     "WHERE (o.user_id = {u} OR u.flag IS NOT NULL) AND paid = true GROUP BY o.id ORDER BY n LIMIT 10;",
     "signup": "ALTER TABLE payments ADD COLUMN c{k} int",
     "error": "DELETE FROM messages WHERE sender_id = '{u}' OR recipient_id >= {v} -- {k}",
+    "quoted": """SELECT "name", u."email" FROM "users" u WHERE u."id" = {u} AND "o'x" = 'a'""",
+    "with": "WITH a AS (SELECT max(x) FROM t WHERE k IN (1, 2)), b (y) AS (SELECT 1) "
+    "SELECT users.name FROM users, a WHERE id = {u}",
+    "remark": "SELECT email /* it's */ FROM users -- o'clock\nWHERE id = {u}",
 }
+#: Some events hold statements of these kinds instead of their type's.
+_KINDS = {"quoted": 31, "with": 37, "remark": 41}
+_KIND_SQL = (
+    "CASE " + " ".join(f"WHEN event_id % {n} = 0 THEN '{k}'" for k, n in _KINDS.items()) + " ELSE event_type END"
+)
 BROKEN = "SELECT 'open FROM users WHERE id = {u}"
 UTILITY = "SHOW timezone"
 
@@ -321,7 +330,7 @@ def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     statement = (
         F.when(F.col("event_id") % 29 == 0, _format(BROKEN))
         .when(F.col("event_id") % 23 == 0, UTILITY)
-        .otherwise(by_action(STATEMENTS))
+        .otherwise(by_action(STATEMENTS, F.expr(_KIND_SQL)))
     )
     return table(spark, sf_dir, "events").select(
         "event_id",
@@ -338,7 +347,7 @@ def log_case_sql(values: dict[str, str | None], broken: str = "NULL", utility: s
     """Per-statement expectation: the template's, or what broken and utility statements give."""
     return (
         f"CASE WHEN event_id % 29 = 0 THEN {broken} WHEN event_id % 23 = 0 THEN {utility} "
-        f"ELSE {by_action_sql(values)} END"
+        f"ELSE {by_action_sql(values, _KIND_SQL)} END"
     )
 
 

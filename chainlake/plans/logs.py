@@ -40,6 +40,9 @@ SHAPES = {
     "where (o.user_id = ? or u.flag is not null) and paid = ? group by o.id order by n limit ?",
     "signup": "alter table payments add column c{k} int",
     "error": "delete from messages where sender_id = ? or recipient_id >= ?",
+    "quoted": """select "name", u."email" from "users" u where u."id" = ? and "o'x" = ?""",
+    "with": "with a as (select max(x) from t where k in (?, ?)), b (y) as (select ?) select users.name from users, a where id = ?",
+    "remark": "select email from users where id = ?",
 }
 SHAPE_SQL = fx.log_case_sql(
     SHAPES, broken=f"lower({fx._format_sql(fx.BROKEN)})", utility="'show timezone'"
@@ -70,15 +73,27 @@ def top_fingerprints(spark, sf_dir):
     return fingerprint.top_fingerprints(shapes.join(users, "event_id"))
 
 
-_TABLES = {"view": "users", "click": "orders", "purchase": "public.orders, users", "signup": "payments", "error": "messages"}
-_ALIASES = {"view": "u", "click": "", "purchase": "o, u", "signup": "", "error": ""}
-_COLUMNS = {"view": "name, email", "click": "note, qty", "purchase": "id, count(*)", "signup": "", "error": ""}
+_TABLES = {
+    "view": "users", "click": "orders", "purchase": "public.orders, users", "signup": "payments", "error": "messages",
+    "quoted": "users", "with": "users, a", "remark": "users",
+}
+_ALIASES = {
+    "view": "u", "click": "", "purchase": "o, u", "signup": "", "error": "",
+    "quoted": "u", "with": "", "remark": "",
+}
+_COLUMNS = {
+    "view": "name, email", "click": "note, qty", "purchase": "id, count(*)", "signup": "", "error": "",
+    "quoted": "name, email", "with": "name", "remark": "email",
+}
 _FILTERS = {
     "view": "u.id = {u} | status = 'active'",
     "click": "user_id IN ({u}, {v}) | region <> 'x;y'",
     "purchase": "o.user_id = {u} | u.flag IS NOT NULL ~ | paid = true",
     "signup": "",
     "error": "sender_id = '{u}' | recipient_id >= {v}",
+    "quoted": "u.id = {u} | o'x = 'a'",
+    "with": "id = {u}",
+    "remark": "id = {u}",
 }
 _WHERE = {
     "view": "u.id = {u} AND status = 'active'",
@@ -86,8 +101,14 @@ _WHERE = {
     "purchase": "(o.user_id = {u} OR u.flag IS NOT NULL) AND paid = true",
     "signup": None,
     "error": "sender_id = '{u}' OR recipient_id >= {v}",
+    "quoted": """u."id" = {u} AND "o'x" = 'a'""",
+    "with": "id = {u}",
+    "remark": "id = {u}",
 }
-_ACTIONS = {"view": "read", "click": "write", "purchase": "read", "signup": "schema_change", "error": "delete"}
+_ACTIONS = {
+    "view": "read", "click": "write", "purchase": "read", "signup": "schema_change", "error": "delete",
+    "quoted": "read", "with": "read", "remark": "read",
+}
 
 
 @query(
@@ -115,7 +136,10 @@ def analyze_queries(spark, sf_dir):
     )
 
 
-_USERS = {"view": "{u}", "click": "{u},{v}", "purchase": "{u}", "signup": "", "error": "{u}"}
+_USERS = {
+    "view": "{u}", "click": "{u},{v}", "purchase": "{u}", "signup": "", "error": "{u}",
+    "quoted": "{u}", "with": "{u}", "remark": "{u}",
+}
 
 
 @query(
@@ -255,7 +279,10 @@ def fingerprint_commands(spark, sf_dir):
     return rows.select("event_id", "query_shape", "query_fingerprint")
 
 
-_DOC_USERS = {"view": "{u}", "click": "{u},{v}", "purchase": "{u}", "signup": "", "error": "{u}"}
+_DOC_USERS = {
+    "view": "{u}", "click": "{u},{v}", "purchase": "{u}", "signup": "", "error": "{u}",
+    "quoted": "{u}", "with": "{u}", "remark": "{u}",
+}
 
 
 @query(

@@ -176,6 +176,14 @@ def test_statement_analysis(spark):
              "c IS NOT NULL AND d NOT IN ('p', 'q')"),
         "SELECT a FROM t WHERE b = c AND x = -5": ("read", ["t"], ["a"], [("b", "=", None), ("x", "=", "-5")], "b = c AND x = -5"),
         "EXPLAIN x": (None, [], [], [], None),
+        'SELECT "a b", t."c" FROM "s"."t" WHERE "id" = 42': ("read", ["s.t"], ["a b", "c"], [("id", "=", "42")], '"id" = 42'),
+        "WITH RECURSIVE a AS NOT MATERIALIZED (SELECT f(g(1)) FROM b UNION SELECT ')') SELECT x FROM users WHERE id = 42":
+            ("read", ["users"], ["x"], [("id", "=", "42")], "id = 42"),
+        "WITH a AS (SELECT 1) DELETE FROM users WHERE id = 1": ("read", [], [], [], None),
+        "SELECT x FROM t WHERE id = 7 /* it's */ -- don't\n": ("read", ["t"], ["x"], [("id", "=", "7")], "id = 7"),
+        "INSERT INTO t (a) VALUES ('open": (None, [], [], [], None),
+        "SELECT a FROM t WHERE b = 'it''s -- \"x' AND c = '/*'":
+            ("read", ["t"], ["a"], [("b", "=", "'it''s -- \"x'"), ("c", "=", "'/*'")], "b = 'it''s -- \"x' AND c = '/*'"),
     }
     df = spark.createDataFrame([(k,) for k in cases], "statement STRING")
     for r in fingerprint.analyze_queries(df).collect():
