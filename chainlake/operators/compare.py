@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chainlake.functions.canon import canonicalize, is_plain, with_canonical
+from chainlake.functions.canon import canonicalize, with_canonical
 from chainlake.operators.events import is_projectable, observed_members, parse_deployment
 from chainlake.operators.fold import ordered_fold
 from chainlake.operators.scan import BUCKET_ROWS, bucket_of, dense_ordinal, longest_key
@@ -85,13 +85,6 @@ def observer_missing(proxy: DataFrame, observed: DataFrame) -> DataFrame:
     return observed.select("payload").exceptAll(proxy.select("payload"))
 
 
-def _canonical(c: Column) -> tuple[Column, Column]:
-    """Canonical text of stored payload text, and whether it has none."""
-    plain = is_plain(c) & ~c.contains("null")
-    parsed = canonicalize(F.when(~plain, c))
-    return F.when(plain, c).otherwise(parsed["canonical"]), parsed["error"].isNotNull()
-
-
 def process2(
     proxy: DataFrame,
     observer: DataFrame,
@@ -104,7 +97,8 @@ def process2(
     """Pair the i-th projectable log entry with the i-th observed entry; one result row.
 
     Both inputs are one chain each with dense indexes. ``limit`` reads at most that many
-    entries per side, as one page.
+    entries per side, as one page. Observed text may have its members in any order; a side
+    without canonical text is named in ``canon_error_side``.
     """
     prx = proxy.filter(F.col("index") >= cursor_prx)
     obs = observer.filter(F.col("index") >= cursor_obs)
@@ -122,18 +116,24 @@ def process2(
         projected, [], ["index"], bucket_of(F.col("index"), bucket_rows), "ordinal", read, bucket_rows
     )
     left = numbered.select("ordinal", F.col("index").alias("prx_index"), "prx_json")
-    canonical, bad = _canonical(F.col("payload_json"))
     right = obs.select(
         (F.col("index") - cursor_obs).alias("ordinal"),
         F.col("index").alias("obs_index"),
-        canonical.alias("obs_json"),
         F.col("payload_json").alias("obs_raw"),
-        bad.alias("obs_bad"),
     )
     pairs = left.join(right, "ordinal", "full_outer")
     paired = F.col("prx_index").isNotNull() & F.col("obs_index").isNotNull()
-    wrong = paired & (F.col("obs_bad") | ~F.col("prx_json").eqNullSafe(F.col("obs_json")))
-    detail = F.struct("ordinal", "prx_index", "obs_index", "prx_json", "obs_raw", "obs_bad")
+    # The proxy's text is canonical, so text equal to it is too; only the rest is parsed.
+    equal = F.coalesce(F.col("prx_json") == F.col("obs_raw"), F.lit(False))
+    pairs = pairs.withColumn("parsed", canonicalize(F.when(paired & ~equal, F.col("obs_raw"))))
+    pairs = pairs.withColumns(
+        {
+            "prx_bad": F.col("prx_json").isNull(),
+            "obs_bad": ~equal & F.col("parsed.canonical").isNull(),
+        }
+    )
+    wrong = paired & ~equal & ~F.coalesce(F.col("prx_json") == F.col("parsed.canonical"), F.lit(False))
+    detail = F.struct("ordinal", "prx_index", "obs_index", "prx_json", "obs_raw", "prx_bad", "obs_bad")
     none = F.lit(None).cast("bigint")
     walked = pairs.agg(
         F.min_by(F.when(wrong, detail), F.when(wrong, F.col("ordinal"))).alias("bad"),
@@ -167,7 +167,10 @@ def process2(
         ).cast("bigint").alias("tail_depth"),
         F.col("bad.prx_json").alias("proxy_payload"),
         F.col("bad.obs_raw").alias("observed_payload"),
-        F.when(F.col("bad.obs_bad"), "observer").alias("canon_error_side"),
+        F.when(F.col("bad.prx_bad") & F.col("bad.obs_bad"), "both")
+        .when(F.col("bad.prx_bad"), "proxy")
+        .when(F.col("bad.obs_bad"), "observer")
+        .alias("canon_error_side"),
     )
 
 

@@ -29,7 +29,16 @@ def without_chains(entries: DataFrame, removed: DataFrame) -> DataFrame:
 
 
 apply_retention = without_chains
-exclude_erased = without_chains
+
+
+def exclude_erased(entries: DataFrame, erased: DataFrame) -> DataFrame:
+    """Entries without those of erased chains; a chain that started again after its erasure stays.
+
+    ``erased``: chain_id, erased_at (seconds).
+    """
+    last = erased.groupBy("chain_id").agg(F.max("erased_at").alias("__erased_at"))
+    kept = F.col("__erased_at").isNull() | (F.col("timestamp") > F.col("__erased_at"))
+    return entries.join(last, "chain_id", "left").filter(kept).select(*entries.columns)
 
 
 def retention_tombstones(
@@ -117,16 +126,30 @@ def erasure_receipts(requests: DataFrame, tombstone_entries: DataFrame) -> DataF
     """Tombstone hash and index for each admitted request."""
     rows = tombstone_entries.select(
         F.get_json_object("payload_json", "$.details.user_id_hash").alias("chain_id"),
+        F.get_json_object("payload_json", "$.details.requested_at").cast("bigint").alias("requested_at"),
         F.col("index").alias("tombstone_index"),
         F.col("entry_hash").alias("tombstone_hash"),
     )
-    admitted = requests.filter("status = 200").select("request_id", "chain_id")
-    return admitted.join(rows, "chain_id")
+    admitted = requests.filter("status = 200").select("request_id", "chain_id", "requested_at")
+    # A chain may have been erased before: the time of the request tells its tombstones apart.
+    return admitted.join(rows, ["chain_id", "requested_at"]).drop("requested_at")
 
 
-def pending_deletes(entries: DataFrame, tombstone_entries: DataFrame) -> DataFrame:
-    """Chains with a committed tombstone whose entries are still there; re-run their delete."""
-    erased = tombstone_entries.filter(
+def erasures(tombstone_entries: DataFrame) -> DataFrame:
+    """(chain_id, erased_at) of each committed erasure tombstone; other entries are ignored."""
+    return tombstone_entries.filter(
         F.get_json_object("payload_json", "$.category") == "user_erasure_requested"
-    ).select(F.get_json_object("payload_json", "$.details.user_id_hash").alias("chain_id"))
-    return entries.select("chain_id").distinct().join(erased.distinct(), "chain_id", "left_semi")
+    ).select(
+        F.get_json_object("payload_json", "$.details.user_id_hash").alias("chain_id"),
+        F.col("timestamp").alias("erased_at"),
+    )
+
+
+def pending_deletes(entries: DataFrame, tombstone_entries: DataFrame) -> DataFrame:
+    """Chains with a committed tombstone whose entries are still there; re-run their delete.
+
+    A chain whose first entry is later than its last tombstone has started again and is not named.
+    """
+    erased = erasures(tombstone_entries).groupBy("chain_id").agg(F.max("erased_at").alias("erased_at"))
+    started = entries.groupBy("chain_id").agg(F.min_by("timestamp", "index").alias("started"))
+    return started.join(erased, "chain_id").filter("started <= erased_at").select("chain_id")

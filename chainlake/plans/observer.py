@@ -233,9 +233,11 @@ sizes AS (SELECT count(*) AS n, (SELECT count(*) FROM dep) AS total FROM proj)
       greatest(total - idx, 0) AS tail_depth FROM sizes JOIN proj ON ordinal = n - 5""",
 )
 def process2_tail(spark, sf_dir):
-    """The observer lags by five entries; nothing diverges."""
+    """The observer lags by five entries and writes some with other member order; nothing diverges."""
     proxy = fx.chains(spark, sf_dir).filter(F.col("chain_id") == "_deployment")
     obs = observer_chain(spark, sf_dir)
+    turned = F.regexp_replace("payload_json", r'^\{("action":"[^"]*"),(.*)\}$', r"{$2, $1}")
+    obs = obs.withColumn("payload_json", F.when(F.col("index") % 7 == 0, turned).otherwise(F.col("payload_json")))
     n = obs.agg(F.max("index") + 1).first()[0]
     out = compare.process2(proxy, obs.filter(F.col("index") < n - 5), fx.SALT, bucket_rows=500)
     return out.select("divergent", "entries_verified", "cursor_prx", "cursor_obs", "tail_depth")

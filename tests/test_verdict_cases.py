@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from chainlake.operators import chain, limits, ops, resolve
+from chainlake.operators import chain, compare, lifecycle, limits, ops, resolve
 from chainlake.plans import fixtures as fx
 from chainlake.sources.chain_log import read_chain_log
 from chainlake.streaming import append
@@ -85,3 +85,27 @@ def test_only_a_missing_folder_is_an_empty_table(spark, tmp_path):
     spark.range(3).select(F.col("id").cast("string").alias("entry_count")).write.mode("overwrite").parquet(str(tmp_path / "heads"))
     with pytest.raises(Exception):
         append.current_heads(spark, str(tmp_path)).collect()
+
+
+def test_chain_started_again_after_its_erasure(spark):
+    columns = "chain_id string, index long, timestamp long, payload_json string"
+    stone = json.dumps({"category": "user_erasure_requested", "details": {"user_id_hash": "a", "requested_at": "50"}})
+    other = stone.replace('"a"', '"b"')
+    tombstones = spark.createDataFrame([("_deployment", 7, 50, stone), ("_deployment", 8, 50, other)], columns)
+    entries = spark.createDataFrame([("a", 0, 60, "{}"), ("a", 1, 55, "{}"), ("b", 0, 10, "{}"), ("c", 0, 1, "{}")], columns)
+    assert [r.chain_id for r in lifecycle.pending_deletes(entries, tombstones).collect()] == ["b"]
+    kept = lifecycle.exclude_erased(entries, lifecycle.erasures(tombstones)).select("chain_id", "index").collect()
+    assert sorted(map(tuple, kept)) == [("a", 0), ("a", 1), ("c", 0)]
+
+
+def test_observed_members_in_any_order(spark, sf_dir):
+    from chainlake.plans.observer import observer_chain
+
+    proxy = fx.chains(spark, sf_dir).filter("chain_id = '_deployment'")
+    seen = observer_chain(spark, sf_dir)
+    turned = F.regexp_replace("payload_json", r'^\{("action":"[^"]*"),(.*)\}$', r"{$2, $1}")
+    row = compare.process2(proxy, seen.withColumn("payload_json", turned), fx.SALT).first()
+    assert not row.divergent and row.entries_verified == seen.count()
+    broken = F.when(F.col("index") == 3, "{").otherwise(turned)
+    row = compare.process2(proxy, seen.withColumn("payload_json", broken), fx.SALT).first()
+    assert row.divergent and row.entries_verified == 3 and row.canon_error_side == "observer"
