@@ -284,6 +284,12 @@ def unknown_shapes(app_events: DataFrame, known: DataFrame) -> DataFrame:
     return app_events.join(known.select("query_fingerprint").distinct(), "query_fingerprint", "left_anti")
 
 
+def unlisted_predicates(events: DataFrame, predicates: dict[str, str]) -> DataFrame:
+    """Statements without a user (event_id, table_name, raw_where) that strict resolution can't judge."""
+    listed = F.coalesce(F.col("raw_where").isin(list(predicates)), F.lit(False))
+    return events.filter((F.size("affected_users") == 0) & ~listed).select("event_id", "table_name", "raw_where")
+
+
 def resolution_policy(
     events: DataFrame,
     snapshot: DataFrame,
@@ -296,7 +302,8 @@ def resolution_policy(
     ``snapshot``: table_name, user_id and the columns predicates use. ``conservative``
     gives a read to every user of its table; ``aggregation_aware`` first drops pure
     aggregates; ``strict`` gives it to the users that satisfy ``raw_where``, with
-    ``predicates`` mapping each distinct raw_where to a Spark predicate.
+    ``predicates`` mapping each distinct raw_where to a Spark predicate; what is not in it
+    gives no row here and is named by ``unlisted_predicates``.
     """
     open_events = events.filter(F.size("affected_users") == 0)
     if policy == "strict":

@@ -109,3 +109,10 @@ def test_observed_members_in_any_order(spark, sf_dir):
     broken = F.when(F.col("index") == 3, "{").otherwise(turned)
     row = compare.process2(proxy, seen.withColumn("payload_json", broken), fx.SALT).first()
     assert row.divergent and row.entries_verified == 3 and row.canon_error_side == "observer"
+
+
+def test_predicates_that_are_not_listed_are_named(spark):
+    rows = [(1, "t", "a = 1", []), (2, "t", "b = 1", []), (3, "t", None, []), (4, "t", "b = 1", ["7"])]
+    df = spark.createDataFrame(rows, "event_id long, table_name string, raw_where string, affected_users array<string>")
+    assert [r.event_id for r in resolve.unlisted_predicates(df, {"a = 1": "a = 1"}).orderBy("event_id").collect()] == [2, 3]
+    assert resolve.unlisted_predicates(df, {}).count() == 3
