@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -227,35 +224,42 @@ def replication_gate(sessions: DataFrame, now_ms: int) -> DataFrame:
     return sessions.withColumn("ready_at", ready).filter(F.lit(now_ms) >= F.col("ready_at"))
 
 
-_ASSIGNMENT = T.StructType(
-    [T.StructField("verifier_ordinal", T.LongType()), T.StructField("ttl_secs", T.LongType())]
-)
-
-
-@F.pandas_udf(_ASSIGNMENT)
-def assignment_from_seed(seeds: pd.Series, replicas: pd.Series) -> pd.DataFrame:
-    """Verifier ordinal and lifetime that a recorded seed determines."""
+def assignment_from_seed(seed: Column, replicas: Column) -> Column:
+    """Struct (verifier_ordinal, ttl_secs) that a recorded hex seed determines.
 
-    def derive(seed_hex, count):
-        if pd.isna(count) or count < 2 or seed_hex is None:
-            return None, None  # nobody is left to verify
-        count, seed = int(count), bytes.fromhex(seed_hex)
-        order, state = list(range(1, count)), seed
-        for i in range(len(order) - 1, 0, -1):
-            j = int.from_bytes(state[:8], "big") % (i + 1)
-            order[i], order[j] = order[j], order[i]
-            state = hashlib.sha256(state).digest()
-        ttl = MIN_TTL_S + int.from_bytes(seed[24:32], "big") % TTL_RANGE_S
-        return order[0], ttl
-
-    return pd.DataFrame(
-        [derive(s, n) for s, n in zip(seeds, replicas)], columns=["verifier_ordinal", "ttl_secs"], dtype="object"
+    The ordinals 1 .. replicas - 1 are shuffled from the back; each swap takes its place
+    from the first eight bytes of the state, which is then hashed. Both fields are null
+    where nobody is left to verify or the seed is not 32 bytes of hex.
+    """
+    whole = F.lower(seed)
+    usable = whole.rlike("^[0-9a-f]{64}$") & (replicas >= 2)
+    count = F.when(usable, replicas).otherwise(2).cast("int")
+
+    def number(hex_text: Column) -> Column:
+        return F.conv(hex_text, 16, 10).cast("decimal(20,0)")
+
+    def swap(acc: Column, i: Column) -> Column:
+        j = (number(F.substring(acc["state"], 1, 16)) % (i + 1)).cast("int")
+        order = F.transform(
+            acc["order"],
+            lambda x, k: F.when(k == i, F.get(acc["order"], j)).when(k == j, F.get(acc["order"], i)).otherwise(x),
+        )
+        return F.struct(order.alias("order"), F.sha2(F.unhex(acc["state"]), 256).alias("state"))
+
+    # Places to swap, last first; with one candidate there is none.
+    places = F.filter(F.sequence(F.greatest(count - 2, F.lit(0)), F.lit(0), F.lit(-1)), lambda i: i > 0)
+    start = F.struct(F.sequence(F.lit(1), count - 1).alias("order"), whole.alias("state"))
+    first = F.aggregate(places, start, swap, lambda acc: F.get(acc["order"], F.lit(0)))
+    ttl = number(F.substring(whole, 49, 16)) % TTL_RANGE_S + MIN_TTL_S
+    return F.struct(
+        F.when(usable, first).cast("bigint").alias("verifier_ordinal"),
+        F.when(usable, ttl).cast("bigint").alias("ttl_secs"),
     )
 
 
 def audit_assignments(sessions: DataFrame) -> DataFrame:
     """Recorded assignments (session_id, seed, replica_count, verifier_ordinal, ttl_secs) re-derived."""
-    derived = sessions.withColumn("__d", assignment_from_seed("seed", "replica_count"))
+    derived = sessions.withColumn("__d", assignment_from_seed(F.col("seed"), F.col("replica_count")))
     same = (F.col("__d.verifier_ordinal") == F.col("verifier_ordinal")) & (
         F.col("__d.ttl_secs") == F.col("ttl_secs")
     )

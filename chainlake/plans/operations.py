@@ -351,6 +351,21 @@ def egress_dev(spark, sf_dir):
 
 @query(
     "audit_assignments",
+    f"""WITH RECURSIVE s AS (
+      SELECT o_orderkey AS session_id, o_custkey % 6 + 2 AS n, sha256(CAST(o_orderkey AS VARCHAR)) AS seed FROM orders),
+    steps AS (
+      SELECT session_id, n - 2 AS i, range(1, n) AS places, seed AS state FROM s
+      UNION ALL
+      SELECT session_id, i - 1, list_transform(range(0, len(places)), lambda k: CASE WHEN k = i THEN places[j + 1]
+        WHEN k = j THEN places[i + 1] ELSE places[k + 1] END), sha256(unhex(state))
+      FROM (SELECT *, CAST(CAST('0x' || substr(state, 1, 16) AS UBIGINT) % CAST(i + 1 AS UBIGINT) AS BIGINT) AS j
+            FROM steps WHERE i > 0)),
+    derived AS (
+      SELECT session_id, places[1] AS ordinal,
+        CAST({ops.MIN_TTL_S} + CAST('0x' || substr(seed, 49, 16) AS UBIGINT) % {ops.TTL_RANGE_S} AS BIGINT) AS ttl
+      FROM steps JOIN s USING (session_id) WHERE i = 0)
+    SELECT session_id, ordinal AS expected_ordinal, ttl AS expected_ttl, ordinal = 1 AND ttl = 3600 AS matches
+    FROM derived""",
 )
 def audit_assignments(spark, sf_dir):
     """One recorded assignment per order; the recorded ordinal is right for some only."""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from chainlake.operators.chain import verify_chains
 from chainlake.operators.changes import doc_change_stream, pg_change_stream
-from chainlake.plans import chains, fixtures as fx, observer, operations
+from chainlake.plans import chains, events as ev, fixtures as fx, observer, operations
 from chainlake.plans.registry import query
 from chainlake.session import new_path
 from chainlake.sources import chain_log
@@ -90,6 +90,35 @@ def stream_chain_append(spark, sf_dir):
     return verify_chains(append.appended_entries(spark, path)).select("chain_id", "entries", "head", "ok")
 
 
+@query(
+    "stream_append_mixed",
+    f"""WITH {fx.PAYLOADS_SQL}, arrived AS (
+      SELECT chain_id, event_id * 2 AS seq, position, payload_type, payload_json FROM payloads
+      UNION ALL SELECT '_deployment', event_id * 2 + 1, 0, 2, payload_json FROM ({ev.SYSTEM_SQL}))
+    SELECT chain_id, row_number() OVER (PARTITION BY chain_id ORDER BY seq, position) - 1 AS "index",
+      payload_type, payload_json, true AS ok FROM arrived""",
+)
+def stream_append_mixed(spark, sf_dir):
+    """Access and system events of one stream, in turns; system events reach the deployment chain only."""
+    path, source = new_path(spark, "mixed"), f"stream:{sf_dir}"
+    access = fx.access_events(spark, source).withColumn("event_id", F.col("event_id") * 2)
+    system = ev.system_events(spark, source).withColumn("event_id", F.col("event_id") * 2 + 1)
+    rows = append.mixed_events(access, system)
+    append.stream_chain_append(rows, path, fx.SALT, new_path(spark, "ck")).awaitTermination()
+    entries = append.appended_entries(spark, path)
+    return entries.join(verify_chains(entries).select("chain_id", "ok"), "chain_id").select(
+        "chain_id", "index", "payload_type", "payload_json", "ok"
+    )
+
+
+@query("stream_without_redelivery", f"SELECT event_id, timestamp FROM ({fx.ACCESS_SQL})")
+def stream_without_redelivery(spark, sf_dir):
+    """A stream that delivers every event twice; ids are forgotten after the transit retention."""
+    stateful.use_state_store(spark)
+    rows = [fx.access_events(spark, f"stream:{sf_dir}").select("event_id", "timestamp") for _ in range(2)]
+    return append.run_to_table(append.without_redelivery(rows[0].unionByName(rows[1])), "delivered-once")
+
+
 @query(
     "stream_process2",
     observer.PROJECTED_SQL

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from chainlake.operators.chain import build_chains
 from chainlake.operators.compare import process2
-from chainlake.operators.events import access_payloads, longest_chain
+from chainlake.operators.events import access_payloads, longest_chain, system_to_deployment
 from chainlake.operators.read import chain_heads
 from chainlake.session import new_path
 from chainlake.sources.chain_log import append_entries
@@ -46,11 +46,36 @@ def appended_entries(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, f"{path}/entries", CHAIN_ENTRY).select(*CHAIN_ENTRY_COLUMNS)
 
 
+def mixed_events(access: DataFrame, system: DataFrame) -> DataFrame:
+    """Access and system events as one table or stream: (event_id, timestamp, access, system).
+
+    One of the two structs of a row is null. Ids are offsets of one arrival order, so they
+    are unique over both kinds.
+    """
+    one, two = F.struct(*access.columns), F.struct(*system.columns)
+    return access.select(
+        "event_id", "timestamp", one.alias("access"), F.lit(None).cast(system.schema).alias("system")
+    ).unionByName(
+        system.select("event_id", "timestamp", F.lit(None).cast(access.schema).alias("access"), two.alias("system"))
+    )
+
+
+def _payloads(events: DataFrame, salt: str) -> tuple[DataFrame, int]:
+    """Payload rows of a batch and the number of rows of its largest chain."""
+    if "system" not in events.columns:
+        return access_payloads(events, salt), longest_chain(events)
+    access = events.filter("access IS NOT NULL").select("access.*")
+    system = events.filter("system IS NOT NULL").select("system.*")
+    rows = access_payloads(access, salt).unionByName(system_to_deployment(system))
+    return rows, longest_chain(access) + system.count()
+
+
 def append_batch(events: DataFrame, batch_id: int, path: str, salt: str) -> None:
-    """Append one micro-batch of access events; redelivered event ids are ignored.
+    """Append one micro-batch of access events or ``mixed_events``; redelivered ids are ignored.
 
-    Ids are remembered by day for the transit retention, which is how long the source can
-    redeliver, so the look-up reads a bounded number of days.
+    System events go to the deployment chain. Ids are remembered by day for the transit
+    retention, which is how long the source can redeliver, so the look-up reads a bounded
+    number of days. Only heads of chains that the batch touches enter the linking.
     """
     spark = events.sparkSession
     day = F.floor(F.col("timestamp") / 86_400_000).cast("bigint")
@@ -63,14 +88,20 @@ def append_batch(events: DataFrame, batch_id: int, path: str, salt: str) -> None
         .filter((F.col("day") >= oldest - RETENTION_DAYS) & (F.col("batch_id") != batch_id))
         .select("event_id")
     )
-    # Used by four jobs below; a lost executor recomputes its part from the source.
+    # Used by the jobs below; a lost executor recomputes its part from the source.
     fresh = batch.join(seen, "event_id", "left_anti").persist()
-    entries = build_chains(
-        access_payloads(fresh.drop("__day"), salt),
-        current_heads(spark, path, before=batch_id),
-        longest=longest_chain(fresh),
-    )
-    append_entries(entries, batch_id, f"{path}/entries")
+    try:
+        _append_fresh(fresh, batch_id, path, salt)
+    finally:
+        fresh.unpersist()
+
+
+def _append_fresh(fresh: DataFrame, batch_id: int, path: str, salt: str) -> None:
+    spark = fresh.sparkSession
+    payloads, longest = _payloads(fresh.drop("__day"), salt)
+    touched = payloads.select("chain_id").distinct()
+    known = current_heads(spark, path, before=batch_id).join(touched, "chain_id", "left_semi")
+    append_entries(build_chains(payloads, known, longest=longest), batch_id, f"{path}/entries")
     written = appended_entries_of(spark, path, batch_id)
     heads = chain_heads(written)
     # Heads of this batch: the count continues from the last index.
@@ -88,7 +119,6 @@ def append_batch(events: DataFrame, batch_id: int, path: str, salt: str) -> None
     )
     ids = fresh.select("event_id", F.lit(batch_id).cast("bigint").alias("batch_id"), F.col("__day").alias("day"))
     _overwrite(ids, f"{path}/ids", "day", "batch_id")
-    fresh.unpersist()
 
 
 def appended_entries_of(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
@@ -105,7 +135,7 @@ def _overwrite(df: DataFrame, path: str, *partitions: str) -> None:
 
 
 def stream_chain_append(events: DataFrame, path: str, salt: str, checkpoint: str, **trigger):
-    """Start the query that appends a stream of access events to the chains below ``path``."""
+    """Start the query that appends a stream of access or mixed events to the chains below ``path``."""
     return (
         events.writeStream.foreachBatch(lambda df, i: append_batch(df, i, path, salt))
         .option("checkpointLocation", checkpoint)
@@ -121,6 +151,12 @@ def with_retention(events: DataFrame, days: int = RETENTION_DAYS) -> DataFrame:
     )
 
 
+def without_redelivery(events: DataFrame, days: int = RETENTION_DAYS) -> DataFrame:
+    """Each event id of a stream once, as long as it is redelivered within the transit retention."""
+    once = with_retention(events, days).dropDuplicatesWithinWatermark(["event_id"])
+    return once.select(*events.columns)
+
+
 def cursor_state(spark: SparkSession, path: str, before: int) -> tuple[int, int]:
     """Cursors after the last tick before ``before``; (0, 0) at the start."""
     row = (

@@ -54,6 +54,22 @@ def test_chain_append_over_batches_and_redelivery(spark, sf_dir, split_events, t
     assert got.exceptAll(want).count() == 0
 
 
+def test_mixed_events_over_batches_and_redelivery(spark, sf_dir, tmp_path):
+    from chainlake.plans.events import system_events
+
+    access = fx.access_events(spark, sf_dir).filter("event_id < 300").withColumn("event_id", F.col("event_id") * 2)
+    system = system_events(spark, sf_dir).filter("event_id < 200").withColumn("event_id", F.col("event_id") * 2 + 1)
+    rows, out = append.mixed_events(access, system).cache(), str(tmp_path / "chains")
+    for batch, (low, high) in enumerate([(0, 250), (200, 600), (500, 600)]):
+        part = rows.filter((F.col("event_id") >= low) & (F.col("event_id") < high))
+        append.append_batch(part, batch, out, fx.SALT)
+        append.append_batch(part, batch, out, fx.SALT)
+    got = append.appended_entries(spark, out)
+    assert verify_chains(got).filter("NOT ok").count() == 0
+    assert got.filter("chain_id = '_deployment'").count() == rows.count()
+    assert got.filter("chain_id = '_deployment' AND payload_json LIKE '%schema_change%scope\":{\"desc%'").count() == system.count()
+
+
 def test_cursor_is_kept_when_a_tick_runs_again(spark, sf_dir, tmp_path):
     from chainlake.plans.observer import observer_chain
 
