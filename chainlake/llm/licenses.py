@@ -1,12 +1,15 @@
 """License scans: a trained paragraph classifier, confirmed by comparison with templates.
 
-A paragraph is a line of a text. Its words, word pairs and word triples are hashed to
+A paragraph is a run of lines that are not blank. Every line of it, and every window of its words that
+may hold a template, is a candidate. Its words, word pairs and word triples are hashed to
 ``2**BITS`` places; a sparse multinomial logistic regression gives a family or "unknown". It
 is trained here on notices made from ``TEMPLATES`` (words dropped, added and cut) and on paragraphs
 of the corpus that name no license, at most ``SAMPLE`` of them,
 by a hash of the text and cut at 600 characters. Part of both is held out, to set the temperature and the
-least probability at which at most ``MAX_FALSE`` of the unknown paragraphs pass. A paragraph that passes is
-confirmed when it holds at least ``MIN_SHARE`` of the word pairs of one template of the family.
+least probability of any family at which at most ``MAX_FALSE`` of the unknown lines pass. A candidate that
+passes is confirmed when it holds at least ``MIN_SHARE`` of the word pairs of one template; it has the family of the
+template it holds most of. A line that is confirmed is a span; what wraps over lines or stands inside
+a long one is a span from the first to the last word of its window. Spans of a text don't overlap.
 
 Null and empty texts have no paragraphs. Without any corpus paragraph the unknown class is
 trained on shuffled notices alone. Repeated rows give repeated results, extra columns are ignored.
@@ -14,7 +17,9 @@ trained on shuffled notices alone. Repeated rows give repeated results, extra co
 
 from __future__ import annotations
 
+import bisect
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +35,8 @@ SAMPLE = 1_500
 COPIES = 40
 MAX_FALSE = 0.005
 MIN_SHARE = 0.6
+#: A line of more words is no notice as a whole; windows of it may be.
+LONG = 120
 
 # Usual short notices of public license families.
 TEMPLATES = {
@@ -45,18 +52,31 @@ TEMPLATES = {
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
     "GPL-2.0": [
         "This work is licensed under the GNU General Public License, version 2.",
         "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ],
+    "LGPL": [
+        "This library is licensed under the GNU Lesser General Public License, version 2.1 or later.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "AGPL-3.0": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
-    "LGPL": ["This library is licensed under the GNU Lesser General Public License, version 2.1 or later."],
-    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3."],
     "BSD": [
         "Use of this source code is governed by a BSD-style license.",
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     ],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "MPL-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ],
     "CC-BY": [
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
@@ -187,7 +207,8 @@ def fit(unknown: list[str]) -> Classifier:
         losses[model.temperature] = -np.log(prob[np.arange(len(rest)), truth] + 1e-12).mean()
     model.temperature = min(losses, key=losses.get)
     prob = model.probabilities(rest, known)
-    wrong = np.sort(prob[truth == 0, 1:].max(axis=1))[::-1]
+    # Families share much of their wording, so a notice passes by the sum over all of them.
+    wrong = np.sort(1 - prob[truth == 0, 0])[::-1]
     allowed = int(len(wrong) * MAX_FALSE)
     model.least = float(max(0.5, wrong[allowed] + 1e-6 if len(wrong) > allowed else 0.5))
     return model
@@ -206,6 +227,87 @@ def confirmed(paragraph: str, family: str) -> bool:
     return any(len(own & t) >= MIN_SHARE * len(t) for t in _TEMPLATE_PAIRS[family])
 
 
+#: Words of the templates: (family, different pairs, words), and the templates of each pair.
+_ALL = [(f, p, len(words_of(t))) for f in FAMILIES for t, p in zip(TEMPLATES[f], _TEMPLATE_PAIRS[f])]
+_OF_PAIR: dict[tuple[bytes, bytes], list[int]] = {}
+for _n, (_, _p, _) in enumerate(_ALL):
+    for _pair in _p:
+        _OF_PAIR.setdefault(_pair, []).append(_n)
+_WORD = re.compile("[A-Za-z0-9\x80-\U0010ffff]+")
+_BREAK = re.compile(r"\n[^\S\n]*(?=\n)")
+
+
+def _needed() -> set[bytes]:
+    """Words without all of which no template keeps ``MIN_SHARE`` of its pairs."""
+    out: set[bytes] = set()
+    for _, pairs, _ in _ALL:
+        left = [p for p in pairs if not out & set(p)]
+        while len(left) >= MIN_SHARE * len(pairs):
+            word = max({w for p in left for w in p}, key=lambda w: (len(w), w))
+            out.add(word)
+            left = [p for p in left if word not in p]
+    return out
+
+
+_NEEDED = re.compile(b"|".join(sorted(_needed())))
+
+
+def best_template(paragraph: str) -> tuple[float, int, str]:
+    """(share of its pairs, pairs, family) of the template that a paragraph holds most of."""
+    own = _pairs(words_of(paragraph))
+    return max((len(own & p) / len(p), len(p), f) for f, p, _ in _ALL)
+
+
+def windows(text: str) -> list[tuple[int, int, float, int, str]]:
+    """(start, end, share, pairs, family) of windows of words with at least ``MIN_SHARE`` of a template, best ones first.
+
+    A window lies in one paragraph and has at most twice the words of its template, and ten.
+    """
+    if not _NEEDED.search(text.lower().encode()):
+        return []
+    out, first = [], 0
+    for end in [m.start() for m in _BREAK.finditer(text)] + [len(text)]:
+        at = [(m.start(), m.end()) for m in _WORD.finditer(text, first, end)]
+        first = end
+        words = [text[a:b].lower().encode() for a, b in at]
+        hits: dict[int, list[tuple[int, tuple[bytes, bytes]]]] = {}
+        for i, pair in enumerate(zip(words, words[1:])):
+            for n in _OF_PAIR.get(pair, ()):
+                hits.setdefault(n, []).append((i, pair))
+        for n, found in hits.items():
+            family, pairs, size = _ALL[n]
+            need = MIN_SHARE * len(pairs)
+            if len({p for _, p in found}) < need:
+                continue
+            spots = {i for i, _ in found}
+            for k, (i, _) in enumerate(found):
+                seen, last = set(), i
+                for j, pair in found[k:]:
+                    if j + 2 - i > 2 * size + 10:
+                        break
+                    if pair not in seen:
+                        seen.add(pair)
+                        last = j
+                while (last + 1) in spots:
+                    last += 1
+                if len(seen) >= need:
+                    out.append((len(seen) / len(pairs), len(pairs), i - last, at[i][0], at[last + 1][1], family))
+    out.sort(key=lambda x: (-x[0], -x[1], -x[2], x[3]))
+    return [(a, b, share, pairs, family) for share, pairs, _, a, b, family in out]
+
+
+def apart(spans: list[tuple]) -> list[tuple]:
+    """The spans, in their order, that overlap none before."""
+    out, used = [], []
+    for span in spans:
+        at = bisect.bisect(used, (span[0], span[1]))
+        if (at and used[at - 1][1] > span[0]) or (at < len(used) and used[at][0] < span[1]):
+            continue
+        used.insert(at, (span[0], span[1]))
+        out.append(span)
+    return out
+
+
 def learn(documents: DataFrame, text_col: str = "text", size: int = SAMPLE) -> Classifier:
     """Fit with at most ``size`` corpus paragraphs that name no license as the unknown class."""
     lines = documents.select(F.explode(F.split(text_col, "\n")).alias("p")).filter("length(trim(p)) > 0")
@@ -219,7 +321,10 @@ def learn(documents: DataFrame, text_col: str = "text", size: int = SAMPLE) -> C
 
 
 def scan(documents: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, n_paragraphs (not blank) and found: array of (family, start, end, probability) of whole paragraphs."""
+    """``id_col``, n_paragraphs and found: array of (family, start, end, probability) by start.
+
+    Offsets are code points, end exclusive; the probability is that of any family.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(model)
     known = []
     item = T.StructType(
@@ -236,19 +341,29 @@ def scan(documents: DataFrame, model: Classifier, id_col: str = "doc_id", text_c
         flat = [p for doc in cut for p in doc]
         rows, counts, at = [], [], 0
         prob = shared.value.probabilities(flat, known[0]) if flat else np.zeros((0, 1))
-        best = prob[:, 1:].argmax(axis=1) if flat else []
-        passes = (prob.argmax(axis=1) > 0) & (prob[:, 1:].max(axis=1) >= shared.value.least) if flat else []
-        for doc in cut:
-            found, start = [], 0
-            counts.append(sum(1 for p in doc if p.strip()))
-            if any(passes[at : at + len(doc)]):
+        passes = 1 - prob[:, 0] >= shared.value.least if flat else np.zeros(0, bool)
+        for text, doc in zip(texts, cut):
+            found, start, blank = [], 0, True
+            count = 0
+            for p in doc:
+                before, blank = blank, not p.strip()
+                count += before and not blank
+            counts.append(count)
+            if passes[at : at + len(doc)].any():
                 for i, p in enumerate(doc, at):
-                    family = FAMILIES[best[i]]
-                    if passes[i] and confirmed(p, family):
-                        found.append({"family": family, "start": start, "end": start + len(p), "probability": float(prob[i, best[i] + 1])})
+                    if passes[i]:
+                        share, pairs, family = best_template(p)
+                        if share >= MIN_SHARE and len(words_of(p)) <= LONG:
+                            found.append((start, start + len(p), share, pairs, family, 1 - prob[i, 0]))
                     start += len(p) + 1
             at += len(doc)
-            rows.append(found)
+            more = apart(windows(text))
+            if more:
+                sure = 1 - shared.value.probabilities([text[m[0] : m[1]] for m in more], known[0])[:, 0]
+                found += [(*m, p) for m, p in zip(more, sure) if p >= shared.value.least]
+            # A line comes before a window that holds as much of the same template.
+            found = sorted(apart(sorted(found, key=lambda f: (-f[2], -f[3]))))
+            rows.append([{"family": f, "start": a, "end": b, "probability": float(p)} for a, b, _, _, f, p in found])
         kinds = pa.struct([("family", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())])
         return [pa.array(counts, pa.int64()), pa.array(rows, pa.list_(kinds))]
 

@@ -287,6 +287,38 @@ def test_license_of_unknown_text():
     assert prob[1].argmax() == 0 and not licenses.confirmed("a walk under the License", "MIT")
 
 
+WRAPPED = {
+    "GPL-3.0": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+    "GPL-2.0": "This program is free software; you can redistribute it and/or\nmodify it under the terms of the GNU General Public License\nas published by the Free Software Foundation; either version 2\nof the License, or (at your option) any later version.",
+    "LGPL": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+    "BSD": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are\nmet",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/",
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files",
+    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License",
+}
+
+
+def test_wrapped_license_headers(spark):
+    """Headers over several lines, behind comment marks, and inside a long line, at their code points."""
+    prose = "é😀 a walk in the park " * 60
+    texts = []
+    for family, header in WRAPPED.items():
+        texts += [(family, header, f"{prose}\n\n{header}\n\nthe rest of the page\n")]
+        marked = header.replace("\n", "\n * ")
+        texts += [(family, marked, f"İ /*\n * {marked}\n */\nnext words\n")]
+        flat = header.replace("\n", " ")
+        texts += [(family, flat, prose + flat + " " + prose)]
+    docs = spark.createDataFrame([(i, t[2]) for i, t in enumerate(texts)], "doc_id long, text string")
+    model = licenses.fit(["some plain words here", "nothing to see", "the rest of the page", prose[:600]] * 20)
+    for r in licenses.scan(docs, model).collect():
+        family, want, text = texts[r.doc_id]
+        assert [(x["family"], text[x["start"] : x["end"]].rstrip(').;/"')) for x in r.found] == [(family, want.rstrip(').;/"'))]
+    blank = spark.createDataFrame([(0, "one\ntwo\n \nthree\n\n\nfour")], "doc_id long, text string")
+    assert licenses.scan(blank, model).first().n_paragraphs == 3
+    assert licenses.windows("Redistribution and use in source and binary\n\nforms with or without modification") == []
+
+
 # Pipeline
 
 
