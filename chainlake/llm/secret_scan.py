@@ -2,7 +2,10 @@
 
 The lexer reads assignments of source and configuration syntax (``name = "literal"``,
 ``name: literal``, ``"name": "literal"``, ``name => 'literal'``, ``name := a + "b"``) into pairs of a
-name and an expression of literals and names. Constants are propagated: a name in an expression stands for
+name and an expression of literals and names. A target may be a subscript (``cfg["name"]``), an array
+(``name[]``) or carry a type (``name: str =``, Go's ``name string =``); literals may have a prefix
+(``f"..."``) or backticks, and those among the arguments of a call (``getenv("A", "...")``) are values of their own.
+A value that is a bare name before another operator is read again as a target. Constants are propagated: a name in an expression stands for
 the value last assigned to it in the text. A value is scored by how sensitive its target name
 is and how much it looks like a secret; a value at or above ``MIN_SCORE`` adds the span of the expression, unless
 a span of the fixed patterns covers it.
@@ -43,12 +46,27 @@ SENSITIVE = {
 #: Values that stand for a secret without being one.
 PLACEHOLDERS = {"changeme", "example", "password", "secret", "none", "null", "true", "false", "undefined", "redacted"}
 
-_TERM = r"""(?:"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|[A-Za-z0-9_$][A-Za-z0-9+/_.=~-]*+)"""
-_PAIR = re.compile(
-    r"""(?<![\w.-])([A-Za-z_][\w.-]*+)["']?[ \t]*+(?::=|=>|:|=(?!=))[ \t]*+(%s(?:[ \t]*+\+[ \t]*+%s)*+)""" % (_TERM, _TERM),
+_QUOTED = (
+    r"""(?:"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|`[^`\\\n]*+(?:\\.[^`\\\n]*+)*+`)"""
+)
+_STRING = r"(?:(?:[fFrRbBuU]|[rR][bBfF]|[bBfF][rR]|u8|[L@$])?%s)" % _QUOTED
+_TERM = r"(?:%s|[A-Za-z0-9_$][A-Za-z0-9+/_.=~-]*+)" % _STRING
+_EXPRESSION = r"%s(?:[ \t]*+\+[ \t]*+%s)*+" % (_TERM, _TERM)
+_OPERATOR = r"(?::=|=>|:|=(?![=~]))"
+# Types stand between a name and its operator: after a colon, or after a blank as in Go; brackets hold no quotes.
+_TYPE = r"[*&?]?(?:\[\w*\]|)[A-Za-z_][\w.]*+(?:<[\w., <>|?\[\]]{0,80}>|\[[\w., |\[\]]{0,80}\])?[?!]?(?:[ \t]*+\|[ \t]*+[A-Za-z_][\w.]*+)*+"
+_TARGET = re.compile(
+    r"""(?<![\w.-])([A-Za-z_][\w.-]*+)(?:["'`][ \t]*+\]|["'`]|[ \t]*+\[[ \t]*+[0-9A-Za-z_]*+[ \t]*+\])?"""
+    r"""(?:[!?]?[ \t]*+:[ \t]*+(%s)[ \t]*+=(?![=~>])|[ \t]++(%s)[ \t]*+=(?![=~>])|[!?]?[ \t]*+%s)[ \t]*+(?=[A-Za-z0-9_$"'`@])"""
+    % (_TYPE, _TYPE, _OPERATOR),
     re.ASCII,
 )
-_TERMS = re.compile(_TERM)
+_VALUE = re.compile(_EXPRESSION, re.ASCII)
+_TERMS = re.compile(_TERM, re.ASCII)
+_CALL = re.compile(r"(?:new[ \t]++)?[A-Za-z_][\w.:]*+[!?]?[ \t]*+\(", re.ASCII)
+_ARGUMENT = re.compile(r"(?:%s|[A-Za-z_]\w*+|\])[ \t]*+(?::|=(?!=))|%s|[()\n]" % (_STRING, _STRING), re.ASCII)
+_AGAIN = re.compile(r"""[ \t]*+(?:\[[^\]\n]{0,80}\][ \t]*+)?%s|[ \t]++%s[ \t]*+=(?![=~>])""" % (_OPERATOR, _TYPE), re.ASCII)
+_INNER = re.compile(r"""[A-Za-z_][\w.]*+[ \t]*+\[[ \t]*+["'`]""", re.ASCII)
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _PLAIN_NAME = re.compile(r"[A-Za-z_]\w*\Z", re.ASCII)
 
@@ -82,20 +100,70 @@ def value_weight(value: str) -> float:
     return bits / 20 * (0.6 + 0.2 * kinds)
 
 
+def _content(term: str) -> str | None:
+    """What a quoted literal holds; null for other terms."""
+    if term[-1] not in "\"'`":
+        return None
+    return term[term.index(term[-1]) + 1 : -1]
+
+
+def _resolved(expression: str, constants: dict[str, str]) -> str:
+    value = ""
+    for term in _TERMS.findall(expression):
+        inner = _content(term)
+        if inner is not None:
+            value += inner
+        elif _PLAIN_NAME.match(term) and term in constants:
+            value += constants[term]
+        else:
+            value += term
+    return value
+
+
+def _arguments(text: str, at: int) -> list[tuple[int, int]]:
+    """Spans of the literals among the arguments of a call up to the next target; of one that never closes, on its line."""
+    out, depth, line = [], 1, None
+    for m in _ARGUMENT.finditer(text, at):
+        if m[0] == "(":
+            depth += 1
+        elif m[0] == ")":
+            depth -= 1
+            if not depth:
+                return out
+        elif m[0] == "\n":
+            line = len(out) if line is None else line
+        elif m[0][-1] in ":=":
+            return out
+        else:
+            out.append((m.start(), m.end()))
+    return out[:line]
+
+
 def assignments(text: str) -> list[tuple[str, str, int, int]]:
     """(name, value after propagating constants, start, end of the expression) in text order."""
-    out, constants = [], {}
-    for m in _PAIR.finditer(text):
-        value = ""
-        for term in _TERMS.findall(m[2]):
-            if term[0] in "\"'":
-                value += term[1:-1]
-            elif _PLAIN_NAME.match(term) and term in constants:
-                value += constants[term]
-            else:
-                value += term
-        constants[m[1]] = value
-        out.append((m[1], value, m.start(2), m.end(2)))
+    out, constants, at = [], {}, 0
+    while m := _TARGET.search(text, at):
+        # Of two words before an operator one is a type, a keyword or a label; the more sensitive one is the name.
+        pair, start = [m[1], *filter(None, (m[2], m[3]))], m.end()
+        name = max(pair, key=name_weight)
+        at = start
+        call = _CALL.match(text, start)
+        if call:
+            # Named arguments are targets of their own, so reading goes on inside.
+            for a, b in _arguments(text, call.end()):
+                out.append((name, _resolved(text[a:b], constants), a, b))
+            at = call.end()
+            continue
+        value = _VALUE.match(text, start)
+        if not value:
+            continue
+        bare = _PLAIN_NAME.match(value[0])
+        if (bare and _AGAIN.match(text, value.end())) or _INNER.match(text, start):
+            continue  # the name is a target itself
+        resolved = _resolved(value[0], constants)
+        constants.update(dict.fromkeys(pair, resolved))
+        out.append((name, resolved, start, value.end()))
+        at = value.end()
     return out
 
 

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 from zlib import crc32
 
 import numpy as np
@@ -195,6 +196,36 @@ def test_constants_reach_sensitive_names():
     assert secret_scan.name_weight("dbPassword") == 1.0 and secret_scan.name_weight("monkey") == 0.0
 
 
+S = "Zx81kQ99aPq7Lm2x"
+FORMS = [
+    f'pwd: str = "{S}"', f'const passphrase: string = "{S}";', f'const pwd string = "{S}"', f'var pwd = "{S}"', f'login: pwd = "{S}"',
+    f'cfg["pwd"] = "{S}"', f"cfg['pwd'] = '{S}'", f'char pwd[] = "{S}";', f'char pwd[32] = "{S}";', f"const pwd = `{S}`;",
+    f'pwd = f"{S}"', f'pwd = rb"{S}"', f'pwd = os.getenv("A", "{S}")', f'pwd := env.Get("A", `{S}`)', f'pwd: Optional[str] = "{S}"',
+    f'let pwd: &str = "{S}";', f'pwd: str | None = "{S}"', f'pwd = x["pwd"] = "{S}"', f'connect(user="a", pwd="{S}")',
+    f'a = open(pwd="{S}")', f'"pwd": "{S}"', f"pwd => '{S}'", f"pwd: {S}", f'a: b: pwd = "{S}"', f'String pwd = "{S}";',
+    f'pwd = getenv(\n  "A",\n  "{S}"\n)', f'pwd?: string = "{S}"', f'pwd = str(os.getenv("A", "{S}"))', f'{{"user": "x", "pwd": "{S}"}}',
+]
+
+
+@pytest.mark.parametrize("form", FORMS)
+def test_assignment_forms(form):
+    for text in (form, f"é😀 x = 1\n{form}\ny = 2\n"):
+        found = [text[a:b] for a, k, b in secret_scan.spans(text) if k == 3]
+        assert len(found) == 1 and found[0].strip("frb\"'`") == S
+
+
+@pytest.mark.parametrize("form", [f'note: colour = "{S}"', f'pwd == "{S}"', f'pwd = os.getenv("A")', f'pwd = load(name="{S}")', f'pwd = 1\nx = "{S}"'])
+def test_not_assigned_to_a_secret_name(form):
+    assert not [1 for _, k, _ in secret_scan.spans(form) if k == 3]
+
+
+def test_lexer_takes_time_in_proportion():
+    for part in ("x = f(", '"x": f(', "x[1] = f(", "a: ", 'k="', "pwd: A[a,", "`", "a.b", "x y = ", "f(\"a\", "):
+        start = time.process_time()
+        secret_scan.spans(part * 40_000)
+        assert time.process_time() - start < 10
+
+
 def test_op2_op7(spark, sf_dir, docs):
     for name, slow, kinds in (("op2_pii_scan", slow_pii, pii.KINDS), ("op7_secret_scan", slow_secrets, secret_scan.BASE_KINDS)):
         for r in queries.QUERIES[name](spark, sf_dir).collect():
