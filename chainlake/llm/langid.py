@@ -7,8 +7,8 @@ language of the smallest result; ties go to the language with the larger diction
 to the name. A result is rejected when the runner-up is less than ``MIN_MARGIN`` bytes larger, or
 when the text has no letter.
 
-Only the dictionaries are fitted on a bounded sample: at most ``SAMPLE`` texts a language and
-``DICT_BYTES`` bytes of them. Null texts and texts without a letter are ``und`` with score 0.
+Only the dictionaries are fitted on a bounded sample: the ``SAMPLE`` different texts of least hash of a
+language and ``DICT_BYTES`` bytes of them. Copies don't count, and every language has a dictionary. Null texts and texts without a letter are ``und`` with score 0.
 Rows with a null text or language teach nothing. With nothing to learn from, every text is
 ``und``. Extra columns are ignored by ``identify`` and kept by ``drop_rejected``.
 """
@@ -28,8 +28,8 @@ from chainlake.llm.common import map_texts
 
 DICT_BYTES = 224 * 1024
 SAMPLE = 400
-#: Languages that may be learned; the most frequent ones are kept.
-MAX_LANGUAGES = 200
+#: Languages with dictionaries of full size; of more, each gets an equal part of the same bytes.
+FULL_SIZE = 200
 MIN_MARGIN = 1
 #: Bytes of lead at which the score is about 0.73.
 SCORE_BYTES = 4.0
@@ -48,25 +48,27 @@ def plain(text: str) -> bytes:
 def learn(documents: DataFrame, usable: Column, text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """Dictionary content of each language from a bounded sample of the ``usable`` rows."""
     rows = documents.filter(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGUAGES).collect()
+    h = F.xxhash64(text_col)
+    counts = rows.groupBy(lang_col).agg(F.approx_count_distinct(h).alias("n")).collect()
     if not counts:
         return {}
-    # Take about twice the wanted texts by a hash threshold; the exact bound follows below.
-    mark = F.pmod(F.xxhash64(text_col), F.lit(1_000_000))
-    share = F.create_map(
-        *[F.lit(x) for r in counts for x in (r[lang_col], min(1_000_000, 1_000_000 * 2 * SAMPLE // r["count"] + 1))]
-    )
-    wanted = rows.filter(mark < F.element_at(share, F.col(lang_col)))
+    size = DICT_BYTES * FULL_SIZE // max(FULL_SIZE, len(counts))
+    # About twice the wanted different texts have hashes up to a bound; the least of them follow below, so that
+    # neither copies nor the error of the count change the sample.
+    most = {r[lang_col]: min(2**63 - 1, 2**64 * 2 * SAMPLE // max(r["n"], 1) - 2**63) for r in counts}
+    bound = F.create_map(*[F.lit(x).cast(t) for item in most.items() for x, t in zip(item, ("string", "long"))])
+    cut = F.substring(text_col, 1, 4 * DICT_BYTES // SAMPLE)
     near = (
-        wanted.groupBy(lang_col, F.xxhash64(text_col).alias("h"))
-        .agg(F.min(F.substring(text_col, 1, DICT_BYTES)).alias("t"))
+        rows.filter(h <= F.element_at(bound, F.col(lang_col)))
+        .groupBy(lang_col, h.alias("h"))
+        .agg(F.min(cut).alias("t"))
         .groupBy(lang_col)
-        .agg(F.sort_array(F.collect_list(F.struct("h", F.substring("t", 1, 4 * DICT_BYTES // SAMPLE).alias("t")))).alias("all"))
+        .agg(F.sort_array(F.collect_list(F.struct("h", "t"))).alias("all"))
     )
     out = {}
     for r in near.select(lang_col, F.slice("all", 1, SAMPLE).alias("all")).collect():
         # The end of a dictionary is the cheapest to refer to, so full texts come last.
-        out[r[lang_col]] = b" ".join(plain(x["t"]) for x in r["all"])[:DICT_BYTES]
+        out[r[lang_col]] = b" ".join(plain(x["t"]) for x in r["all"])[:size]
     return out
 
 

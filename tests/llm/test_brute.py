@@ -11,9 +11,10 @@ import numpy as np
 import pytest
 import xxhash
 from oracle import connect, difference
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chainlake.llm import licenses, pii, piece_bpe, queries, secret_scan, simhash, winnowing
+from chainlake.llm import langid, licenses, pii, piece_bpe, queries, secret_scan, simhash, winnowing
 from chainlake.llm.components import connected_components
 
 RND = random.Random(3)
@@ -294,6 +295,20 @@ def test_op8_held_out(spark, docs, sf_dir):
     assert sum(r.lang_pred == docs[r.doc_id].lang for r in rows) / len(rows) > 0.93
 
 
+def test_languages_of_copies_and_many_languages_are_learned(spark):
+    """Copies and size don't change the sample: 100,000 rows of five texts teach as much as five rows."""
+    texts = ["una casa vieja en la calle", "los perros duermen mucho", "el mar azul brilla hoy", "nadie sabe la hora", "cada tarde llueve"]
+    rows = spark.range(100_000).select(F.element_at(F.array(*map(F.lit, texts)), (F.col("id") % 5 + 1).cast("int")).alias("text"), F.lit("es").alias("lang"))
+    few = spark.createDataFrame([(t, "es") for t in texts], "text string, lang string")
+    learned = langid.learn(rows, F.lit(True))
+    assert learned == langid.learn(few, F.lit(True)) and all(t.encode() in learned["es"] for t in texts)
+    once = spark.range(3000).select(F.concat(F.lit("word "), F.sha2(F.col("id").cast("string"), 256)).alias("text"), F.lit("xx").alias("lang"))
+    heavy = once.unionByName(once.limit(1).crossJoin(spark.range(50_000)).select("text", "lang"))
+    assert langid.learn(once, F.lit(True)) == langid.learn(heavy, F.lit(True))
+    many = spark.range(250).select(F.concat(F.lit("a text of "), F.sha2(F.col("id").cast("string"), 256)).alias("text"), F.concat(F.lit("l"), "id").alias("lang"))
+    assert len(langid.learn(many, F.lit(True))) == 250
+
+
 def test_op10_held_out(spark):
     folder = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.toxic for r in queries.table(spark, folder, "labels").collect()}
