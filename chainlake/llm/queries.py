@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainlake.llm import (
-    decontaminate, langid, licenses, line_dedup, pii, piece_bpe, secret_scan, simhash, toxicity, winnowing,
+    collocations, decontaminate, langid, licenses, line_dedup, pii, piece_bpe, secret_scan, simhash, substring_dedup, toxicity,
+    whitening, winnowing,
 )
 from chainlake.llm.common import crc_fold, digest, sha256_of
 
@@ -149,11 +150,65 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    each = found.select(
+        "vec_id", "n", "deviation", "identity_error", "explained", F.posexplode("whitened").alias("at", "whitened")
+    )
+    return each.select(
+        "vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "whitened",
+        F.get("explained", F.col("at")).alias("explained"), "identity_error",
+    )
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS t, coalesce(lang, 'und') AS lang,
+    regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS p FROM documents),
+pieces AS (SELECT lang, list_filter(regexp_split_to_array(unnest(p), '[\x20\x09]+'), lambda x: x <> '') AS w FROM d),
+totals AS (SELECT lang, sum(len(w)) AS n FROM pieces GROUP BY lang),
+spots AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, (SELECT unnest(range(1, {collocations.LONGEST} + 1)) AS k) WHERE len(w) >= k),
+f AS (SELECT lang, list_slice(w, i, i + k - 1) AS g, k, count(*) AS f FROM spots GROUP BY ALL HAVING count(*) >= {collocations.LEAST}),
+cuts AS (SELECT lang, g, k, f AS a, unnest(range(1, k)) AS c FROM f WHERE k > 1),
+cut AS (SELECT cuts.lang, cuts.g, cuts.k, a, c, x.f AS l, y.f AS r, CAST({collocations.SCORE_SCALE} AS HUGEINT) * a // (x.f + y.f) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.g = list_slice(cuts.g, 1, c) JOIN f y ON y.lang = cuts.lang AND y.g = list_slice(cuts.g, c + 1, cuts.k)),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, c) = 1),
+inner_ AS (SELECT lang, g, f, k, unnest(range(2, k)) AS m FROM f WHERE k > 2),
+around AS (SELECT lang, list_slice(g, p, p + m - 1) AS g, max(f) AS longer FROM (SELECT *, unnest(range(1, k - m + 2)) AS p FROM inner_) GROUP BY ALL),
+kept AS (SELECT best.*, array_to_string(best.g, ' ') AS phrase FROM best LEFT JOIN around USING (lang, g) WHERE longer IS NULL OR 100 * CAST(longer AS HUGEINT) < {collocations.CONTAINED_PERCENT} * CAST(a AS HUGEINT)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked JOIN totals USING (lang) WHERE rank <= {collocations.TOP}
+"""
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+OP13_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+spots AS (SELECT r, doc_id, i, array_to_string(w[i : i + {substring_dedup.WORDS - 1}], ' ') AS g
+  FROM (SELECT *, unnest(range(1, len(w) - {substring_dedup.WORDS - 2})) AS i FROM d WHERE len(w) >= {substring_dedup.WORDS})),
+first AS (SELECT g, min(doc_id) AS least FROM spots GROUP BY g),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + {substring_dedup.WORDS})) AS p FROM spots JOIN first USING (g) WHERE least < coalesce(doc_id, least + 1)),
+words AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY p) AS text, count(*) AS n FROM words ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_pii_scan, op3_line_dedup, op4_sentencepiece, op5_simhash, op6_decontaminate,
-        op7_secret_scan, op8_language, op9_winnowing, op10_toxicity,
+        op7_secret_scan, op8_language, op9_winnowing, op10_toxicity, op11_whitening, op12_collocations, op13_substring_dedup,
     )
 }
-SQL = {"op3_line_dedup": OP3_SQL, "op6_decontaminate": OP6_SQL}
+SQL = {
+    "op3_line_dedup": OP3_SQL, "op6_decontaminate": OP6_SQL, "op12_collocations": OP12_SQL, "op13_substring_dedup": OP13_SQL,
+}
