@@ -1,8 +1,8 @@
 """Log-wide fingerprints and statement analysis, as regular-expression projections.
 
-Literals, quoted identifiers and comments are taken out first, from left to right by one
-pattern, so none of them is looked for inside another. The patterns after that never meet a
-quote, run in linear time on statements of any length and stay inside the JVM. This covers
+Literals (plain, escape and dollar quotes), quoted identifiers and comments, also nested ones, are
+taken out first, from left to right by one pattern, so none of them is looked for inside another. The
+patterns after that never meet a quote and stay inside the JVM. This covers
 the statement forms an access log needs; it is not a SQL grammar.
 """
 
@@ -19,9 +19,11 @@ from pyspark.sql import types as T
 from chainlake.functions.text import command_action
 
 # Fixed values: (pattern, replacement) steps that bring a statement whose quoted
-# literals are already "?" to its canonical spacing. RE2-compatible.
+# literals are already "?" to its canonical spacing. Runs of blanks go first, so that no
+# later pattern tries again from each blank of a long run.
 NORMALIZE_STEPS = [
-    (r"(?:\?)+", "?"),
+    (r"\s+", " "),
+    (r"\?+", "?"),
     (r"(?i)\b[exbn]\?", "?"),
     (r"(^|[^A-Za-z0-9_$.\"])[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?\b", "$1?"),
     (r"(?i)\b(?:true|false)\b", "?"),
@@ -31,15 +33,32 @@ NORMALIZE_STEPS = [
     (r"\(\s+", "("),
     (r"\s+\)", ")"),
     (r"\s+", " "),
-    (r"(?:\s*;\s*)+$", ""),
     (r"\s*;\s*", "; "),
-    (r"^\s+|\s+$", ""),
 ]
 _MARK = "\u0001"
 #: Stands around the number of a quoted identifier, so that it reads as a plain name.
 _NAME_MARK = "__qid__"
-#: Literals, quoted identifiers and comments. A doubled quote makes two literals that touch.
-_QUOTED = r"""'[^']*'|"[^"]*"|/\*[^*]*\*+(?:[^/*][^*]*\*+)*/|--[^\n]*"""
+#: Block comments may stand inside others, so deep at most; deeper ones count as left open.
+COMMENT_DEPTH = 12
+
+
+def _block_comment(depth: int) -> str:
+    inner = f"|{_block_comment(depth - 1)}" if depth else ""
+    return rf"/\*(?:[^*/]++|\*(?!/)|/(?!\*){inner})*+\*/"
+
+
+# Scanner states. All repetition is possessive or of single characters, which the matcher runs as a
+# loop: a part of any length takes time in proportion and no stack. What is left open takes the rest
+# of the statement, so no text is scanned twice. A doubled plain quote makes two literals that touch.
+_ESCAPE_TEXT = r"""(?<![\w$])[eE]'[^'\\]*+(?:(?:\\[\s\S]|'')[^'\\]*+)*+"""
+_DOLLAR_TEXT = r"""(?<![\w$])\$((?:[A-Za-z_]\w*+)?)\$[\s\S]*?"""
+_COMMENT = _block_comment(COMMENT_DEPTH)
+_QUOTED = (
+    rf"""{_ESCAPE_TEXT}(?:'|\\?\z)|{_DOLLAR_TEXT}(?:\$\1\$|\z)|'[^']*+(?:'|\z)|"[^"]*+(?:"|\z)"""
+    rf"""|--[^\n]*+|{_COMMENT}|/\*[\s\S]*+"""
+)
+#: A quoted part that has an end.
+_CLOSED = rf"""\A(?:{_ESCAPE_TEXT}'|{_DOLLAR_TEXT}\$\1\$|'[^']*+'|"[^"]*+"|--[^\n]*+|{_COMMENT})\z"""
 
 
 def _cut(statement: Column) -> tuple[Column, Column]:
@@ -47,9 +66,13 @@ def _cut(statement: Column) -> tuple[Column, Column]:
     return F.split(statement, _QUOTED, -1), F.regexp_extract_all(statement, F.lit(_QUOTED), F.lit(0))
 
 
-def _balanced(between: Column) -> Column:
-    """Whether no quote or comment is left open."""
-    return ~F.exists(between, lambda p: p.contains("'") | p.contains('"') | p.contains("/*"))
+def _balanced(quoted: Column) -> Column:
+    """Whether no quote or comment is left open; only the last part can be."""
+    return F.coalesce(F.try_element_at(quoted, F.lit(-1)).rlike(_CLOSED), F.size(quoted) == 0)
+
+
+def _is_literal(part: Column) -> Column:
+    return part.rlike(r"\A(?:[eE]?'|\$)")
 
 
 def _rejoin(between: Column, stand_ins: Column) -> Column:
@@ -61,11 +84,12 @@ def normalize_sql(statement: Column) -> Column:
     between, quoted = _cut(statement)
     text = _rejoin(
         between,
-        F.transform(quoted, lambda t: F.when(t.startswith("'"), "?").when(t.startswith('"'), t).otherwise(" ")),
+        F.transform(quoted, lambda t: F.when(_is_literal(t), "?").when(t.startswith('"'), t).otherwise(" ")),
     )
     for pattern, replacement in NORMALIZE_STEPS:
         text = F.regexp_replace(text, pattern, replacement)
-    return F.lower(F.when(_balanced(between), text).otherwise(statement))
+    text = F.ltrim(F.rtrim(text, F.lit("; ")))
+    return F.lower(F.when(_balanced(quoted), text).otherwise(statement))
 
 
 def fingerprint_queries(log: DataFrame, column: str = "statement") -> DataFrame:
@@ -85,7 +109,6 @@ _TAIL = (
     r"(?:group\s+by|order\s+by|limit|offset|having|returning|union|intersect|except|window|"
     r"fetch|for\s+update)\b"
 )
-_COMMA = r",(?![^()]*\))"
 _LITERAL = rf"^(?:-\s*)?(?:[0-9][\w.]*|(?:{_MARK}[0-9]+{_MARK})+|(?i:true|false|null)|\$[0-9]+|\?)$"
 
 
@@ -126,8 +149,13 @@ def _named(text: Column, quoted: Column) -> Column:
     return _put_back(text, _NAME_MARK, quoted, bare)
 
 
+#: A piece of a list up to the next comma outside of parentheses, which may be six deep.
+_ITEM = rf"(?:[^,()]++|{_nested(6)}|[()])++"
+
+
 def _items(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, _COMMA), lambda x: F.trim(x)), lambda x: x != "")
+    pieces = F.regexp_extract_all(text, F.lit(_ITEM), F.lit(0))
+    return F.filter(F.transform(pieces, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def analyze_queries(log: DataFrame, column: str = "statement") -> DataFrame:
@@ -140,10 +168,11 @@ def analyze_queries(log: DataFrame, column: str = "statement") -> DataFrame:
 
     def stand_in(t: Column, i: Column) -> Column:
         wrap = lambda mark: F.concat(F.lit(mark), i.cast("string"), F.lit(mark))
-        return F.when(t.startswith("'"), wrap(_MARK)).when(t.startswith('"'), wrap(_NAME_MARK)).otherwise(" ")
+        return F.when(_is_literal(t), wrap(_MARK)).when(t.startswith('"'), wrap(_NAME_MARK)).otherwise(" ")
 
-    first = _first_statement(_rejoin(between, F.transform(quoted, stand_in)))
-    df = log.withColumns({"__pieces": quoted, "__first": F.when(_balanced(between), first).otherwise("")})
+    # Patterns try again from each blank of a run, so runs are kept short.
+    first = F.regexp_replace(_first_statement(_rejoin(between, F.transform(quoted, stand_in))), r"\s{9,}", " ")
+    df = log.withColumns({"__pieces": quoted, "__first": F.when(_balanced(quoted), first).otherwise("")})
     # Anchored, and left as it is before anything but a query, which then gives only an action.
     flat = F.regexp_replace("__first", _WITH + r"(?=select\b)", "")
     for _ in range(3):

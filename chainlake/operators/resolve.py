@@ -154,7 +154,9 @@ def resolve_users_doc(
 def valid_patterns(patterns: list[tuple[str, str]]) -> list[tuple[str, str, int]]:
     """(bucket, regex, number of the user_id group) of the patterns that compile.
 
-    Java group names allow no underscore, so groups are addressed by number.
+    Java group names allow no underscore, so groups are addressed by number. The group before
+    user_id holds the rest of the key from there on, whatever the pattern: it stands in a lookahead,
+    so it matches wherever user_id is tried, also inside alternatives and other groups.
     """
     out = []
     for bucket, pattern in patterns:
@@ -162,37 +164,18 @@ def valid_patterns(patterns: list[tuple[str, str]]) -> list[tuple[str, str, int]
             compiled = re.compile(re.sub(r"\(\?<(?=\w+>)", "(?P<", pattern))
         except re.error:
             continue
-        if "user_id" in compiled.groupindex:
-            numbered = re.sub(r"\(\?P<\w+>", "(", compiled.pattern)
-            out.append((bucket, numbered, compiled.groupindex["user_id"]))
-    return out
+        number = compiled.groupindex.get("user_id")
+        if number is None:
+            continue
 
+        def later(at: int) -> int:
+            return at + (at >= number)
 
-def group_start(regex: str, number: int) -> int:
-    """Position of the bracket that opens a numbered group."""
-    count, at, in_class = 0, 0, False
-    while at < len(regex):
-        char = regex[at]
-        if char == "\\":
-            at += 1
-        elif in_class:
-            in_class = char != "]"
-        elif char == "[":
-            in_class = True
-        elif char == "(" and regex[at + 1 : at + 2] != "?":
-            count += 1
-            if count == number:
-                return at
-        at += 1
-    raise ValueError(f"{regex} has no group {number}")
-
-
-def _compiles(regex: str) -> bool:
-    try:
-        re.compile(regex)
-    except re.error:
-        return False
-    return True
+        names = re.sub(r"\(\?P=(\w+)\)", lambda m: f"\\{compiled.groupindex[m[1]]}", compiled.pattern)
+        moved = re.sub(r"\\([1-9]\d?|[\s\S])", lambda m: f"\\{later(int(m[1]))}" if m[1].isdigit() and m[1] != "0" else m[0], names)
+        marked = moved.replace("(?P<user_id>", r"(?=([\s\S]*))(?P<user_id>")
+        out.append((bucket, re.sub(r"\(\?P<\w+>", "(", marked), number + 1))
+    return out
 
 
 def _bucket_matches(bucket: str) -> Column:
@@ -232,18 +215,8 @@ def fingerprint_requests(requests: DataFrame, patterns: list[tuple[str, str]]) -
     """
     normalized = F.lit(None).cast("string")
     for bucket, regex, group in reversed(valid_patterns(patterns)):
-        # The text before the id is a group of its own, since the id may also occur earlier.
-        at = group_start(regex, group)
-        split = rf"\A([\s\S]*?)({regex[:at]}){regex[at:]}"
-        if _compiles(regex[:at]) and "|" not in regex:
-            user = F.regexp_extract("key", split, group + 2)
-            prefix = F.concat(F.regexp_extract("key", split, 1), F.regexp_extract("key", split, 2))
-        else:
-            # The id is inside another group or an alternative: take its first place in the match.
-            whole = F.regexp_substr(F.col("key"), F.lit(regex))
-            user = F.regexp_extract("key", regex, group)
-            head = F.left(F.col("key"), F.position(whole, F.col("key")) - 1)
-            prefix = F.concat(head, F.left(whole, F.position(user, whole) - 1))
+        user = F.regexp_extract("key", regex, group)
+        prefix = F.left("key", F.length("key") - F.length(F.regexp_extract("key", regex, group - 1)))
         more = F.length(prefix) + F.length(user) < F.length("key")
         text = F.concat(prefix, F.lit("{user_id}"), F.when(more, "/*").otherwise(""))
         normalized = F.when(_bucket_matches(bucket) & F.col("key").rlike(regex), text).otherwise(normalized)

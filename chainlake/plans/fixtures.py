@@ -316,9 +316,12 @@ STATEMENTS = {
     "with": "WITH a AS (SELECT max(x) FROM t WHERE k IN (1, 2)), b (y) AS (SELECT 1) "
     "SELECT users.name FROM users, a WHERE id = {u}",
     "remark": "SELECT email /* it's */ FROM users -- o'clock\nWHERE id = {u}",
+    "escape": "SELECT email FROM users WHERE note = E'it\\'s' AND id = {u}",
+    "dollar": """SELECT email FROM users WHERE bio = $q$it's "x" $$ /* -- y$q$ AND id = {u} LIMIT 1""",
+    "nested": "SELECT email /* a /* b' */ c */ FROM users WHERE id = {u}",
 }
 #: Some events hold statements of these kinds instead of their type's.
-_KINDS = {"quoted": 31, "with": 37, "remark": 41}
+_KINDS = {"quoted": 31, "with": 37, "remark": 41, "escape": 43, "dollar": 47, "nested": 53}
 _KIND_SQL = (
     "CASE " + " ".join(f"WHEN event_id % {n} = 0 THEN '{k}'" for k, n in _KINDS.items()) + " ELSE event_type END"
 )

@@ -28,7 +28,7 @@ USER_TABLES = [
 ]
 COLLECTIONS = [("users", ["_id"]), ("messages", ["recipient_id", "sender_id"])]
 PATTERNS = [
-    ("uploads", "users/(?P<user_id>[^/]+)/.*"),
+    ("uploads", "^(?:members|(?P<kind>users))/(?P<user_id>[^/]+)/.*"),
     ("media", "^(?P<user_id>[^/]+)"),
     ("*", "([bad"),
 ]
@@ -43,6 +43,9 @@ SHAPES = {
     "quoted": """select "name", u."email" from "users" u where u."id" = ? and "o'x" = ?""",
     "with": "with a as (select max(x) from t where k in (?, ?)), b (y) as (select ?) select users.name from users, a where id = ?",
     "remark": "select email from users where id = ?",
+    "escape": "select email from users where note = ? and id = ?",
+    "dollar": "select email from users where bio = ? and id = ? limit ?",
+    "nested": "select email from users where id = ?",
 }
 SHAPE_SQL = fx.log_case_sql(
     SHAPES, broken=f"lower({fx._format_sql(fx.BROKEN)})", utility="'show timezone'"
@@ -75,15 +78,15 @@ def top_fingerprints(spark, sf_dir):
 
 _TABLES = {
     "view": "users", "click": "orders", "purchase": "public.orders, users", "signup": "payments", "error": "messages",
-    "quoted": "users", "with": "users, a", "remark": "users",
+    "quoted": "users", "with": "users, a", "remark": "users", "escape": "users", "dollar": "users", "nested": "users",
 }
 _ALIASES = {
     "view": "u", "click": "", "purchase": "o, u", "signup": "", "error": "",
-    "quoted": "u", "with": "", "remark": "",
+    "quoted": "u", "with": "", "remark": "", "escape": "", "dollar": "", "nested": "",
 }
 _COLUMNS = {
     "view": "name, email", "click": "note, qty", "purchase": "id, count(*)", "signup": "", "error": "",
-    "quoted": "name, email", "with": "name", "remark": "email",
+    "quoted": "name, email", "with": "name", "remark": "email", "escape": "email", "dollar": "email", "nested": "email",
 }
 _FILTERS = {
     "view": "u.id = {u} | status = 'active'",
@@ -94,6 +97,9 @@ _FILTERS = {
     "quoted": "u.id = {u} | o'x = 'a'",
     "with": "id = {u}",
     "remark": "id = {u}",
+    "escape": "note = E'it\\'s' | id = {u}",
+    "dollar": """bio = $q$it's "x" $$ /* -- y$q$ | id = {u}""",
+    "nested": "id = {u}",
 }
 _WHERE = {
     "view": "u.id = {u} AND status = 'active'",
@@ -104,10 +110,13 @@ _WHERE = {
     "quoted": """u."id" = {u} AND "o'x" = 'a'""",
     "with": "id = {u}",
     "remark": "id = {u}",
+    "escape": "note = E'it\\'s' AND id = {u}",
+    "dollar": """bio = $q$it's "x" $$ /* -- y$q$ AND id = {u}""",
+    "nested": "id = {u}",
 }
 _ACTIONS = {
     "view": "read", "click": "write", "purchase": "read", "signup": "schema_change", "error": "delete",
-    "quoted": "read", "with": "read", "remark": "read",
+    "quoted": "read", "with": "read", "remark": "read", "escape": "read", "dollar": "read", "nested": "read",
 }
 
 
@@ -138,7 +147,7 @@ def analyze_queries(spark, sf_dir):
 
 _USERS = {
     "view": "{u}", "click": "{u},{v}", "purchase": "{u}", "signup": "", "error": "{u}",
-    "quoted": "{u}", "with": "{u}", "remark": "{u}",
+    "quoted": "{u}", "with": "{u}", "remark": "{u}", "escape": "{u}", "dollar": "{u}", "nested": "{u}",
 }
 
 

@@ -1,11 +1,12 @@
 """Cases that earlier versions got wrong."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from chainlake.operators import chain, compare, lifecycle, limits, ops, resolve
+from chainlake.operators import chain, compare, fingerprint, lifecycle, limits, ops, resolve
 from chainlake.plans import fixtures as fx
 from chainlake.sources.chain_log import read_chain_log
 from chainlake.streaming import append
@@ -55,6 +56,10 @@ def test_log_with_object_payloads_in_stored_order(spark, tmp_path):
         ("x/users/x/1", r"users/(?<user_id>\w+)/", "x/users/{user_id}/*"),
         ("a/(1)/1/b", r"\((\d)\)/(?<user_id>\d)", "a/(1)/{user_id}/*"),
         ("top/users/9/z", r"(?:users/((?<user_id>\d+)))", "top/users/{user_id}/*"),
+        ("users/s/f.jpg", r"^(?:users|members)/(?P<user_id>[^/]+)/.*$", "users/{user_id}/*"),
+        ("members/m/f", r"(?:users/|(?:members/))(?<user_id>[^/]+)", "members/{user_id}/*"),
+        ("aa/a/a-a/x", r"(a|b)/(?<user_id>\w+)-\2/x|never", "aa/a/{user_id}/*"),
+        ("k/b/b/b", r"(?P<first>\w)/(?P<user_id>\w)/(?P=first)", "k/b/{user_id}/*"),
     ],
 )
 def test_object_shape_by_group_position(spark, key, pattern, expected):
@@ -116,3 +121,53 @@ def test_predicates_that_are_not_listed_are_named(spark):
     df = spark.createDataFrame(rows, "event_id long, table_name string, raw_where string, affected_users array<string>")
     assert [r.event_id for r in resolve.unlisted_predicates(df, {"a = 1": "a = 1"}).orderBy("event_id").collect()] == [2, 3]
     assert resolve.unlisted_predicates(df, {}).count() == 3
+
+
+_TAIL = " FROM users WHERE id = 7"
+_LONG = 125_000
+
+
+@pytest.mark.parametrize(
+    "text, shape",
+    [
+        ("SELECT a /* " + "* a " * (2 * _LONG) + "*/" + _TAIL, "select a from users where id = ?"),
+        ("SELECT a /* " + "/* x */ " * _LONG + "*/" + _TAIL, "select a from users where id = ?"),
+        ("SELECT a, E'" + "\\'" * (4 * _LONG) + "'" + _TAIL, "select a, ? from users where id = ?"),
+        ("SELECT a, $t$" + "$ $$ $u$ " * _LONG + "$t$" + _TAIL, "select a, ? from users where id = ?"),
+        ("SELECT a" + " " * (8 * _LONG) + _TAIL + " ; " * _LONG, "select a from users where id = ?"),
+        ("SELECT a /* " + "/* " * _LONG + _TAIL, None),
+        ("SELECT a " + "$a$ $b$ " * _LONG + _TAIL + " $", None),
+    ],
+    ids=["stars", "nested", "escapes", "dollars", "blanks", "open comments", "open dollars"],
+)
+def test_long_statements_take_no_stack_and_little_time(spark, tmp_path, text, shape):
+    # From a file, since a plan with the text in it is folded by an interpreter.
+    spark.createDataFrame([(text,)], "statement string").write.parquet(str(tmp_path / "log"))
+    log = spark.read.parquet(str(tmp_path / "log"))
+    start = time.time()
+    row = fingerprint.analyze_queries(fingerprint.fingerprint_queries(log)).first()
+    assert time.time() - start < 60
+    assert row.query_shape == (text.lower() if shape is None else shape)
+    assert [t.name for t in row.tables] == ([] if shape is None else ["users"])
+
+
+@pytest.mark.parametrize(
+    "text, shape, users",
+    [
+        (r"SELECT a FROM users WHERE n = E'it\'s' AND id = 7", "select a from users where n = ? and id = ?", ["7"]),
+        ("SELECT a FROM users WHERE n = $$it's$$ AND id = 7", "select a from users where n = ? and id = ?", ["7"]),
+        ("SELECT a FROM users WHERE n = $q$ $$ ' $q$ AND id = $1", "select a from users where n = ? and id = $1", None),
+        ("SELECT /* a /* b */ c */ a FROM users WHERE id = 7", "select a from users where id = ?", ["7"]),
+        ("SELECT a FROM users WHERE id = 7 /* open /* */", None, []),
+        ("SELECT a FROM users WHERE n = 'C:\\' AND id = 7", "select a from users where n = ? and id = ?", ["7"]),
+        ("SELECT f(a, g(b, c)), d FROM users WHERE id IN (7, 8)", "select f(a, g(b, c)), d from users where id in (?, ?)", ["7", "8"]),
+    ],
+)
+def test_quotes_and_comments_of_every_kind(spark, text, shape, users):
+    log = spark.createDataFrame([(text,)], "statement string")
+    row = resolve.resolve_users_sql(
+        fingerprint.analyze_queries(fingerprint.fingerprint_queries(log)), [("users", ["id"])]
+    ).first()
+    assert row.query_shape == (text.lower() if shape is None else shape)
+    assert users is None or row.affected_users == users
+    assert shape is not None or row.action is None
