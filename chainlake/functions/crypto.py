@@ -75,7 +75,7 @@ def envelope(
         be_hex(payload_type, 1),
         be_hex(F.octet_length(payload_json), 4),
     )
-    return F.concat(F.unhex(header), F.encode(payload_json, "UTF-8"))
+    return F.concat(F.unhex(header), payload_json.cast("binary"))
 
 
 def entry_hash(

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from chainlake.functions.crypto import is_hash_hex, row_entry_hash
 from chainlake.operators.fold import SEGMENT_ROWS, ordered_fold
+from chainlake.operators import runs
 from chainlake.operators.scan import BUCKET_ROWS, Running, bucket_of, longest_key, running
 from chainlake.schemas import (
     CHAIN_ENTRY_COLUMNS,
@@ -21,6 +22,8 @@ from chainlake.schemas import (
     TYPE_OBSERVED,
     ZERO_HASH,
 )
+from chainlake.session import materialize
+
 
 def _link(state, index, timestamp, payload_type, payload_json):
     """Hash one envelope on top of the previous entry hash."""
@@ -188,22 +191,8 @@ def _slot_error(types: list[int], check_type: bool) -> Column:
     )
 
 
-def verify_chains(
-    entries: DataFrame,
-    expected_heads: DataFrame | None = None,
-    profile: str = "spec",
-    check_type: bool = True,
-    trusted: DataFrame | None = None,
-) -> DataFrame:
-    """Check every entry of every chain; one row per chain with its first error.
-
-    Checks per entry, in order: version, index (missing, repeated or not starting where
-    it should), payload type, link to the entry before, recomputed hash; then, where
-    ``expected_heads`` (chain_id, expected_head) names the chain, its head. ``trusted``
-    (chain_id, entry_count, head) makes the check incremental: entries must continue it.
-    Profile ``two_types`` accepts payload types 1 and 2 only.
-    """
-    types = [TYPE_ACCESS, TYPE_DEPLOYMENT] + ([] if profile == "two_types" else [TYPE_OBSERVED])
+def _by_slots(entries: DataFrame, types: list[int], check_type: bool, trusted: DataFrame | None) -> DataFrame:
+    """(chain_id, entries, head, worst, start) of any table, also with gaps and repeated entries."""
     slots = link_groups(entries, trusted).withColumn("__error", _slot_error(types, check_type))
     present = F.col("copies") > 0
     found = F.when(
@@ -231,13 +220,99 @@ def verify_chains(
         F.col("gap") <= F.col("last"),
         F.struct(F.col("gap").alias("position"), F.lit(0).alias("rank"), F.lit("index").alias("error")),
     )
-    chains = chains.select(
+    return chains.select(
         "chain_id",
         "entries",
         F.coalesce("head", "trusted_head", F.lit(ZERO_HASH)).alias("head"),
         F.least("worst", gap_error).alias("worst"),
         "start",
     )
+
+
+def _by_runs(entries: DataFrame, types: list[int], check_type: bool, trusted: DataFrame | None) -> DataFrame:
+    """What ``_by_slots`` gives, and ``regular``: the runs of the chain lie end to end from its start.
+
+    Only then do the other columns hold. One row for each run, and one for where the next has to
+    begin, meet by (chain, index).
+    """
+    small = F.octet_length("payload_json") <= MAX_PAYLOAD_BYTES
+    recomputed = F.coalesce(small & (row_entry_hash() == F.lower("entry_hash")), F.lit(False))
+    known = F.coalesce(F.col("payload_type").isin(types), F.lit(False)) if check_type else F.lit(True)
+    flags = (
+        F.when(F.coalesce(F.col("version") != ENTRY_VERSION, F.lit(True)), runs.BAD_VERSION).otherwise(0)
+        + F.when(~known, runs.BAD_TYPE).otherwise(0)
+        + F.when(~recomputed, runs.BAD_HASH).otherwise(0)
+    )
+    found = runs.find_runs(entries.withColumn("flags", flags))
+    own = F.struct("prev_hash", "flags", "last", "n", "head", "at", "error")
+    none = F.lit(None).cast("bigint")
+    slots = found.select("chain_id", F.col("first").alias("slot"), own.alias("own"), F.lit(None).cast("string").alias("before"), none.alias("start"))
+    slots = slots.unionByName(
+        found.select("chain_id", (F.col("last") + 1).alias("slot"), F.col("head").alias("before")), allowMissingColumns=True
+    )
+    if trusted is not None:
+        slots = slots.unionByName(
+            trusted.select(
+                "chain_id", F.col("entry_count").cast("bigint").alias("slot"), F.col("head").alias("before"),
+                F.col("entry_count").cast("bigint").alias("start"),
+            ),
+            allowMissingColumns=True,
+        )
+    met = slots.groupBy("chain_id", "slot").agg(
+        F.count("own").alias("begin"), F.count("before").alias("end"), F.count(F.when(F.col("own").isNull() & F.col("before").isNull(), 1)).alias("bare"),
+        F.min("own").alias("own"), F.min("before").alias("before"), F.max("start").alias("start"),
+    )
+    expected = F.coalesce("before", F.when(F.col("slot") == 0, F.lit(ZERO_HASH)))
+    broken = ~F.col("own.prev_hash").eqNullSafe(expected)
+    has = lambda bit: F.col("own.flags").bitwiseAND(F.lit(bit)) > 0
+    first_error = (
+        F.when(has(runs.BAD_VERSION), "version").when(has(runs.BAD_TYPE), "payload_type")
+        .when(broken & (F.col("slot") == 0), "invalid_first").when(broken, "broken_chain").when(has(runs.BAD_HASH), "tampered_entry")
+    )
+    names = F.create_map(*[F.lit(x) for pair in runs.ERRORS.items() for x in pair])
+    at_first = F.when(F.col("own").isNotNull() & first_error.isNotNull(), F.struct(F.col("slot").alias("position"), F.lit(1).alias("rank"), first_error.alias("error")))
+    inside = F.when(F.col("own.error").isNotNull(), F.struct(F.col("own.at").alias("position"), F.lit(1).alias("rank"), names[F.col("own.error")].alias("error")))
+    loose = F.col("own").isNotNull() & F.col("before").isNull() & (F.col("slot") != 0)
+    chains = met.groupBy("chain_id").agg(
+        F.coalesce(F.sum("own.n"), F.lit(0)).alias("entries"),
+        F.min(F.when(F.col("own").isNotNull(), F.col("slot"))).alias("first"),
+        F.max("own.last").alias("last"),
+        F.max_by("own.head", "own.last").alias("head"),
+        F.min(F.least(at_first, inside)).alias("worst"),
+        F.coalesce(F.max("start"), F.lit(0)).alias("start"),
+        F.max(F.when(F.col("start").isNotNull(), F.col("before"))).alias("trusted_head"),
+        F.max((F.col("begin") > 1) | (F.col("end") > 1) | (F.col("bare") > 0) | loose | F.col("slot").isNull()).alias("odd"),
+    )
+    tiled = (F.col("first") == F.col("start")) & (F.col("last") - F.col("first") + 1 == F.col("entries"))
+    return chains.select(
+        "chain_id", F.col("entries"), F.coalesce("head", "trusted_head", F.lit(ZERO_HASH)).alias("head"), "worst", "start",
+        (~F.col("odd") & F.coalesce(tiled, F.col("first").isNull())).alias("regular"),
+    )
+
+
+def verify_chains(
+    entries: DataFrame,
+    expected_heads: DataFrame | None = None,
+    profile: str = "spec",
+    check_type: bool = True,
+    trusted: DataFrame | None = None,
+) -> DataFrame:
+    """Check every entry of every chain; one row per chain with its first error.
+
+    Checks per entry, in order: version, index (missing, repeated or not starting where
+    it should), payload type, link to the entry before, recomputed hash; then, where
+    ``expected_heads`` (chain_id, expected_head) names the chain, its head. ``trusted``
+    (chain_id, entry_count, head) makes the check incremental: entries must continue it.
+    Profile ``two_types`` accepts payload types 1 and 2 only.
+    """
+    types = [TYPE_ACCESS, TYPE_DEPLOYMENT] + ([] if profile == "two_types" else [TYPE_OBSERVED])
+    verdicts = materialize(_by_runs(entries, types, check_type, trusted), "runs")
+    chains = verdicts.filter("regular").drop("regular")
+    odd = verdicts.filter("NOT regular").select("chain_id")
+    if not odd.isEmpty():
+        odd = odd.withColumnRenamed("chain_id", "__odd")
+        mine = lambda df: df.join(odd, F.col("chain_id").eqNullSafe(F.col("__odd")), "left_semi")
+        chains = chains.unionByName(_by_slots(mine(entries), types, check_type, None if trusted is None else mine(trusted)))
     error, position = F.col("worst.error"), F.col("worst.position")
     if expected_heads is not None:
         chains = (
@@ -281,19 +356,28 @@ def verify_incremental(new: DataFrame, trusted: DataFrame, profile: str = "spec"
 
 
 def link_check(entries: DataFrame) -> DataFrame:
-    """Per entry: does it follow the entry before it? Hashes are not recomputed."""
+    """Per entry: does it follow an entry before it? Hashes are not recomputed.
+
+    Rows that follow the row they lie behind are done where they are. The few others, the first ones
+    of runs and those in doubt, look for any entry of the index before. Each row of the table gives one row,
+    also repeated ones.
+    """
     narrow = entries.select("chain_id", "index", "prev_hash", "entry_hash")
-    previous = narrow.select(
-        "chain_id", (F.col("index") + 1).alias("index"), F.col("entry_hash").alias("__before")
-    )
-    linked = narrow.join(previous, ["chain_id", "index"], "left")
-    expected = F.when(F.col("index") == 0, F.lit(ZERO_HASH)).otherwise(F.col("__before"))
-    return linked.select(
-        "chain_id",
-        "index",
-        F.coalesce(F.col("prev_hash") == expected, F.lit(False)).alias("linked"),
-        ((F.col("index") == 0) | F.col("__before").isNotNull()).alias("has_predecessor"),
-    )
+    checked = narrow.mapInArrow(runs.local_links, "chain_id string, index bigint, prev_hash string, linked boolean")
+    here = checked.filter("linked").select("chain_id", "index", "linked", F.lit(True).alias("has_predecessor"))
+    doubt = checked.filter("NOT linked").select("chain_id", "index", "prev_hash")
+    asked = doubt.select("chain_id", "index").distinct()
+    earlier = narrow.select("chain_id", (F.col("index") + 1).alias("index"), F.col("entry_hash").alias("__before"))
+    answers = earlier.join(asked, ["chain_id", "index"], "left_semi").distinct()
+    hashes = answers.groupBy("chain_id", "index").agg(F.collect_set("__before").alias("__before"))
+    first = F.col("index") == 0
+    matches = F.coalesce(F.array_contains("__before", F.col("prev_hash")), F.lit(False))
+    rest = doubt.join(hashes, ["chain_id", "index"], "left").select(
+        "chain_id", "index",
+        F.when(first, F.coalesce(F.col("prev_hash") == ZERO_HASH, F.lit(False))).otherwise(matches).alias("linked"),
+        (first | F.col("__before").isNotNull()).alias("has_predecessor"),
+    )
+    return here.unionByName(rest)
 
 
 def last_valid(entries: DataFrame) -> DataFrame:
