@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from chainlake.functions.text import truncate_reason
 from chainlake.operators.fold import SEGMENT_ROWS, ordered_fold
 from chainlake.operators.scan import BUCKET_ROWS, Running, bucket_of, dense_ordinal, longest_key, running
+from chainlake.session import materialize
 
 # Windows and thresholds.
 RECENT_ERROR_MS = 30_000
@@ -271,21 +272,26 @@ def audit_assignments(sessions: DataFrame) -> DataFrame:
     )
 
 
-def tick_step(last: int, at: int, is_end: bool, period_ms: int, debounce_ms: int):
-    """Timer runs due before ``at``, the run that request causes (or None), and the last run.
+def tick_step(last: int, lo: int, hi: int, period_ms: int, debounce_ms: int) -> tuple[int, int | None, int | None, int]:
+    """(timer runs due before ``lo``, up to two runs that the requests cause, the last run).
 
     After a run the scheduler pauses for ``debounce_ms`` and then waits for the timer or a
-    request; requests made meanwhile share one run right after the pause.
+    request; requests made meanwhile share one run right after the pause. All requests lie between the
+    first and the last one, ``lo`` and ``hi``, which are less than a pause apart (or equal): the run for the
+    first one leaves at most one more, after the pause, wherever the others lie.
     """
-    if at <= last:
-        return 0, None, last
     cycle = period_ms + debounce_ms
-    timers = (at - last) // cycle
+    timers = max(0, lo - last) // cycle
     last += timers * cycle
-    if not is_end or at <= last:
-        return timers, None, last
-    run = max(at, last + debounce_ms)
-    return timers, run, run
+    runs = []
+    if lo > last:
+        last = max(lo, last + debounce_ms)
+        runs.append(last)
+    if hi > last:
+        last += debounce_ms
+        runs.append(last)
+    first, second = (*runs, None, None)[:2]
+    return timers, first, second, last
 
 
 def ticks(
@@ -295,42 +301,67 @@ def ticks(
     period_ms: int = 14_400_000,
     debounce_ms: int = 60_000,
     segment_rows: int = SEGMENT_ROWS,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Verification runs (run_at, trigger) that a timer and session ends (ended_at) cause.
 
-    The scheduler starts at ``start_ms``. Ends of one millisecond count once.
+    The scheduler starts at ``start_ms``. First and last end of each slot of one pause stand for all
+    ends in it, so there is one row a pause at most, however many sessions end. Where ends are two pauses
+    or more apart, but less than a pause and a period, a run happens exactly at the later one, whatever was
+    before: there the time line is cut, and the parts are folded side by side.
     """
-
-    def step(state, at, is_end):
-        last = start_ms if state is None else int(state)
-        timers, run, new = tick_step(last, at, is_end, period_ms, debounce_ms)
-        return str(new), (last, timers, run, str(new))
-
-    stop = session_ends.sparkSession.createDataFrame([(end_ms, False)], "at BIGINT, is_end BOOLEAN")
-    requests = (
-        session_ends.select(F.col("ended_at").cast("bigint").alias("at"), F.lit(True).alias("is_end"))
-        .filter(F.col("at").between(start_ms, end_ms))
+    pause, cycle = max(debounce_ms, 1), period_ms + debounce_ms
+
+    def step(state, lo, hi, cut, stop):
+        if state is None and cut:
+            last, timers, first = lo, 0, lo
+            second = last + debounce_ms if hi > lo else None
+            new = lo if second is None else second
+        else:
+            last = start_ms if state is None else int(state)
+            if stop:
+                timers, first, second = max(0, lo - last) // cycle, None, None
+                new = last + timers * cycle
+            else:
+                timers, first, second, new = tick_step(last, lo, hi, period_ms, debounce_ms)
+        return str(new), (last, timers, first, second, str(new))
+
+    stop = session_ends.sparkSession.createDataFrame([(end_ms, end_ms, True)], "lo BIGINT, hi BIGINT, stop BOOLEAN")
+    at = F.col("ended_at").cast("bigint")
+    slots = (
+        session_ends.filter(at.between(start_ms, end_ms))
+        .groupBy(F.floor(at / pause).alias("slot"))
+        .agg(F.min(at).alias("lo"), F.max(at).alias("hi"))
+        .select("lo", "hi", F.lit(False).alias("stop"))
         .unionByName(stop)
-        .groupBy("at")
-        .agg(F.bool_or("is_end").alias("is_end"))
-        .withColumn("scheduler", F.lit("one"))
     )
-    longest = longest_key(requests, ["scheduler"])
-    rows = dense_ordinal(requests, ["scheduler"], ["at"], F.floor(F.col("at") / 86_400_000), "__i", longest)
+    slots = materialize(slots, "slots")
+    n = slots.count()
+    bucket = F.floor(F.col("lo") / (pause * bucket_rows))
+    order = ["lo", "stop"]
+    gaps = running(slots, [], order, bucket, {"__before": Running("max", F.col("hi"), inclusive=False)}, n, bucket_rows)
+    gap = F.col("lo") - F.col("__before")
+    cut = F.coalesce(~F.col("stop") & (gap >= 2 * debounce_ms) & (gap < cycle) & (gap > 0), F.lit(False))
+    parts = running(
+        gaps.withColumn("cut", cut), [], order, bucket,
+        {"part": Running("sum", F.col("cut").cast("bigint")), "__upto": Running("sum", F.lit(1).cast("bigint"))}, n, bucket_rows,
+    )
+    rows = materialize(parts.withColumn("__i", F.col("__upto") - 1).drop("__before", "__upto"), "slots")
     folded = ordered_fold(
         rows,
-        "scheduler",
+        "part",
         "__i",
         step,
-        ["at", "is_end"],
+        ["lo", "hi", "cut", "stop"],
         [
             T.StructField("__last", T.LongType()),
             T.StructField("__timers", T.LongType()),
-            T.StructField("__run", T.LongType()),
+            T.StructField("__first", T.LongType()),
+            T.StructField("__second", T.LongType()),
             T.StructField("__tick_state", T.StringType()),
         ],
         None,
-        longest,
+        longest_key(rows, ["part"]),
         segment_rows,
     )
     timer_runs = folded.filter("__timers > 0").select(
@@ -342,7 +373,5 @@ def ticks(
         ).alias("run_at"),
         F.lit("periodic").alias("trigger"),
     )
-    end_runs = folded.filter("__run IS NOT NULL").select(
-        F.col("__run").alias("run_at"), F.lit("session_end").alias("trigger")
-    )
+    end_runs = folded.select(F.explode(F.array_compact(F.array("__first", "__second"))).alias("run_at"), F.lit("session_end").alias("trigger"))
     return timer_runs.unionByName(end_runs).filter(F.col("run_at") <= end_ms)

@@ -228,6 +228,34 @@ def test_session_end_bursts_share_a_run(spark):
         ]
 
 
+def serial_ticks(ends, start, end, period, debounce):
+    out, last = [], start
+    while True:
+        after = [e for e in ends if e > last]
+        due = last + period + debounce
+        if after and min(after) < due:
+            last, trigger = max(min(after), last + debounce), "session_end"
+        else:
+            last, trigger = due, "periodic"
+        if last > end and not (after and min(after) <= end):
+            return sorted(r for r in out if r[0] <= end)
+        out.append((last, trigger))
+
+
+@pytest.mark.parametrize("period, debounce, spread", [(400, 60, 90), (400, 60, 700), (100, 0, 50), (70, 60, 200), (900, 50, 45)])
+def test_ticks_in_parts_equal_the_serial_scheduler(spark, period, debounce, spread):
+    rng = random.Random(period + spread)
+    at, ends = 0, []
+    for _ in range(250):
+        at += rng.choice([0, 1, rng.randrange(spread), rng.randrange(spread), 2 * debounce, period + debounce, debounce])
+        ends.append(at)
+    table = spark.createDataFrame([(e,) for e in ends], "ended_at BIGINT")
+    want = serial_ticks(ends, 0, at + 1500, period, debounce)
+    for segment_rows, bucket_rows in ((1000, 1000), (7, 3)):
+        got = ops.ticks(table, 0, at + 1500, period, debounce, segment_rows, bucket_rows)
+        assert sorted((r["run_at"], r["trigger"]) for r in got.collect()) == want
+
+
 def test_settings_file(tmp_path):
     from chainlake.sources.config import settings_from
 
