@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -172,10 +174,14 @@ def literal_spans(text: str, covered: list[tuple[int, int, int]]) -> list[tuple[
     if "=" not in text and ":" not in text:
         return []
     out = []
+    # Of the spans that begin before a place, the one that reaches farthest tells whether any goes beyond it.
+    ordered = sorted((a, b) for a, _, b in covered)
+    begins, reach = [a for a, _ in ordered], list(accumulate((b for _, b in ordered), max))
     for name, value, start, end in assignments(text):
         weight = name_weight(name)
         if weight and weight * value_weight(value) >= MIN_SCORE:
-            if not any(a <= end - 1 and b > start for a, _, b in covered):
+            before = bisect_left(begins, end)
+            if not before or reach[before - 1] <= start:
                 out.append((start, 3, end))
     return out
 
