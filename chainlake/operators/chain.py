@@ -25,6 +25,10 @@ from chainlake.schemas import (
 from chainlake.session import materialize
 
 
+#: Offsets that span more than so many times their number are cut by rank.
+SPARSE = 4
+
+
 def _link(state, index, timestamp, payload_type, payload_json):
     """Hash one envelope on top of the previous entry hash."""
     previous = state or ZERO_HASH
@@ -89,11 +93,16 @@ def build_chains(
         )
     if longest is None:
         longest = longest_key(payloads, ["chain_id"])
+    bucket = bucket_of(F.col(order[0]), bucket_rows)
+    if longest > bucket_rows:
+        # Offsets that are far apart, such as hashes, would put each row into a bucket of its own.
+        seen = payloads.agg((F.max(order[0]) - F.min(order[0])).alias("span"), F.count("*").alias("n")).first()
+        bucket = bucket if seen["span"] <= SPARSE * seen["n"] else None
     numbered = running(
         rows,
         ["chain_id"],
         order,
-        bucket_of(F.col(order[0]), bucket_rows),
+        bucket,
         {"__upto": Running("sum", F.col("__n"))},
         longest,
         bucket_rows,

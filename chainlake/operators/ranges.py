@@ -88,7 +88,6 @@ def eviction_plan(
     replicas: DataFrame,
     max_bytes: int,
     deployment_chain: str = "_deployment",
-    bucket_ms: int = 86_400_000,
     bucket_rows: int = BUCKET_ROWS,
     require_verified: bool = True,
 ) -> DataFrame:
@@ -128,7 +127,7 @@ def eviction_plan(
         ok,
         [],
         ["modified_ms", "chain_id"],
-        F.floor(F.col("modified_ms") / bucket_ms),
+        None,
         {"freed_before": Running("sum", F.col("bytes"), inclusive=False)},
         bucket_rows=bucket_rows,
     )

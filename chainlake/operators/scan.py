@@ -16,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chainlake.session import materialize
+
 BUCKET_ROWS = 1_000_000
 
 
@@ -33,6 +35,16 @@ def bucket_of(order: Column, width: int = BUCKET_ROWS) -> Column:
     return F.floor(order / width).cast("bigint")
 
 
+def by_rank(df: DataFrame, keys: list[str], order: list[str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Add ``__bucket``: ranges of about half of ``bucket_rows`` rows along (keys, order), whatever its values.
+
+    Spark samples the boundaries; the rows are written, so that a repeated task finds the same ones.
+    """
+    parts = max(2, -(-2 * df.count() // bucket_rows))
+    ranged = df.repartitionByRange(parts, *keys, *order)
+    return materialize(ranged.withColumn("__bucket", F.spark_partition_id().cast("bigint")), "ranges")
+
+
 def longest_key(df: DataFrame, keys: list[str]) -> int:
     """Row count of the largest key; reads only the key columns."""
     return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
@@ -55,21 +67,22 @@ def running(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    bucket: Column,
+    bucket: Column | None,
     measures: dict[str, Running],
     longest: int | None = None,
     bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Add the running ``measures`` of each key in ``order``.
 
-    ``bucket`` must not decrease along ``order`` and ``order`` must be total. ``longest``
+    ``bucket`` must not decrease along ``order`` and ``order`` must be total. Without one,
+    buckets are cut by rank, for orders whose values are bunched or sparse. ``longest``
     is the row count of the largest key, counted here when the caller does not know it.
     """
     base = df.select("*", *[m.value.alias(f"__in_{name}") for name, m in measures.items()])
     if (longest_key(df, keys) if longest is None else longest) <= bucket_rows:
         return base.select(*df.columns, *_frames(keys, order, measures))
 
-    base = base.withColumn("__bucket", bucket)
+    base = by_rank(base, keys, order, bucket_rows) if bucket is None else base.withColumn("__bucket", bucket)
     if keys:
         # At most (rows / bucket_rows) keys can be this large, so the list is broadcast.
         large = df.groupBy(*keys).count().filter(F.col("count") > bucket_rows)
@@ -116,7 +129,7 @@ def dense_ordinal(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    bucket: Column,
+    bucket: Column | None,
     name: str,
     longest: int | None = None,
     bucket_rows: int = BUCKET_ROWS,

@@ -338,7 +338,7 @@ def eviction_plan(spark, sf_dir):
     copies = c.filter(k % 7 != 2).select(F.col("c_name").alias("chain_id"), F.greatest(k % 4 - 1, F.lit(0)).alias("index"))
     used = chains.agg(F.sum("bytes")).first()[0]
     plan = ranges.eviction_plan(
-        chains, upto(k % 5 != 1), upto(k % 3 != 1), copies, used - used // 3, bucket_ms=5000, bucket_rows=100
+        chains, upto(k % 5 != 1), upto(k % 3 != 1), copies, used - used // 3, bucket_rows=100
     )
     return plan.select("chain_id", F.col("freed_before").cast("bigint"))
 

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from chainlake.operators import changes, fingerprint, identity, limits, ops, ranges, resolve
+from chainlake.operators import chain, changes, fingerprint, identity, limits, ops, ranges, resolve, scan
 from chainlake.operators.scan import Running, bucket_of, running
 
 
@@ -228,6 +228,35 @@ def test_session_end_bursts_share_a_run(spark):
         ]
 
 
+@pytest.mark.parametrize("kind", ["one day", "hashes"])
+def test_buckets_by_rank_hold_bunched_and_sparse_orders(spark, kind):
+    rng = random.Random(9)
+    rows = []
+    for i in range(600):
+        at = 5 if kind == "one day" else rng.getrandbits(62)
+        rows.append(("a" if i % 3 else "b", at, f"{i:04}", rng.randrange(100)))
+    df = spark.createDataFrame(rows, "k STRING, at BIGINT, id STRING, v BIGINT")
+    for keys in ([], ["k"]):
+        total, want = {}, {}
+        for k, at, name, v in sorted(rows, key=lambda r: (r[1], r[2])):
+            total[k if keys else 0] = want[name] = total.get(k if keys else 0, 0) + v
+        got = scan.running(df, keys, ["at", "id"], None, {"s": scan.Running("sum", F.col("v"))}, bucket_rows=50)
+        assert {r["id"]: r["s"] for r in got.collect()} == want
+        sizes = [r["count"] for r in scan.by_rank(df, keys, ["at", "id"], 50).groupBy("__bucket").count().collect()]
+        assert max(sizes) <= 50 and len(sizes) >= 12
+
+
+def test_chains_of_hashed_offsets_are_built_in_few_buckets(spark):
+    rng = random.Random(4)
+    rows = [("c", rng.getrandbits(62), 0, i, 1, f'{{"i":"{i}"}}') for i in range(120)]
+    df = spark.createDataFrame(
+        rows, "chain_id STRING, event_id BIGINT, position INT, timestamp BIGINT, payload_type INT, payload_json STRING"
+    )
+    want = [r[5] for r in sorted(rows, key=lambda r: r[1])]
+    built = chain.build_chains(df, bucket_rows=20).orderBy("index")
+    assert [r["payload_json"] for r in built.collect()] == want
+
+
 def serial_ticks(ends, start, end, period, debounce):
     out, last = [], start
     while True:
