@@ -278,24 +278,39 @@ def resolution_policy(
     ``predicates`` mapping each distinct raw_where to a Spark predicate; what is not in it
     gives no row here and is named by ``unlisted_predicates``.
     """
+    links, users, keys = _classes(events, snapshot, policy, predicates)
+    return links.join(users, keys).select("event_id", "user_id")
+
+
+def attribution_classes(
+    events: DataFrame, snapshot: DataFrame, policy: str, predicates: dict[str, str] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """What ``resolution_policy`` says, without a row for each event and user.
+
+    Statements of one table, and with ``strict`` of one raw_where, form a class: (event_id and the
+    columns of its class), (columns of the class, user_id, events). The second has the users of every class that occurs,
+    with the number of statements that name each of them.
+    """
+    links, users, keys = _classes(events, snapshot, policy, predicates)
+    counts = links.groupBy(*keys).agg(F.count("*").alias("events"))
+    return links, users.join(counts, keys)
+
+
+def _classes(events, snapshot, policy, predicates):
+    """(event_id and class of open statements, class and user_id, columns of a class)."""
     open_events = events.filter(F.size("affected_users") == 0)
     if policy == "strict":
-        parts = None
-        for raw, predicate in sorted((predicates or {}).items()):
-            hits = (
-                snapshot.filter(F.expr(predicate))
-                .select("table_name", "user_id")
-                .distinct()
-                .withColumn("raw_where", F.lit(raw))
-            )
-            parts = hits if parts is None else parts.unionByName(hits)
-        if parts is None:
+        if not predicates:
             raise ValueError("strict resolution needs predicates")
-        return open_events.join(parts, ["table_name", "raw_where"]).select("event_id", "user_id")
+        # One scan of the snapshot tests all predicates.
+        met = F.array_compact(F.array(*[F.when(F.expr(p), F.lit(raw)) for raw, p in sorted(predicates.items())]))
+        users = snapshot.select("table_name", "user_id", F.explode(met).alias("raw_where")).distinct()
+        keys = ["table_name", "raw_where"]
+        return open_events.select("event_id", *keys), users, keys
     reads = open_events.filter(F.col("action") == "read")
     if policy == "aggregation_aware":
         reads = reads.filter(~F.col("is_aggregation"))
     elif policy != "conservative":
         raise ValueError(f"unknown policy {policy}")
-    users = snapshot.select("table_name", "user_id").distinct()
-    return reads.join(users, "table_name").select("event_id", "user_id")
+    keys = ["table_name"]
+    return reads.select("event_id", *keys), snapshot.select("table_name", "user_id").distinct(), keys

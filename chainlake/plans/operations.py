@@ -464,6 +464,35 @@ def resolution_strict(spark, sf_dir):
     return _by_table(resolve.resolution_policy(e, snapshot, "strict", predicates), e)
 
 
+_OPEN_SQL = """WITH a AS (SELECT event_id, event_id % 3 AS w, event_type, list_extract(['users', 'orders', 'payments', 'messages'], CAST(event_id % 4 AS INT) + 1) AS t
+      FROM events WHERE event_id % 10 = 0),
+    s AS (SELECT DISTINCT list_extract(['users', 'orders', 'payments', 'messages'], CAST(user_id % 4 AS INT) + 1) AS t, user_id FROM events)"""
+
+
+@query(
+    "resolution_aggregation_aware",
+    f"""{_OPEN_SQL} SELECT t, count(*) AS attributions, count(DISTINCT event_id) AS events FROM a JOIN s USING (t)
+    WHERE event_type = 'view' AND event_id % 20 != 0 GROUP BY t""",
+)
+def resolution_aggregation_aware(spark, sf_dir):
+    """Reads that only aggregate name nobody; other open reads name every user of their table."""
+    e, snapshot = _open_events(spark, sf_dir)
+    # Of events divisible by ten those divisible by twenty aggregate, as ``_open_events`` marks them.
+    return _by_table(resolve.resolution_policy(e, snapshot, "aggregation_aware"), e)
+
+
+@query(
+    "resolution_classes",
+    f"""{_OPEN_SQL} SELECT t AS table_name, 'k > ' || w AS raw_where, user_id, count(*) AS events FROM a JOIN s USING (t)
+    WHERE user_id % 5 > w GROUP BY ALL""",
+)
+def resolution_classes(spark, sf_dir):
+    """Users of each class of open statements, with the number of its statements."""
+    e, snapshot = _open_events(spark, sf_dir)
+    predicates = {f"k > {i}": f"k > {i}" for i in range(3)}
+    return resolve.attribution_classes(e, snapshot, "strict", predicates)[1]
+
+
 _META_SQL = f"""WITH {fx.PAYLOADS_SQL}, meta AS (SELECT chain_id, min(CASE WHEN idx = 0 THEN ts END) AS created_at,
   count(*) AS entry_count FROM payloads GROUP BY chain_id),
 mid AS (SELECT CAST(floor((min(created_at) + max(created_at)) / 2) AS BIGINT) + 86400 AS now_s FROM meta),

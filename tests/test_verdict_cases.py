@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from chainlake.operators import chain, compare, fingerprint, lifecycle, limits, ops, resolve
 from chainlake.plans import fixtures as fx
+from chainlake.sources import logs
 from chainlake.sources.chain_log import read_chain_log
 from chainlake.streaming import append
 
@@ -171,3 +172,47 @@ def test_quotes_and_comments_of_every_kind(spark, text, shape, users):
     assert row.query_shape == (text.lower() if shape is None else shape)
     assert users is None or row.affected_users == users
     assert shape is not None or row.action is None
+
+
+def test_attribution_classes_join_to_the_policy(spark):
+    events = spark.createDataFrame(
+        [(1, "t", "read", False, "k > 1", []), (2, "t", "read", True, "k > 1", []), (3, "t", "write", False, "k > 2", []),
+         (4, "u", "read", False, "other", []), (5, "t", "read", False, "k > 1", ["7"])],
+        "event_id long, table_name string, action string, is_aggregation boolean, raw_where string, affected_users array<string>",
+    )
+    snapshot = spark.createDataFrame([("t", 1, 1), ("t", 2, 2), ("t", 3, 3), ("t", 3, 3), ("u", 9, None)], "table_name string, user_id long, k int")
+    predicates = {"k > 1": "k > 1", "k > 2": "k > 2"}
+    pairs = lambda df: sorted((r.event_id, r.user_id) for r in df.collect())
+    want = {
+        "strict": [(1, 2), (1, 3), (2, 2), (2, 3), (3, 3)],
+        "conservative": [(1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (2, 3), (4, 9)],
+        "aggregation_aware": [(1, 1), (1, 2), (1, 3), (4, 9)],
+    }
+    for policy, rows in want.items():
+        links, members = resolve.attribution_classes(events, snapshot, policy, predicates)
+        keys = [c for c in links.columns if c != "event_id"]
+        assert pairs(resolve.resolution_policy(events, snapshot, policy, predicates)) == rows
+        assert pairs(links.join(members, keys)) == rows
+        assert sum(r.events for r in members.collect()) == len(rows)
+
+
+def test_log_sources_read_files_and_streams(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    line = {"event_id": 1, "ts_ms": 5, "source_ip": "10.0.0.1", "credential": "c", "protocol": "postgres", "session_id": "s", "statement": "SELECT 1"}
+    (tmp_path / "in" / "a.json").write_text(json.dumps(line) + "\nno json\n")
+    rows = logs.read_query_log(spark, str(tmp_path / "in")).filter("statement IS NOT NULL").collect()
+    assert [r.statement for r in rows] == ["SELECT 1"]
+    assert logs.read_query_log(spark, str(tmp_path / "in"), stream=True).isStreaming
+    assert logs.read_object_log(spark, str(tmp_path / "in")).columns == [f.name for f in logs.read_object_log(spark, str(tmp_path / "in"), stream=True).schema]
+
+
+def test_access_stream_divides_good_and_bad_messages(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    good = {"event_id": 7, "action": "read", "timestamp": 1_700_000_000_000}
+    (tmp_path / "in" / "a.txt").write_text("\n".join([json.dumps(good), json.dumps({"event_id": 8}), "{broken", ""]))
+    events, letters = logs.access_stream(spark, str(tmp_path / "in"))
+    for name, df in (("events", events.select("event_id", "action")), ("letters", letters)):
+        run = df.writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"{name}-state"))
+        run.trigger(availableNow=True).start().awaitTermination()
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "events")).collect()] == [(7, "read")]
+    assert {r.raw for r in spark.read.parquet(str(tmp_path / "letters")).collect()} >= {json.dumps({"event_id": 8}), "{broken"}
