@@ -40,6 +40,16 @@ def _link(state, index, timestamp, payload_type, payload_json):
     return digest, (previous, digest)
 
 
+def _link_next(state, timestamp, payload_type, payload_json):
+    """Give the next index and hash the envelope; a stored state is "entry count|head"."""
+    if isinstance(state, str):
+        count, head = state.split("|")
+        state = int(count), head
+    index, previous = state or (0, ZERO_HASH)
+    digest, hashes = _link(previous, index, timestamp, payload_type, payload_json)
+    return (index + 1, digest), (index, *hashes)
+
+
 def refusal(payload: str = "payload_json") -> Column:
     """Why a payload can't become an entry; null when it can."""
     size = F.octet_length(payload)
@@ -71,14 +81,30 @@ def build_chains(
     order = list(order)
     carried = [c for c in dict.fromkeys([*order, *keep])]
     payloads = payloads.filter(refusal().isNull())
+    if longest is None:
+        longest = longest_key(payloads, ["chain_id"])
     rows = payloads.select(
         "chain_id",
         F.col("timestamp").cast("bigint").alias("timestamp"),
         F.col("payload_type").cast("int").alias("payload_type"),
         "payload_json",
         *carried,
-        F.lit(1).cast("bigint").alias("__n"),
     )
+    hashes = [T.StructField("prev_hash", T.StringType()), T.StructField("entry_hash", T.StringType())]
+    if longest <= min(bucket_rows, segment_rows):
+        # The fold meets the rows of a chain in order, so it numbers them, too: one shuffle.
+        start = None
+        if heads is not None:
+            before = [F.lit(-1 if c == order[0] else None).cast(rows.schema[c].dataType).alias(c) for c in order]
+            state = F.concat_ws("|", F.col("entry_count").cast("bigint").cast("string"), "head")
+            start = heads.filter("entry_count > 0").select("chain_id", *before, state.alias("__state"))
+        linked = ordered_fold(
+            rows, "chain_id", order, _link_next, ["timestamp", "payload_type", "payload_json"],
+            [T.StructField("index", T.LongType()), *hashes], start, longest, segment_rows,
+        )
+        linked = linked.withColumn("version", F.lit(ENTRY_VERSION).cast("int"))
+        return linked.select(*CHAIN_ENTRY_COLUMNS, *keep)
+    rows = rows.withColumn("__n", F.lit(1).cast("bigint"))
     start = None
     if heads is not None:
         # An existing chain enters the running count as one row before all others.
@@ -91,8 +117,6 @@ def build_chains(
         start = old.select(
             "chain_id", F.col("entry_count").cast("bigint").alias("index"), F.col("head").alias("__state")
         )
-    if longest is None:
-        longest = longest_key(payloads, ["chain_id"])
     bucket = bucket_of(F.col(order[0]), bucket_rows)
     if longest > bucket_rows:
         # Offsets that are far apart, such as hashes, would put each row into a bucket of its own.
@@ -122,7 +146,7 @@ def build_chains(
         "index",
         _link,
         ["index", "timestamp", "payload_type", "payload_json"],
-        [T.StructField("prev_hash", T.StringType()), T.StructField("entry_hash", T.StringType())],
+        hashes,
         start,
         longest,
         segment_rows,

@@ -55,7 +55,7 @@ def _fold_batches(step: Callable, key: str, inputs: list[str], names: list[str],
 def ordered_fold(
     df: DataFrame,
     key: str,
-    index: str,
+    index: str | list[str],
     step: Callable,
     inputs: list[str],
     out: list[T.StructField],
@@ -69,8 +69,10 @@ def ordered_fold(
     ``(new_state, out_values)``. The last out column is the stored state that the
     next segment starts from. ``index`` is dense per key but may start anywhere.
     ``start`` has ``(key, index, __state)`` rows: the state just before that index.
-    ``longest`` bounds the number of rows of any key.
+    ``longest`` bounds the number of rows of any key. For keys of one segment ``index`` may be a list
+    of columns of any order.
     """
+    order = [index] if isinstance(index, str) else index
     spark = df.sparkSession
     state_type = out[-1].dataType
     out_schema = T.StructType(df.schema.fields + out)
@@ -81,11 +83,11 @@ def ordered_fold(
         if states is not None:
             rows = rows.unionByName(
                 states.select(
-                    key, index, F.col("__state").cast(state_type).alias("__state"), F.lit(True).alias("__seed")
+                    key, *order, F.col("__state").cast(state_type).alias("__state"), F.lit(True).alias("__seed")
                 ),
                 allowMissingColumns=True,
             )
-        ready = rows.repartition(key).sortWithinPartitions(key, index, F.desc("__seed"))
+        ready = rows.repartition(key).sortWithinPartitions(key, *order, F.desc("__seed"))
         return ready.mapInArrow(_fold_batches(step, key, inputs, names, types), out_schema)
 
     if longest <= segment_rows:
