@@ -107,7 +107,7 @@ def admit_erasures(requests: DataFrame, existing: DataFrame) -> DataFrame:
     known = existing.select("chain_id").distinct().withColumn("__known", F.lit(True))
     # Few requests meet many chains: both joins are keyed by the requests' chain ids.
     return (
-        requests.join(first, "chain_id")
+        requests.join(first, "chain_id", "left")
         .join(known, "chain_id", "left")
         .withColumn(
             "status",

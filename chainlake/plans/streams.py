@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from chainlake.operators.chain import verify_chains
 from chainlake.operators.changes import doc_change_stream, pg_change_stream
+from chainlake.operators.events import access_payloads
 from chainlake.plans import chains, events as ev, fixtures as fx, observer, operations
 from chainlake.plans.registry import query
-from chainlake.session import new_path
-from chainlake.sources import chain_log
+from chainlake.session import materialize, new_path
+from chainlake.sources import chain_log, chain_store
 from chainlake.sources.logs import decode_access
 from chainlake.streaming import append, stateful
 
@@ -137,6 +138,83 @@ def stream_process2(spark, sf_dir):
     return first.unionByName(second).select("tick_id", "entries_verified", "cursor_prx", "cursor_obs")
 
 
+def _arriving(spark, entries, name, parts):
+    """A stream of ``entries`` in order of index, one of ``parts`` files a batch."""
+    path = new_path(spark, name)
+    total = entries.agg(F.max("index")).first()[0] or 0
+    part = F.floor(F.col("index") * parts / (total + 1)).cast("int")
+    for number in range(parts):
+        entries.filter(part == number).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(entries.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query(
+    "stream_process2_batches",
+    observer.PROJECTED_SQL
+    + " SELECT n AS entries_verified, total AS cursor_prx, n AS cursor_obs, 0 AS tail_depth, false AS divergent FROM sizes",
+)
+def stream_process2_batches(spark, sf_dir):
+    """Both sides arrive as streams, the proxy's chain in two batches and the observer's in five."""
+    proxy = fx.chains(spark, sf_dir).filter(F.col("chain_id") == "_deployment")
+    obs = observer.observer_chain(spark, sf_dir).select(*proxy.columns)
+    path = new_path(spark, "compared")
+    append.stream_process2(
+        _arriving(spark, proxy, "proxy", 2), _arriving(spark, obs, "observer", 5), fx.SALT, path, new_path(spark, "ck")
+    ).awaitTermination()
+    ticks = append.compare_ticks(spark, path)
+    last = F.max_by(F.struct("cursor_prx", "cursor_obs", "tail_depth"), "tick_id").alias("c")
+    return ticks.agg(F.sum("entries_verified").alias("entries_verified"), last, F.bool_or("divergent").alias("divergent")).select(
+        "entries_verified", "c.*", "divergent"
+    )
+
+
+@query(
+    "store_erasure",
+    operations._ERASE_SQL
+    + """ SELECT chain_id, count(*) + CASE WHEN chain_id = '_deployment' THEN (SELECT count(*) FROM verdict WHERE status = 200)
+      ELSE 0 END AS entries, true AS ok FROM payloads GROUP BY chain_id""",
+)
+def store_erasure(spark, sf_dir):
+    """Stored chains are erased in two phases and the erased users come back; every chain verifies at the end."""
+    path = new_path(spark, "store")
+    payloads = access_payloads(fx.access_events(spark, sf_dir), fx.SALT)
+    chain_store.append(payloads, path)
+    receipts = chain_store.erase(operations.erasure_requests(spark, sf_dir), path)
+    gone = materialize(receipts.filter("deleted").select("chain_id"), "erased")
+    chain_store.append(payloads.join(gone, "chain_id", "left_semi"), path)
+    chain_store.vacuum(spark, path)
+    return verify_chains(chain_store.entries(spark, path)).select("chain_id", "entries", "ok")
+
+
+@query(
+    "store_erasure_receipts",
+    operations._ERASE_SQL
+    + """ SELECT request_id, chain_id, status, status = 200 AS deleted, CASE WHEN status = 200 THEN
+      (SELECT count(*) FROM payloads WHERE chain_id = '_deployment') + row_number() OVER (PARTITION BY status ORDER BY request_id) - 1
+      END AS tombstone_index FROM verdict""",
+)
+def store_erasure_receipts(spark, sf_dir):
+    """One answer a request: admitted ones name their tombstone and are deleted, others are refused."""
+    path = new_path(spark, "store")
+    chain_store.append(access_payloads(fx.access_events(spark, sf_dir), fx.SALT), path)
+    return chain_store.erase(operations.erasure_requests(spark, sf_dir), path).drop("tombstone_hash")
+
+
+@query(
+    "store_retention",
+    operations._META_SQL
+    + """ SELECT chain_id, entry_count + CASE WHEN chain_id = '_deployment' THEN (SELECT count(*) FROM old) ELSE 0 END AS entries,
+      true AS ok FROM meta WHERE chain_id NOT IN (SELECT chain_id FROM old)""",
+)
+def store_retention(spark, sf_dir):
+    """A sweep of the stored chains: buckets of old chains are rewritten, tombstones follow."""
+    path = new_path(spark, "store")
+    chain_store.append(access_payloads(fx.access_events(spark, sf_dir), fx.SALT), path)
+    lo, hi = chain_store.heads(spark, path).agg(F.min("created_at"), F.max("created_at")).first()
+    chain_store.sweep(spark, path, (lo + hi) // 2 + 86_400, days=1)
+    return verify_chains(chain_store.entries(spark, path)).select("chain_id", "entries", "ok")
+
+
 @query(
     "decode_access",
     """SELECT count(*) FILTER (event_id % 10 != 0) AS decoded, count(*) FILTER (event_id % 10 = 0) AS dead,

@@ -1,49 +1,33 @@
 """Streams that append to chains, and the comparison ticks that follow them.
 
-Everything a batch writes goes into partitions named by its batch id, so a batch that
-runs again after a failure replaces its own output. One streaming query owns a path.
+Chains are appended to a store of runs (``sources/chain_store.py``), whose manifest names the last batch: a batch that
+runs again after a failure starts anew, one that is committed is left as it is. What the comparison writes goes into
+partitions named by the tick, so a tick that runs again replaces its own output. One streaming query owns a path.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainlake.operators.chain import build_chains
 from chainlake.operators.compare import process2
 from chainlake.operators.events import access_payloads, longest_chain, system_to_deployment
-from chainlake.operators.read import chain_heads
-from chainlake.session import new_path
-from chainlake.sources.chain_log import append_entries
 from chainlake.schemas import CHAIN_ENTRY, CHAIN_ENTRY_COLUMNS
+from chainlake.session import new_path
+from chainlake.sources import chain_store
+from chainlake.sources.chain_store import overwrite_partitions as _overwrite, read_or_empty as _read
 
 RETENTION_DAYS = 7
-_HEADS = "chain_id STRING, entry_count BIGINT, head STRING, last_timestamp BIGINT, batch_id BIGINT"
 _CURSORS = "cursor_prx BIGINT, cursor_obs BIGINT, divergent BOOLEAN, entries_verified BIGINT, tail_depth BIGINT, tick_id BIGINT"
 
 
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as exc:
-        # Only a folder that isn't there yet is an empty table; anything else is an error.
-        if exc.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-
-
-def current_heads(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
-    """Latest head of each chain, as of the batches before ``before``."""
-    heads = _read(spark, f"{path}/heads", _HEADS)
-    if before is not None:
-        heads = heads.filter(F.col("batch_id") < before)
-    latest = F.struct("entry_count", "head", "last_timestamp")
-    return heads.groupBy("chain_id").agg(F.max_by(latest, "batch_id").alias("h")).select("chain_id", "h.*")
+def current_heads(spark: SparkSession, path: str) -> DataFrame:
+    """Latest head of each chain."""
+    return chain_store.heads(spark, path)
 
 
 def appended_entries(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, f"{path}/entries", CHAIN_ENTRY).select(*CHAIN_ENTRY_COLUMNS)
+    return chain_store.entries(spark, path)
 
 
 def mixed_events(access: DataFrame, system: DataFrame) -> DataFrame:
@@ -75,9 +59,11 @@ def append_batch(events: DataFrame, batch_id: int, path: str, salt: str) -> None
 
     System events go to the deployment chain. Ids are remembered by day for the transit
     retention, which is how long the source can redeliver, so the look-up reads a bounded
-    number of days. Only heads of chains that the batch touches enter the linking.
+    number of days. Only heads of chains that the batch touches enter the linking. Half-done erasures and sweeps
+    of the store are completed first, and buckets of many runs are compacted.
     """
     spark = events.sparkSession
+    chain_store.compact(spark, path)
     day = F.floor(F.col("timestamp") / 86_400_000).cast("bigint")
     batch = events.dropDuplicates(["event_id"]).withColumn("__day", day)
     oldest = batch.agg(F.min("__day")).first()[0]
@@ -91,49 +77,15 @@ def append_batch(events: DataFrame, batch_id: int, path: str, salt: str) -> None
     # Used by the jobs below; a lost executor recomputes its part from the source.
     fresh = batch.join(seen, "event_id", "left_anti").persist()
     try:
-        _append_fresh(fresh, batch_id, path, salt)
+        # Ids first: a batch that breaks off before its commit ignores its own ids when it runs again.
+        ids = fresh.select("event_id", F.lit(batch_id).cast("bigint").alias("batch_id"), F.col("__day").alias("day"))
+        _overwrite(ids, f"{path}/ids", "day", "batch_id")
+        payloads, longest = _payloads(fresh.drop("__day"), salt)
+        chain_store.append(payloads, path, longest=longest, batch=batch_id)
     finally:
         fresh.unpersist()
 
 
-def _append_fresh(fresh: DataFrame, batch_id: int, path: str, salt: str) -> None:
-    spark = fresh.sparkSession
-    payloads, longest = _payloads(fresh.drop("__day"), salt)
-    touched = payloads.select("chain_id").distinct()
-    known = current_heads(spark, path, before=batch_id).join(touched, "chain_id", "left_semi")
-    append_entries(build_chains(payloads, known, longest=longest), batch_id, f"{path}/entries")
-    written = appended_entries_of(spark, path, batch_id)
-    heads = chain_heads(written)
-    # Heads of this batch: the count continues from the last index.
-    last = written.groupBy("chain_id").agg((F.max("index") + 1).alias("__count"))
-    _overwrite(
-        heads.join(last, "chain_id").select(
-            "chain_id",
-            F.col("__count").alias("entry_count"),
-            "head",
-            "last_timestamp",
-            F.lit(batch_id).cast("bigint").alias("batch_id"),
-        ),
-        f"{path}/heads",
-        "batch_id",
-    )
-    ids = fresh.select("event_id", F.lit(batch_id).cast("bigint").alias("batch_id"), F.col("__day").alias("day"))
-    _overwrite(ids, f"{path}/ids", "day", "batch_id")
-
-
-def appended_entries_of(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
-    return _read(spark, f"{path}/entries", CHAIN_ENTRY + ", batch_id BIGINT").filter(F.col("batch_id") == batch_id)
-
-
-def _overwrite(df: DataFrame, path: str, *partitions: str) -> None:
-    (
-        df.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*partitions)
-        .parquet(path)
-    )
-
-
 def stream_chain_append(events: DataFrame, path: str, salt: str, checkpoint: str, **trigger):
     """Start the query that appends a stream of access or mixed events to the chains below ``path``."""
     return (
@@ -187,6 +139,65 @@ def process2_tick(
     return _read(spark, path, _CURSORS).filter(F.col("tick_id") == tick_id)
 
 
+_TAIL = CHAIN_ENTRY + ", side STRING, tick_id BIGINT"
+
+
+def compare_batch(batch: DataFrame, tick_id: int, salt: str, path: str) -> None:
+    """One tick over new entries of both sides (``side`` is "proxy" or "observer") and the tail kept from before.
+
+    Each entry is written once, below the tick it came with. A tick reads back only the ticks that still hold
+    entries at or after a cursor; the number of the first of them is stored with the cursors.
+    """
+    spark = batch.sparkSession
+    _overwrite(
+        batch.select(*CHAIN_ENTRY_COLUMNS, "side", F.lit(tick_id).cast("bigint").alias("tick_id")), f"{path}/tail", "side", "tick_id"
+    )
+    before = _read(spark, f"{path}/cursors", _STREAM_CURSORS).filter(F.col("tick_id") < tick_id)
+    last = before.agg(F.max_by(F.struct("cursor_prx", "cursor_obs", "tail_from"), "tick_id").alias("c")).first()["c"]
+    prx, obs, start = last or (0, 0, 0)
+    tail = _read(spark, f"{path}/tail", _TAIL).filter((F.col("tick_id") >= start) & (F.col("tick_id") <= tick_id))
+    sides = [tail.filter(F.col("side") == s).select(*CHAIN_ENTRY_COLUMNS) for s in ("proxy", "observer")]
+    outcome = process2(*sides, salt, prx, obs)
+    # An entry stays while it is at or after the cursor of its side, so the oldest tick of such an entry is kept.
+    ends = tail.groupBy("side", "tick_id").agg(F.max("index").alias("last"))
+    behind = F.when(F.col("side") == "proxy", F.col("cursor_prx")).otherwise(F.col("cursor_obs"))
+    held = ends.crossJoin(F.broadcast(outcome.select("cursor_prx", "cursor_obs"))).filter(F.col("last") >= behind)
+    first = held.agg(F.coalesce(F.min("tick_id"), F.lit(tick_id + 1)).alias("tail_from"))
+    row = outcome.crossJoin(first).select(*_STREAM_COLUMNS, F.lit(tick_id).cast("bigint").alias("tick_id"))
+    _overwrite(row, f"{path}/cursors", "tick_id")
+
+
+_STREAM_CURSORS = (
+    "cursor_prx BIGINT, cursor_obs BIGINT, divergent BOOLEAN, entries_verified BIGINT, tail_depth BIGINT, "
+    "proxy_payload STRING, observed_payload STRING, canon_error_side STRING, tail_from BIGINT, tick_id BIGINT"
+)
+_STREAM_COLUMNS = [c.split()[0] for c in _STREAM_CURSORS.split(", ")][:-1]
+
+
+def stream_process2(proxy: DataFrame, observer: DataFrame, salt: str, path: str, checkpoint: str, **trigger):
+    """Start the query that compares two streams of chain entries as they arrive; one tick a micro-batch.
+
+    The sides may be apart by any number of entries; nothing but order pairs them. A divergence keeps both cursors where it is, so
+    it is reported again by every later tick. Ticks are read by ``compare_ticks``.
+    """
+    rows = [
+        side.select(*CHAIN_ENTRY_COLUMNS, F.lit(name).alias("side"))
+        for name, side in (("proxy", proxy), ("observer", observer))
+    ]
+    return (
+        rows[0].unionByName(rows[1])
+        .writeStream.foreachBatch(lambda df, i: compare_batch(df, i, salt, path))
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
+def compare_ticks(spark: SparkSession, path: str) -> DataFrame:
+    """Outcome of every tick: cursors after it, pairs verified in it, entries still waiting, diverging payloads."""
+    return _read(spark, f"{path}/cursors", _STREAM_CURSORS)
+
+
 NO_DATA_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 
 

@@ -87,8 +87,8 @@ def test_one_replica_has_no_verifier(spark):
 
 def test_only_a_missing_folder_is_an_empty_table(spark, tmp_path):
     assert append.current_heads(spark, str(tmp_path)).count() == 0
-    (tmp_path / "heads").mkdir()
-    spark.range(3).select(F.col("id").cast("string").alias("entry_count")).write.mode("overwrite").parquet(str(tmp_path / "heads"))
+    (tmp_path / "manifest").mkdir()
+    spark.range(3).select(F.col("id").cast("string").alias("version")).write.mode("overwrite").parquet(str(tmp_path / "manifest"))
     with pytest.raises(Exception):
         append.current_heads(spark, str(tmp_path)).collect()
 
