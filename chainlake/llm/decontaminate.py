@@ -1,8 +1,8 @@
 """Benchmark decontamination: windows of benchmark words found in training documents.
 
 The normalised word windows of the benchmark form a hash set of a measured size. It is
-broadcast while it has at most ``broadcast_windows`` entries; a larger set is joined by a
-shuffle on the window hash. Every document is cut into words once, its windows are hashed
+broadcast while it has at most ``broadcast_windows`` entries (and four item names for each of
+them); a larger set is joined by a shuffle on the window hash. Every document is cut into words once, its windows are hashed
 inside generated code, and a hash hit counts only after its words have been compared.
 
 Null and empty texts have no words and no hits. A row of the documents is a document of its
@@ -17,9 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainlake.llm.common import fold_ascii, sha256_of
+from chainlake.session import materialize
 
 WINDOW = 10
 BROADCAST_WINDOWS = 1_000_000
+#: Item names that may be broadcast for each of these windows, on average.
+ITEMS_A_WINDOW = 4
 #: Fixed value: everything that separates words.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -44,17 +47,11 @@ def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, window
     )
 
 
-def _hits(
-    documents: DataFrame, windows: DataFrame, lengths: list[int], size: int, broadcast_windows: int
-) -> DataFrame:
-    """One row per document start and per hit: (__row, kept columns, __n, __at, __len, __items).
-
-    ``documents`` holds ``__row``, ``__w`` and what is to be kept. The start row has a null ``__at``.
-    """
-    kept = [c for c in documents.columns if c != "__w"]
+def _window_rows(documents: DataFrame, kept: list[str], lengths: list[int], first: int) -> DataFrame:
+    """One row per window from position ``first``: ``kept``, __n, __at, __len, __gram. Position 0 is no window."""
     n = F.size("__w")
-    # Position 0 stands for the document itself, so that one without hits keeps a row.
-    rows = documents.select(*kept, "__w", n.alias("__n"), F.explode(F.sequence(F.lit(0), n)).alias("__at"))
+    places = F.explode(F.filter(F.sequence(F.lit(0), n), lambda x: x >= first)) if first else F.explode(F.sequence(F.lit(0), n))
+    rows = documents.select(*kept, "__w", n.alias("__n"), places.alias("__at"))
     starts = [F.when(F.col("__at") <= F.col("__n") - L + 1, L) for L in lengths]
     if len(lengths) == 1:
         rows = rows.withColumn("__len", starts[0])
@@ -64,25 +61,47 @@ def _hits(
         rows = rows.withColumn("__len", F.lit(None).cast("int"))
     rows = rows.filter("__at = 0 OR __len IS NOT NULL")
     gram = F.slice("__w", F.greatest(F.col("__at"), F.lit(1)), F.coalesce(F.col("__len"), F.lit(1)))
-    rows = rows.select(
-        *kept, "__n", "__at", "__len",
-        F.when(F.col("__at") > 0, F.xxhash64(gram)).alias("__hash"),
-        F.when(F.col("__at") > 0, gram).alias("__gram"),
-    )
+    return rows.select(*kept, "__n", "__at", "__len", F.when(F.col("__at") > 0, gram).alias("__gram"))
+
+
+def _hits(documents: DataFrame, windows: DataFrame, lengths: list[int], shared: bool) -> DataFrame:
+    """One row per document start and per hit: (__row, kept columns, __n, __at, __len, __items).
+
+    ``documents`` holds ``__row``, ``__w`` and what is to be kept. The start row has a null ``__len`` and the place 0; only
+    it is sure to have ``__doc``. Windows that are not ``shared`` (broadcast) meet the documents' by a shuffle of
+    (document number, place, hash): neither texts nor words travel with them, and words are compared where a hash is met.
+    """
+    kept = [c for c in documents.columns if c != "__w"]
     right = windows.select(
         F.col("hash").alias("__whash"), F.col("gram").alias("__wgram"), F.col("items").alias("__items")
     )
-    if size <= broadcast_windows:
-        right = F.broadcast(right)
-    same = (F.col("__hash") == F.col("__whash")) & (F.col("__gram") == F.col("__wgram"))
-    found = rows.join(right, same, "left")
-    return found.filter("__at = 0 OR __items IS NOT NULL").drop("__hash", "__gram", "__whash", "__wgram")
+    if shared:
+        # Position 0 stands for the document itself, so that one without hits keeps a row.
+        rows = _window_rows(documents, kept, lengths, 0)
+        rows = rows.withColumn("__hash", F.when(F.col("__at") > 0, F.xxhash64("__gram")))
+        same = (F.col("__hash") == F.col("__whash")) & (F.col("__gram") == F.col("__wgram"))
+        found = rows.join(F.broadcast(right), same, "left")
+        return found.filter("__at = 0 OR __items IS NOT NULL").drop("__hash", "__gram", "__whash", "__wgram")
+    # Written once, so that document numbers are the same for both uses.
+    documents = materialize(documents, "windows")
+    slim = [c for c in kept if c != "__doc"]
+    places = _window_rows(documents, ["__row"], lengths, 1).select(
+        "__row", "__at", "__len", F.xxhash64("__gram").alias("__whash")
+    )
+    met = places.join(right, "__whash").join(documents.select(*slim, "__w"), "__row")
+    met = met.filter(F.slice("__w", F.col("__at"), F.col("__len")) == F.col("__wgram"))
+    starts = documents.select(*kept, F.size("__w").alias("__n"), F.lit(0).alias("__at"), F.lit(None).cast("int").alias("__len"))
+    hits = met.select(*slim, F.size("__w").alias("__n"), "__at", "__len", "__items")
+    return starts.unionByName(hits, allowMissingColumns=True)
 
 
-def _prepared(benchmark: DataFrame, item_col: str, text_col: str, window: int):
+def _prepared(benchmark: DataFrame, item_col: str, text_col: str, window: int, broadcast_windows: int):
+    """Windows, their lengths, and whether windows and the items they name are few enough to be broadcast."""
     windows = benchmark_windows(benchmark, item_col, text_col, window)
-    shape = windows.groupBy(F.size("gram").alias("len")).count().collect()  # at most ``window`` rows
-    return windows, sorted(r["len"] for r in shape), sum(r["count"] for r in shape)
+    # At most ``window`` rows.
+    shape = windows.groupBy(F.size("gram").alias("len")).agg(F.count("*").alias("n"), F.sum(F.size("items")).alias("items")).collect()
+    few = sum(r["n"] for r in shape) <= broadcast_windows
+    return windows, sorted(r["len"] for r in shape), few and sum(r["items"] for r in shape) <= ITEMS_A_WINDOW * broadcast_windows
 
 
 def scan(
@@ -96,13 +115,13 @@ def scan(
     broadcast_windows: int = BROADCAST_WINDOWS,
 ) -> DataFrame:
     """One row per document: ``id_col``, n_words, hit_words (sorted word numbers from 1), items (sorted)."""
-    windows, lengths, size = _prepared(benchmark, item_col, item_text_col, window)
+    windows, lengths, shared = _prepared(benchmark, item_col, item_text_col, window, broadcast_windows)
     docs = documents.select(
         F.monotonically_increasing_id().alias("__row"),
         F.col(id_col).alias("__id"),
         words_of(F.col(text_col)).alias("__w"),
     )
-    hits = _hits(docs, windows, lengths, size, broadcast_windows)
+    hits = _hits(docs, windows, lengths, shared)
     spans = F.collect_set(F.when(F.col("__at") > 0, F.struct("__at", "__len")))
     found = hits.groupBy("__row", "__id").agg(
         F.max("__n").cast("long").alias("n_words"),
@@ -145,7 +164,7 @@ def remove_spans(
 
     A removed run leaves the separators around it. Texts without a hit, also null ones, are unchanged.
     """
-    windows, lengths, size = _prepared(benchmark, item_col, item_text_col, window)
+    windows, lengths, shared = _prepared(benchmark, item_col, item_text_col, window, broadcast_windows)
     order = documents.columns
     packed = documents.select(
         F.monotonically_increasing_id().alias("__row"),
@@ -154,7 +173,7 @@ def remove_spans(
     )
     # The whole document travels on its start row only.
     slim = F.when(F.col("__at") == 0, F.col("__doc")).alias("__doc")
-    hits = _hits(packed, windows, lengths, size, broadcast_windows)
+    hits = _hits(packed, windows, lengths, shared)
     hits = hits.select("__row", slim, "__at", "__len")
     found = hits.groupBy("__row").agg(
         F.max_by("__doc", F.when(F.col("__at") == 0, 1)).alias("__doc"),
@@ -179,14 +198,14 @@ def drop_documents(
     item_text_col: str = "text", window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS,
 ) -> DataFrame:
     """The documents without a single hit word, unchanged."""
-    windows, lengths, size = _prepared(benchmark, item_col, item_text_col, window)
+    windows, lengths, shared = _prepared(benchmark, item_col, item_text_col, window, broadcast_windows)
     order = documents.columns
     packed = documents.select(
         F.monotonically_increasing_id().alias("__row"),
         F.struct(*[F.col(c) for c in order]).alias("__doc"),
         words_of(F.col(text_col)).alias("__w"),
     )
-    hits = _hits(packed, windows, lengths, size, broadcast_windows).select(
+    hits = _hits(packed, windows, lengths, shared).select(
         "__row", F.when(F.col("__at") == 0, F.col("__doc")).alias("__doc"), "__at"
     )
     found = hits.groupBy("__row").agg(
