@@ -77,6 +77,14 @@ def map_texts(
     return df.mapInArrow(run, schema)
 
 
+def least_different(rows: DataFrame, key: Column, value: Column, size: int) -> list[str]:
+    """``value`` of the ``size`` rows whose different ``key`` has the least hash; copies of a row change nothing."""
+    h = F.xxhash64(key)
+    n = rows.agg(F.approx_count_distinct(h)).first()[0]
+    # About twice the wanted keys have hashes up to a bound, so that the ordering below sees few rows.
+    bound = min(2**63 - 1, 2**64 * 2 * size // max(n, 1) - 2**63)
+    near = rows.filter(h <= F.lit(bound).cast("long")).select(h.alias("h"), value.alias("t"))
+    return [r["t"] for r in near.groupBy("h").agg(F.min("t").alias("t")).orderBy("h").limit(size).collect()]
 
 
 def fold_ascii(text: Column) -> Column:

@@ -6,7 +6,7 @@ that occurs again (equal, or similar: same mail domain, same leading digits) sha
 occurrence, so a document has at most two skip links a node. Loopy belief propagation makes the labels of a document agree.
 
 The weights are fitted by pseudo-likelihood, with the spans of the fixed patterns as labels, on at most
-``SAMPLE`` documents chosen by a hash of the text. Without any such document no span is added. A token whose label is
+``SAMPLE`` different texts, those of least hash, so copies of a text don't change the sample. Without any such document no span is added. A token whose label is
 not "other" with probability ``MIN_BELIEF`` adds a span, unless a base span overlaps it.
 
 Null and empty texts have no spans. Repeated rows give repeated results, extra columns are ignored.
@@ -23,11 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chainlake.llm.common import map_texts
+from chainlake.llm.common import least_different, map_texts
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
 SAMPLE = 2_000
+SAMPLE_CHARS = 20_000
 MIN_BELIEF = 0.9
 ROUNDS = 8
 BITS = 12
@@ -233,16 +234,17 @@ def spans(texts: list[str], field: Field) -> list[list[tuple[int, int, int, bool
 
 
 def learn(documents: DataFrame, text_col: str = "text", size: int = SAMPLE) -> Field:
-    """Fit the field on at most ``size`` texts that hold an @, a + or a digit."""
+    """Fit the field on at most ``size`` different texts that hold an @, a + or a digit.
+
+    Of a text the sample takes the words up to three away from such a word, ``SAMPLE_CHARS`` characters at most.
+    """
     rows = documents.filter(F.col(text_col).rlike("[0-9@+]"))
-    order = F.xxhash64(text_col)
-    total = rows.count()
-    share = min(1_000_000, 2_000_000 * size // max(total, 1) + 1)
-    near = rows.filter(F.pmod(order, F.lit(1_000_000)) < share).select(order.alias("h"), F.col(text_col).alias("t"))
-    # Of a long text the sample takes what stands around its first finds; the texts themselves are scanned whole.
-    cut = F.array_join(F.slice(F.regexp_extract_all("t", F.lit(r"(?:\S+\s+){0,3}\S*[0-9@+]\S*(?:\s+\S+){0,3}"), F.lit(0)), 1, 200), "\n")
-    picked = near.select("h", F.substring(cut, 1, 20_000).alias("t")).orderBy("h", "t").limit(size).collect()
-    return Field().fit([r["t"] for r in picked])
+    words = F.regexp_extract_all(text_col, F.lit(r"\S++\s*+"), F.lit(0))
+    marked = F.transform(words, lambda w: F.struct(w.alias("w"), w.rlike("[0-9@+]").alias("hit")))
+    near = F.transform(marked, lambda x, i: F.when(
+        F.exists(F.slice(marked, F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3)) + 4), lambda y: y["hit"]), x["w"]))
+    cut = F.substring(F.array_join(F.filter(near, lambda w: w.isNotNull()), ""), 1, SAMPLE_CHARS)
+    return Field().fit(least_different(rows, F.col(text_col), cut, size))
 
 
 def scan(documents: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
