@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chainlake.llm.common import map_texts
+from chainlake.llm.common import least_different, map_texts
 from chainlake.llm.ngrams import Words, hash_words, places, words_of
 
 BITS = 16
@@ -309,15 +309,11 @@ def apart(spans: list[tuple]) -> list[tuple]:
 
 
 def learn(documents: DataFrame, text_col: str = "text", size: int = SAMPLE) -> Classifier:
-    """Fit with at most ``size`` corpus paragraphs that name no license as the unknown class."""
+    """Fit with at most ``size`` different corpus lines that name no license, those of least hash, as the unknown class."""
     lines = documents.select(F.explode(F.split(text_col, "\n")).alias("p")).filter("length(trim(p)) > 0")
     lines = lines.filter(~F.col("p").rlike("(?i)licen[sc]e|copyright|public domain|all rights reserved"))
-    order = F.xxhash64("p")
-    total = documents.count()
-    # Paragraphs by a hash threshold first, so that the ordering below sees few rows.
-    share = min(1_000_000, 1_000_000 * size // max(total, 1) + 1)
-    near = lines.filter(F.pmod(order, F.lit(1_000_000)) < share).select(order.alias("h"), F.substring("p", 1, 600).alias("p"))
-    return fit([r["p"] for r in near.orderBy("h", "p").limit(size).collect()])
+    # Of a long paragraph the fit takes the first 600 characters.
+    return fit(least_different(lines, F.col("p"), F.substring("p", 1, 600), size))
 
 
 def scan(documents: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
