@@ -6,7 +6,7 @@ task runs FTRL-proximal (per-coordinate rates, L1 and L2) over its texts from th
 and the states are averaged by place after every round. L1 leaves few weights that are not
 zero; these are broadcast, at most ``2**BITS`` of them.
 
-Training takes at most ``SAMPLE`` labelled rows, by a hash of the id. A null label teaches nothing; a document with both labels counts as
+Training takes at most ``SAMPLE`` labelled ids, by a hash of the id, and one text of each. A null label teaches nothing; a document with both labels counts as
 toxic. Null and empty texts have no features and get the score of the bias alone. Without any
 label the score is 0.5. Repeated documents are scored each; extra columns are ignored.
 """
@@ -70,7 +70,9 @@ def train(documents: DataFrame, labels: DataFrame, usable: Column, id_col: str =
     chosen = materialize(sample(labels, usable, id_col, label_col, size).coalesce(1), "toxicity-sample")
     # The sample has at most ``size`` rows, so it is broadcast.
     texts = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "id").withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(SHARDS)))
+    # Rows of a repeated id teach once, by their least text, so the rows are bounded like the ids.
+    known = texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+    rows = known.withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(SHARDS)))
     rows = materialize(rows.repartition(SHARDS, "shard"), "toxicity-train").select("shard", "id", "text", "label")
     spark = documents.sparkSession
     ship_package(spark)
