@@ -87,6 +87,14 @@ def least_different(rows: DataFrame, key: Column, value: Column, size: int) -> l
     return [r["t"] for r in near.groupBy("h").agg(F.min("t").alias("t")).orderBy("h").limit(size).collect()]
 
 
+def unused(name: str, taken: list[str]) -> str:
+    """``name``, with as many underscores before it as make it none of the ``taken`` (names ignore case)."""
+    held = {t.lower() for t in taken}
+    while name.lower() in held:
+        name = "_" + name
+    return name
+
+
 def fold_ascii(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -135,5 +135,7 @@ def identify(
 
 def drop_rejected(documents: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", min_margin: int = MIN_MARGIN) -> DataFrame:
     """The documents whose language is clear, unchanged."""
-    found = identify(documents, dictionaries, text_col=text_col, min_margin=min_margin, keep_columns=True)
-    return found.filter(~F.col("__rejected")).select(*documents.columns)
+    names = {c: f"c{i}" for i, c in enumerate(documents.columns)}
+    slim = documents.select(*[F.col(c).alias(n) for c, n in names.items()])
+    found = identify(slim, dictionaries, text_col=names[text_col], min_margin=min_margin, keep_columns=True)
+    return found.filter(~F.col("__rejected")).select(*[F.col(n).alias(c) for c, n in names.items()])

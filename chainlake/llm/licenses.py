@@ -20,6 +20,8 @@ from __future__ import annotations
 import bisect
 import random
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -258,6 +260,39 @@ def best_template(paragraph: str) -> tuple[float, int, str]:
     return max((len(own & p) / len(p), len(p), f) for f, p, _ in _ALL)
 
 
+def _stretches(found: list[tuple[int, tuple[bytes, bytes]]], longest: int) -> Iterator[tuple[int, int, int]]:
+    """(place, different pairs, last place) for each hit, over the hits within ``longest`` words from it.
+
+    The last place is where the last pair is met for the first time, and on to the end of the hits that follow each
+    other there. A left and a right pointer move over the hits once.
+    """
+    run_end: dict[int, int] = {}
+    for i, _ in reversed(found):
+        run_end[i] = run_end.get(i + 1, i)
+    # Of each hit, the next hit of its pair.
+    following: dict[int, int] = {}
+    met: dict[tuple[bytes, bytes], int] = {}
+    for i, pair in found:
+        if pair in met:
+            following[met[pair]] = i
+        met[pair] = i
+    inside: Counter = Counter()
+    right, last = 0, -1
+    for i, pair in found:
+        while right < len(found) and found[right][0] + 2 - i <= longest:
+            place, other = found[right]
+            inside[other] += 1
+            if inside[other] == 1:
+                last = max(last, place)
+            right += 1
+        yield i, len(inside), run_end[last]
+        inside[pair] -= 1
+        if not inside[pair]:
+            del inside[pair]
+        else:
+            last = max(last, following[i])
+
+
 def windows(text: str) -> list[tuple[int, int, float, int, str]]:
     """(start, end, share, pairs, family) of windows of words with at least ``MIN_SHARE`` of a template, best ones first.
 
@@ -279,19 +314,9 @@ def windows(text: str) -> list[tuple[int, int, float, int, str]]:
             need = MIN_SHARE * len(pairs)
             if len({p for _, p in found}) < need:
                 continue
-            spots = {i for i, _ in found}
-            for k, (i, _) in enumerate(found):
-                seen, last = set(), i
-                for j, pair in found[k:]:
-                    if j + 2 - i > 2 * size + 10:
-                        break
-                    if pair not in seen:
-                        seen.add(pair)
-                        last = j
-                while (last + 1) in spots:
-                    last += 1
-                if len(seen) >= need:
-                    out.append((len(seen) / len(pairs), len(pairs), i - last, at[i][0], at[last + 1][1], family))
+            for i, seen, last in _stretches(found, 2 * size + 10):
+                if seen >= need:
+                    out.append((seen / len(pairs), len(pairs), i - last, at[i][0], at[last + 1][1], family))
     out.sort(key=lambda x: (-x[0], -x[1], -x[2], x[3]))
     return [(a, b, share, pairs, family) for share, pairs, _, a, b, family in out]
 

@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chainlake.llm.common import unused
 from chainlake.session import materialize
 
 MAX_RATIO = 0.1
@@ -26,6 +27,8 @@ MIN_PAGES = 5
 #: picks a shuffle join.
 BROADCAST_HASHES = 500_000
 BROADCAST_CHARS = 16_000_000
+#: Bytes of a page in which openers without an end can't cost much.
+SHORT_PAGE = 8_000
 
 
 def lines_of(text: Column) -> Column:
@@ -79,30 +82,61 @@ def dedup(
 
     With ``counts`` two columns follow: __n_lines (not blank) and __n_dropped.
     """
+    h, hnull, of, nohost, bp = [unused(c, pages.columns) for c in ("__h", "__hnull", "__host", "__nohost", "__bp")]
     found = boilerplate(pages, host, text_col, max_ratio, min_pages).select(
-        F.col("host").alias("__host"), F.col("nohost").alias("__nohost"), F.col("lines").alias("__bp")
+        F.col("host").alias(of), F.col("nohost").alias(nohost), F.col("lines").alias(bp)
     )
     found = materialize(found, "boilerplate")
-    size = found.agg(F.sum(F.length("__host") + F.length(F.array_join("__bp", "\n")) + 64)).first()[0]
+    size = found.agg(F.sum(F.length(of) + F.length(F.array_join(bp, "\n")) + 64)).first()[0]
     if (size or 0) <= BROADCAST_CHARS:
         found = F.broadcast(found)
     joined = pages.withColumns(
-        {"__h": F.coalesce(host.cast("string"), F.lit("")), "__hnull": host.isNull()}
-    ).join(found, (F.col("__h") == F.col("__host")) & (F.col("__hnull") == F.col("__nohost")), "left")
+        {h: F.coalesce(host.cast("string"), F.lit("")), hnull: host.isNull()}
+    ).join(found, (F.col(h) == F.col(of)) & (F.col(hnull) == F.col(nohost)), "left")
     lines = lines_of(F.col(text_col))
-    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("__bp", F.trim(x)), F.lit(False)))
+    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(bp, F.trim(x)), F.lit(False)))
     full = lambda a: F.size(F.filter(a, lambda x: F.trim(x) != ""))
-    text = F.when(F.col("__bp").isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(
+    text = F.when(F.col(bp).isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(
         F.array_join(kept, "\n")
     )
     more = []
     if counts:
-        dropped = F.when(F.col("__bp").isNull(), 0).otherwise(F.size(lines) - F.size(kept))
+        dropped = F.when(F.col(bp).isNull(), 0).otherwise(F.size(lines) - F.size(kept))
         more = [full(lines).cast("long").alias("__n_lines"), dropped.cast("long").alias("__n_dropped")]
     return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in pages.columns], *more)
 
 
+def _openers_set_apart(html: Column) -> Column:
+    """Pages with a mark in every opener of a script, style or comment that nothing closes.
+
+    A pattern that meets such an opener looks for its end in all the rest of the page, again for each. The mark is
+    U+0001 U+0003; a U+0001 of the page is written as U+0001 U+0002 until the marks are taken out.
+    """
+    out = F.replace(html, F.lit("\x01"), F.lit("\x01\x02"))
+    for opener, closer, inner in (("script", "</script>", ".*>"), ("style", "</style>", ".*>"), ("!--", "-->", ".*")):
+        # What can be closed begins before the last closer, and a tag has its own end before it.
+        head = F.regexp_extract(F.regexp_extract(out, rf"(?is)\A(.*){closer}", 1), rf"(?s)\A({inner})", 1)
+        tail = F.substring(out, F.length(head) + 1, F.length(out))
+        out = F.concat(head, F.regexp_replace(tail, f"(?i)<(?={opener})", "<\x01\x03"))
+    return out
+
+
+def _without_tags(html: Column) -> Column:
+    bare = F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", "\n")
+    # After the last end of a tag there is none to look for.
+    head = F.regexp_extract(bare, r"(?s)\A(.*>)", 1)
+    tail = F.substring(bare, F.length(head) + 1, F.length(bare))
+    return F.concat(F.regexp_replace(head, r"<[^>]*>", "\n"), tail)
+
+
 def html_lines(html: Column) -> Column:
-    """Text of a page, one line for each run between tags; scripts, styles and comments go."""
+    """Text of a page, one line for each run between tags; scripts, styles and comments go.
+
+    Time is in proportion to the page. Pages of over ``SHORT_PAGE`` bytes take more passes for that, with the same text.
+    """
+    marked = _without_tags(_openers_set_apart(html))
+    unmarked = F.replace(F.replace(marked, F.lit("\x01\x03"), F.lit("")), F.lit("\x01\x02"), F.lit("\x01"))
     bare = F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", "\n")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?s)<[^>]*>", "\n"), r"[ \t]*\n[ \t\n]*", "\n"))
+    short = F.regexp_replace(bare, r"(?s)<[^>]*>", "\n")
+    text = F.when(F.octet_length(html) > SHORT_PAGE, unmarked).otherwise(short)
+    return F.trim(F.regexp_replace(text, r"(?<![ \t])[ \t]*+\n[ \t\n]*+", "\n"))

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chainlake.llm.common import map_texts
+from chainlake.llm.common import map_texts, unused
 from chainlake.llm.components import connected_components
 from chainlake.session import materialize
 
@@ -161,5 +161,6 @@ def near_duplicates(
 def drop_near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that give their component its name; of repeated ids every row stays, and so do null ids."""
     found = near_duplicates(documents, id_col, text_col, **options)
-    gone = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    return documents.join(gone, documents[id_col] == F.col("__gone"), "left_anti")
+    name = unused("__gone", documents.columns)
+    gone = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(name)).distinct()
+    return documents.join(gone, documents[id_col] == F.col(name), "left_anti")

@@ -22,10 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from chainlake.llm.common import map_texts, ship_package
+from chainlake.llm.common import least_different, map_texts, ship_package
 
 K = 12
 WINDOW = 28
+#: Ids looked at for each cut where ids are texts.
+CUT_IDS = 50
 _BASE = 0x9E3779B97F4A7C15
 _MASK = 2**64 - 1
 
@@ -111,7 +113,14 @@ def _runs(documents: DataFrame, id_col: str, text_col: str, parts: int) -> DataF
     """
     rows = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     shares = [i / parts for i in range(1, parts)]
-    cuts = rows.agg(F.percentile_approx("id", shares or [0.5], 10_000).alias("c")).first()["c"] if parts > 1 else []
+    if parts == 1:
+        cuts = []
+    elif isinstance(documents.schema[id_col].dataType, T.StringType):
+        # Texts have no percentiles; where the cuts are changes no result.
+        some = sorted(least_different(rows.filter("id IS NOT NULL"), F.col("id"), F.col("id"), CUT_IDS * parts))
+        cuts = [some[int(s * len(some))] for s in shares] if some else []
+    else:
+        cuts = rows.agg(F.percentile_approx("id", shares, 10_000).alias("c")).first()["c"]
     cuts = sorted(set(cuts or []), reverse=True)
     # Run 0 holds the largest ids; a null id is in the last run.
     run_of = F.lit(len(cuts))
