@@ -15,6 +15,8 @@ their own. Other columns are kept, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,8 @@ BROADCAST_HASHES = 500_000
 BROADCAST_CHARS = 16_000_000
 #: Bytes of a page in which openers without an end can't cost much.
 SHORT_PAGE = 8_000
+_UNSEEN = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
+_TAG = r"<[^>]*>"
 
 
 def lines_of(text: Column) -> Column:
@@ -106,6 +110,16 @@ def dedup(
     return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in pages.columns], *more)
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _after(text: Column, head: Column, pattern: str, new: str) -> Column:
+    """The text, with ``pattern`` replaced in what follows its ``head``."""
+    return F.concat(head, F.regexp_replace(F.substr(text, F.length(head) + 1), pattern, new))
+
+
 def _openers_set_apart(html: Column) -> Column:
     """Pages with a mark in every opener of a script, style or comment that nothing closes.
 
@@ -114,19 +128,22 @@ def _openers_set_apart(html: Column) -> Column:
     """
     out = F.replace(html, F.lit("\x01"), F.lit("\x01\x02"))
     for opener, closer, inner in (("script", "</script>", ".*>"), ("style", "</style>", ".*>"), ("!--", "-->", ".*")):
-        # What can be closed begins before the last closer, and a tag has its own end before it.
-        head = F.regexp_extract(F.regexp_extract(out, rf"(?is)\A(.*){closer}", 1), rf"(?s)\A({inner})", 1)
-        tail = F.substring(out, F.length(head) + 1, F.length(out))
-        out = F.concat(head, F.regexp_replace(tail, f"(?i)<(?={opener})", "<\x01\x03"))
+
+        def set_apart(page: Column) -> Column:
+            # What can be closed begins before the last closer, and a tag has its own end before it.
+            head = F.regexp_extract(F.regexp_extract(page, rf"(?is)\A(.*){closer}", 1), rf"(?s)\A({inner})", 1)
+            return _with(head, lambda h: _after(page, h, f"(?i)<(?={opener})", "<\x01\x03"))
+
+        out = _with(out, set_apart)
     return out
 
 
 def _without_tags(html: Column) -> Column:
-    bare = F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", "\n")
+    bare = F.regexp_replace(html, _UNSEEN, "\n")
     # After the last end of a tag there is none to look for.
-    head = F.regexp_extract(bare, r"(?s)\A(.*>)", 1)
-    tail = F.substring(bare, F.length(head) + 1, F.length(bare))
-    return F.concat(F.regexp_replace(head, r"<[^>]*>", "\n"), tail)
+    head = lambda page: F.regexp_extract(page, r"(?s)\A(.*>)", 1)
+    cut = lambda page, h: F.concat(F.regexp_replace(h, _TAG, "\n"), F.substr(page, F.length(h) + 1))
+    return _with(bare, lambda page: _with(head(page), lambda h: cut(page, h)))
 
 
 def html_lines(html: Column) -> Column:
@@ -136,7 +153,6 @@ def html_lines(html: Column) -> Column:
     """
     marked = _without_tags(_openers_set_apart(html))
     unmarked = F.replace(F.replace(marked, F.lit("\x01\x03"), F.lit("")), F.lit("\x01\x02"), F.lit("\x01"))
-    bare = F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", "\n")
-    short = F.regexp_replace(bare, r"(?s)<[^>]*>", "\n")
+    short = F.regexp_replace(F.regexp_replace(html, _UNSEEN, "\n"), _TAG, "\n")
     text = F.when(F.octet_length(html) > SHORT_PAGE, unmarked).otherwise(short)
     return F.trim(F.regexp_replace(text, r"(?<![ \t])[ \t]*+\n[ \t\n]*+", "\n"))
