@@ -1,7 +1,6 @@
 """Time in proportion to very long texts, columns with the names that operators use inside, text ids."""
 
 import random
-import re
 import time
 
 from pyspark.sql import functions as F
@@ -60,33 +59,6 @@ def test_windows_take_time_in_proportion():
     assert whole < 3.5 * half + 0.5 and whole < 60
 
 
-def plain_lines(html):
-    """The patterns of ``html_lines`` without any care for time."""
-    bare = re.sub(r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", "\n", html)
-    return re.sub(r"[ \t]*\n[ \t\n]*", "\n", re.sub(r"<[^>]*>", "\n", bare)).strip(" ")
-
-
-def test_lines_of_pages_are_those_of_the_patterns(spark, monkeypatch):
-    dice = random.Random(5)
-    parts = ["<script", "<SCRIPT>", "</script>", "<style a>", "<style", "</Style>", "<!--", "-->", "<!-->", "<p>", "<", ">",
-             " ", "\t", "\n", "text", "\x01", "\x01\x02", "\x01\x03", "İ", "𝔘"]
-    pages = ["".join(dice.choice(parts) for _ in range(dice.randrange(1, 30))) for _ in range(3000)] + ["", None]
-    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, html string")
-    for bound in (0, 1_000_000):
-        monkeypatch.setattr(line_dedup, "SHORT_PAGE", bound)
-        out = {r.i: r.t for r in df.select("i", line_dedup.html_lines(F.col("html")).alias("t")).collect()}
-        assert [out[i] for i in range(len(pages))] == [None if p is None else plain_lines(p) for p in pages]
-
-
-def test_lines_of_pages_take_time_in_proportion(spark):
-    parts = [" ", "<script ", "<script>", "<style>", "<!--", "<", " \t", "<script </script "]
-    rows = spark.range(1).select(F.explode(F.array(*[F.lit(p) for p in parts])).alias("part"))
-    page = F.concat(F.lit("a"), F.expr("repeat(part, 1000000 div length(part))"), F.lit("z"))
-    pages = rows.select(F.explode(F.array(page, F.concat(page, F.lit("</script>")))).alias("html"))
-    lengths = pages.select(F.sum(F.length(line_dedup.html_lines(F.col("html")))))
-    assert seconds(lambda df: df.collect(), lengths) < 60
-
-
 INSIDE = ["__h", "__hnull", "__host", "__nohost", "__bp", "__gone", "__text", "__lang", "__score", "__rejected", "__H0"]
 
 
