@@ -228,15 +228,24 @@ def fingerprint_requests(requests: DataFrame, patterns: list[tuple[str, str]]) -
     )
 
 
-def excluded_tables(parsed: DataFrame, excluded: list[str]) -> DataFrame:
-    """Drop statements all of whose tables are excluded."""
-    names = F.array(*[F.lit(n) for n in excluded])
+def _keep(parsed: DataFrame, condition: Column) -> DataFrame:
+    """Rows that meet a condition on analysed columns.
+
+    Spark moves a plain filter below the projections that analyse a statement and repeats their patterns
+    inside it for every use; a row generated for each one kept stays above them.
+    """
+    return parsed.withColumn("__kept", F.explode(F.when(condition, F.array(F.lit(True))))).drop("__kept")
+
+
+def not_excluded(excluded: list[str]) -> Column:
+    """Whether an analysed statement has no table, or one that is not excluded."""
+    names = F.array(*[F.lit(n) for n in excluded]).cast("array<string>")
     touched = F.exists("tables", lambda t: ~F.array_contains(names, unqualified(t["name"])))
-    return parsed.filter((F.size("tables") == 0) | touched) if excluded else parsed
+    return (F.size("tables") == 0) | touched
 
 
-def sensitive_access(parsed: DataFrame, sensitive: dict[str, list[str]]) -> DataFrame:
-    """Statements that read or write a column listed as sensitive for one of their tables."""
+def is_sensitive(sensitive: dict[str, list[str]]) -> Column:
+    """Whether an analysed statement reads or writes a column listed as sensitive for one of its tables."""
     settings = _settings(sorted(sensitive.items()))
 
     def hits(table: Column) -> Column:
@@ -249,7 +258,17 @@ def sensitive_access(parsed: DataFrame, sensitive: dict[str, list[str]]) -> Data
             F.lit(False),
         )
 
-    return parsed.filter(F.exists("tables", hits))
+    return F.exists("tables", hits)
+
+
+def excluded_tables(parsed: DataFrame, excluded: list[str]) -> DataFrame:
+    """Drop statements all of whose tables are excluded."""
+    return _keep(parsed, not_excluded(excluded)) if excluded else parsed
+
+
+def sensitive_access(parsed: DataFrame, sensitive: dict[str, list[str]]) -> DataFrame:
+    """Statements that read or write a column listed as sensitive for one of their tables."""
+    return _keep(parsed, is_sensitive(sensitive))
 
 
 def unknown_shapes(app_events: DataFrame, known: DataFrame) -> DataFrame:
