@@ -315,6 +315,22 @@ def attribution_classes(
     return links, users.join(counts, keys)
 
 
+def attribution_counts(
+    events: DataFrame, snapshot: DataFrame, policy: str, predicates: dict[str, str] | None = None
+) -> DataFrame:
+    """Attributions and attributed events by table: what ``resolution_policy`` gives, counted.
+
+    Every statement of a class names every user of it, so the rows are statements times users of the
+    class and are not made; work grows with events and snapshot.
+    """
+    links, users, keys = _classes(events, snapshot, policy, predicates)
+    named = users.groupBy(*keys).agg(F.count("*").alias("__users"))
+    attributed = links.join(named, keys)
+    return attributed.groupBy("table_name").agg(
+        F.sum("__users").alias("attributions"), F.countDistinct("event_id").alias("events")
+    )
+
+
 def _classes(events, snapshot, policy, predicates):
     """(event_id and class of open statements, class and user_id, columns of a class)."""
     open_events = events.filter(F.size("affected_users") == 0)

@@ -21,3 +21,39 @@ def test_statement_filters_do_not_repeat_the_analysis(spark):
     count = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(")
     for df in (kept, hits):
         assert count(df.select("event_id")) <= count(parsed)
+
+
+@pytest.mark.parametrize("policy", ["conservative", "aggregation_aware", "strict"])
+def test_attributions_are_counted_without_a_row_for_each(spark, policy):
+    """A million statements and a million users of two tables: 10^11 pairs and more."""
+    n = 1_000_000
+    name = F.when(F.col("id") % 2 == 0, "t").otherwise("u")
+    events = spark.range(n).select(
+        F.col("id").alias("event_id"), name.alias("table_name"), F.lit("read").alias("action"),
+        (F.col("id") % 4 == 0).alias("is_aggregation"), F.lit("k > 0").alias("raw_where"),
+        F.array().cast("array<string>").alias("affected_users"),
+    )
+    snapshot = spark.range(n).select(name.alias("table_name"), F.col("id").alias("user_id"), (F.col("id") % 2).alias("k"))
+    rows = {tuple(r) for r in resolve.attribution_counts(events, snapshot, policy, {"k > 0": "k > 0"}).collect()}
+    half = n // 2
+    want = {
+        "conservative": {("t", half * half, half), ("u", half * half, half)},
+        "aggregation_aware": {("t", half * half // 2, half // 2), ("u", half * half, half)},
+        "strict": {("u", half * half, half)},
+    }
+    assert rows == want[policy]
+
+
+@pytest.mark.parametrize("policy", ["conservative", "aggregation_aware", "strict"])
+def test_attribution_counts_are_those_of_the_rows(spark, policy):
+    rows = [(i, "tuv"[i % 3], ["read", "write"][i % 2], i % 4 == 0, f"k > {i % 2}", ["7"] if i % 5 == 0 else []) for i in range(60)]
+    events = spark.createDataFrame(
+        rows, "event_id long, table_name string, action string, is_aggregation boolean, raw_where string, affected_users array<string>"
+    )
+    members = [("t", i % 9, i % 3) for i in range(12)] + [("u", 1, 0), ("u", 2, 2)]
+    snapshot = spark.createDataFrame(members, "table_name string, user_id long, k int")
+    predicates = {"k > 0": "k > 0", "k > 1": "k > 1"}
+    pairs = resolve.resolution_policy(events, snapshot, policy, predicates).join(events, "event_id")
+    want = pairs.groupBy("table_name").agg(F.count("*"), F.countDistinct("event_id"))
+    got = resolve.attribution_counts(events, snapshot, policy, predicates)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
