@@ -262,12 +262,22 @@ islands AS (SELECT *, sum(opens) OVER (PARTITION BY chain_id ORDER BY f, t ROWS
 merged AS (SELECT chain_id, min(f) AS from_index, max(t) AS to_index, max(stamp) AS stamp FROM islands GROUP BY chain_id, island)"""
 
 
-@query("merge_ranges", f"WITH {RANGES_SQL} SELECT chain_id, from_index, to_index, stamp FROM merged")
+# Intervals with one start are one interval up to their largest end, so that the order by start is total:
+# with ties each window could order them otherwise, and an island then began behind its first interval.
+MERGE_SQL = """r AS (SELECT CAST(l_suppkey AS VARCHAR) AS chain_id, (l_orderkey * 7) % 5000 AS f,
+  max((l_orderkey * 7) % 5000 + l_linenumber) AS t, max(l_orderkey) AS stamp FROM lineitem GROUP BY 1, 2),
+flagged AS (SELECT *, CASE WHEN f <= max(t) OVER w + 1 THEN 0 ELSE 1 END AS opens FROM r
+  WINDOW w AS (PARTITION BY chain_id ORDER BY f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+islands AS (SELECT *, sum(opens) OVER (PARTITION BY chain_id ORDER BY f ROWS UNBOUNDED PRECEDING) AS island FROM flagged),
+merged AS (SELECT chain_id, min(f) AS from_index, max(t) AS to_index, max(stamp) AS stamp FROM islands GROUP BY chain_id, island)"""
+
+
+@query("merge_ranges", f"WITH {MERGE_SQL} SELECT chain_id, from_index, to_index, stamp FROM merged")
 def merge_ranges(spark, sf_dir):
     return ranges.merge_ranges(index_ranges(spark, sf_dir)).withColumnRenamed("at", "stamp")
 
 
-@query("merge_ranges_large_keys", f"WITH {RANGES_SQL} SELECT chain_id, from_index, to_index, stamp FROM merged")
+@query("merge_ranges_large_keys", f"WITH {MERGE_SQL} SELECT chain_id, from_index, to_index, stamp FROM merged")
 def merge_ranges_large_keys(spark, sf_dir):
     """Every chain counts as too large for one task and is merged bucket by bucket."""
     merged = ranges.merge_ranges(index_ranges(spark, sf_dir), bucket_rows=512)

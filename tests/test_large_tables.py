@@ -57,3 +57,34 @@ def test_attribution_counts_are_those_of_the_rows(spark, policy):
     want = pairs.groupBy("table_name").agg(F.count("*"), F.countDistinct("event_id"))
     got = resolve.attribution_counts(events, snapshot, policy, predicates)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("name", ["merge_ranges", "merge_ranges_large_keys"])
+def test_sql_of_merged_ranges_leaves_no_ties(spark, tmp_path, name):
+    """Repeated intervals: the windows of the SQL had no total order and cut islands at chance."""
+    import duckdb
+
+    from chainlake.plans import load
+
+    con = duckdb.connect()
+    con.execute(
+        "CREATE TABLE lineitem AS SELECT i // 2 % 400 + 5000 * (i % 3) AS l_orderkey, i % 7 AS l_suppkey,"
+        " CAST(i % 4 + 1 AS INTEGER) AS l_linenumber FROM range(9000) r(i)"
+    )
+    con.execute(f"COPY lineitem TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    queries, sqls = load()
+    steps = sqls[name].rsplit("SELECT", 1)[0]
+    assert con.execute(f"{steps} SELECT chain_id, f, t FROM r GROUP BY ALL HAVING count(*) > 1").fetchall() == []
+    want = {}
+    for chain, f, t, at in con.execute(
+        "SELECT CAST(l_suppkey AS VARCHAR), l_orderkey * 7 % 5000, l_orderkey * 7 % 5000 + l_linenumber, l_orderkey FROM lineitem ORDER BY 2"
+    ).fetchall():
+        islands = want.setdefault(chain, [])
+        if islands and f <= islands[-1][1] + 1:
+            islands[-1][1:] = max(islands[-1][1], t), max(islands[-1][2], at)
+        else:
+            islands.append([f, t, at])
+    want = sorted((chain, *i) for chain, islands in want.items() for i in islands)
+    assert sorted(con.execute(sqls[name]).fetchall()) == want
+    got = queries[name](spark, str(tmp_path)).select("chain_id", "from_index", "to_index", "stamp")
+    assert sorted(map(tuple, got.collect())) == want
