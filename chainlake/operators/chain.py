@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 from chainlake.functions.crypto import is_hash_hex, row_entry_hash
 from chainlake.operators.fold import SEGMENT_ROWS, ordered_fold
 from chainlake.operators import runs
-from chainlake.operators.scan import BUCKET_ROWS, Running, bucket_of, longest_key, running
+from chainlake.operators.scan import BUCKET_ROWS, bucket_of, by_rank, longest_key
 from chainlake.schemas import (
     CHAIN_ENTRY_COLUMNS,
     ENTRY_VERSION,
@@ -80,6 +81,7 @@ def build_chains(
     """
     order = list(order)
     carried = [c for c in dict.fromkeys([*order, *keep])]
+    arrived = payloads
     payloads = payloads.filter(refusal().isNull())
     if longest is None:
         longest = longest_key(payloads, ["chain_id"])
@@ -90,70 +92,72 @@ def build_chains(
         "payload_json",
         *carried,
     )
-    hashes = [T.StructField("prev_hash", T.StringType()), T.StructField("entry_hash", T.StringType())]
-    if longest <= min(bucket_rows, segment_rows):
-        # The fold meets the rows of a chain in order, so it numbers them, too: one shuffle.
-        start = None
-        if heads is not None:
-            before = [F.lit(-1 if c == order[0] else None).cast(rows.schema[c].dataType).alias(c) for c in order]
-            state = F.concat_ws("|", F.col("entry_count").cast("bigint").cast("string"), "head")
-            start = heads.filter("entry_count > 0").select("chain_id", *before, state.alias("__state"))
-        linked = ordered_fold(
-            rows, "chain_id", order, _link_next, ["timestamp", "payload_type", "payload_json"],
-            [T.StructField("index", T.LongType()), *hashes], start, longest, segment_rows,
-        )
-        linked = linked.withColumn("version", F.lit(ENTRY_VERSION).cast("int"))
-        return linked.select(*CHAIN_ENTRY_COLUMNS, *keep)
-    rows = rows.withColumn("__n", F.lit(1).cast("bigint"))
     start = None
     if heads is not None:
-        # An existing chain enters the running count as one row before all others.
-        old = heads.filter("entry_count > 0")
-        rows = rows.unionByName(
-            old.select("chain_id", F.lit(-1).cast(rows.schema[order[0]].dataType).alias(order[0]),
-                       F.col("entry_count").cast("bigint").alias("__n")),
-            allowMissingColumns=True,
-        )
-        start = old.select(
-            "chain_id", F.col("entry_count").cast("bigint").alias("index"), F.col("head").alias("__state")
+        last = F.struct((F.col("entry_count").cast("bigint") - 1).alias("index"), F.col("head").alias("entry_hash"))
+        start = heads.filter("entry_count > 0").select("chain_id", last.alias("last"))
+    limit = min(bucket_rows, segment_rows)
+    if longest <= limit:
+        linked = _fold_links(rows, order, start, limit)
+    else:
+        # Counted with refused rows, so that no payload text is made for it. At most (rows / limit) chains are
+        # this long, so the list is broadcast.
+        long = arrived.groupBy(F.col("chain_id").alias("__long")).count().filter(F.col("count") > limit)
+        long = F.broadcast(materialize(long.select("__long"), "long"))
+        same = F.col("chain_id").eqNullSafe(F.col("__long"))
+        of = lambda df, how: None if df is None else df.join(long, same, how)
+        short = _fold_links(of(rows, "left_anti"), order, of(start, "left_anti"), limit)
+        # Offsets that are far apart, such as hashes, would put each row into a segment of its own.
+        seen = arrived.agg((F.max(order[0]) - F.min(order[0])).alias("span"), F.count("*").alias("n")).first()
+        dense = seen["span"] is None or seen["span"] <= SPARSE * seen["n"]
+        linked = short.unionByName(
+            _fold_long(of(rows, "left_semi"), order, of(start, "left_semi"), limit, dense)
         )
-    bucket = bucket_of(F.col(order[0]), bucket_rows)
-    if longest > bucket_rows:
-        # Offsets that are far apart, such as hashes, would put each row into a bucket of its own.
-        seen = payloads.agg((F.max(order[0]) - F.min(order[0])).alias("span"), F.count("*").alias("n")).first()
-        bucket = bucket if seen["span"] <= SPARSE * seen["n"] else None
-    numbered = running(
-        rows,
-        ["chain_id"],
-        order,
-        bucket,
-        {"__upto": Running("sum", F.col("__n"))},
-        longest,
-        bucket_rows,
-    )
-    numbered = numbered.filter(F.col(order[0]) >= 0).select(
-        "chain_id",
-        F.lit(ENTRY_VERSION).cast("int").alias("version"),
-        (F.col("__upto") - 1).alias("index"),
-        "timestamp",
-        "payload_type",
-        "payload_json",
-        *carried,
-    )
-    linked = ordered_fold(
-        numbered,
-        "chain_id",
-        "index",
-        _link,
-        ["index", "timestamp", "payload_type", "payload_json"],
-        hashes,
-        start,
-        longest,
-        segment_rows,
-    )
+    linked = linked.withColumn("version", F.lit(ENTRY_VERSION).cast("int"))
     return linked.select(*CHAIN_ENTRY_COLUMNS, *keep)
 
 
+def _fold_links(rows: DataFrame, order: list[str], start: DataFrame | None, limit: int) -> DataFrame:
+    """Number and link chains of at most ``limit`` rows with one shuffle: the fold meets them in order.
+
+    ``start``: chain_id and last (index, entry_hash), the entry that a chain goes on from.
+    """
+    if start is not None:
+        before = [F.lit(-1 if c == order[0] else None).cast(rows.schema[c].dataType).alias(c) for c in order]
+        state = F.concat_ws("|", (F.col("last.index") + 1).cast("string"), "last.entry_hash")
+        start = start.select("chain_id", *before, state.alias("__state"))
+    return ordered_fold(
+        rows, "chain_id", order, _link_next, ["timestamp", "payload_type", "payload_json"],
+        [T.StructField("index", T.LongType()), T.StructField("prev_hash", T.StringType()), T.StructField("entry_hash", T.StringType())],
+        start, limit, limit,
+    )
+
+
+def _fold_long(rows: DataFrame, order: list[str], start: DataFrame | None, limit: int, dense: bool) -> DataFrame:
+    """Link the few chains too long for one task, in segments of their arrival order, one after the other.
+
+    A segment goes on from the last entry that each chain has in the segments before it.
+    """
+    spark = rows.sparkSession
+    if dense:
+        cut = rows.withColumn("__bucket", bucket_of(F.col(order[0]), limit))
+    else:
+        cut = by_rank(rows, [], order, limit)
+    # Stored by segment once, so that each round reads only its own files.
+    stored = materialize(cut, "fold-in", "__bucket")
+    numbers = sorted(r[0] for r in stored.select("__bucket").distinct().collect())
+    tails = [] if start is None else [materialize(start, "tails")]
+    done: list[DataFrame] = []
+    for number in numbers:
+        part = stored.filter(F.col("__bucket") == number).select(*rows.columns)
+        states = None
+        if tails:
+            states = reduce(DataFrame.unionByName, tails).groupBy("chain_id").agg(F.max("last").alias("last"))
+        done.append(materialize(_fold_links(part, order, states, limit), "fold-out"))
+        tails.append(materialize(done[-1].groupBy("chain_id").agg(F.max(F.struct("index", "entry_hash")).alias("last")), "tails"))
+    return reduce(DataFrame.unionByName, done) if done else _fold_links(rows, order, None, limit)
+
+
 def _own() -> Column:
     """What is checked of an entry; of several copies of an index the least one stands for it."""
     small = F.octet_length("payload_json") <= MAX_PAYLOAD_BYTES

@@ -102,3 +102,28 @@ def test_category_counts_link_no_chain(spark, sf_dir, monkeypatch):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").count()
     assert sum(plans.category_counts_wide(spark, sf_dir).first()) == events
     assert sum(r.n for r in plans.category_counts(spark, sf_dir).collect()) == events
+
+
+def test_only_long_chains_are_linked_in_rounds(spark, monkeypatch):
+    """Short chains took part in every round; a long chain goes on after a stretch without entries."""
+    from chainlake.operators import chain
+
+    rows = [(i, 0, "long" if i < 40 or i >= 80 else "later", 100 + i, 1, f'{{"a":{i}}}') for i in range(140)]
+    rows += [(i, 1, f"short{i % 30}", 100 + i, 1, f'{{"b":{i}}}') for i in range(140)]
+    df = spark.createDataFrame(
+        rows, "event_id long, position int, chain_id string, timestamp long, payload_type int, payload_json string"
+    )
+    stored = []
+    write = chain.materialize
+
+    def materialize(df, name, *partition_by):
+        out = write(df, name, *partition_by)
+        if name == "fold-in":
+            stored.append({r.chain_id for r in out.select("chain_id").distinct().collect()})
+        return out
+
+    monkeypatch.setattr(chain, "materialize", materialize)
+    sort = lambda built: sorted(tuple(r) for r in built.collect())
+    cut = sort(chain.build_chains(df, bucket_rows=20, segment_rows=20))
+    assert cut == sort(chain.build_chains(df))
+    assert stored == [{"long", "later"}]
