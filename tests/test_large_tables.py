@@ -127,3 +127,22 @@ def test_only_long_chains_are_linked_in_rounds(spark, monkeypatch):
     cut = sort(chain.build_chains(df, bucket_rows=20, segment_rows=20))
     assert cut == sort(chain.build_chains(df))
     assert stored == [{"long", "later"}]
+
+
+def test_damaging_chains_spreads_a_long_one(spark, sf_dir, monkeypatch):
+    """A join by chain alone put all entries of the longest chain into one task."""
+    from chainlake.plans import fixtures as fx
+
+    fx.chains(spark, sf_dir)
+    monkeypatch.setattr(fx, "STRETCH", 50, raising=False)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = fx.tampered_chains(spark, sf_dir).filter("chain_id = '_deployment'")
+        parts = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert max(parts) < sum(parts) / 2
