@@ -19,7 +19,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -241,9 +241,14 @@ def learn(documents: DataFrame, text_col: str = "text", size: int = SAMPLE) -> F
     rows = documents.filter(F.col(text_col).rlike("[0-9@+]"))
     words = F.regexp_extract_all(text_col, F.lit(r"\S++\s*+"), F.lit(0))
     marked = F.transform(words, lambda w: F.struct(w.alias("w"), w.rlike("[0-9@+]").alias("hit")))
-    near = F.transform(marked, lambda x, i: F.when(
-        F.exists(F.slice(marked, F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3)) + 4), lambda y: y["hit"]), x["w"]))
-    cut = F.substring(F.array_join(F.filter(near, lambda w: w.isNotNull()), ""), 1, SAMPLE_CHARS)
+
+    def near(m: Column) -> Column:
+        beside = lambda i: F.slice(m, F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3)) + 4)
+        kept = F.transform(m, lambda x, i: F.when(F.exists(beside(i), lambda y: y["hit"]), x["w"]))
+        return F.array_join(F.filter(kept, lambda w: w.isNotNull()), "")
+
+    # The words are bound to a variable: an expression inside a lambda is worked out again for every element.
+    cut = F.substring(F.transform(F.array(marked), near)[0], 1, SAMPLE_CHARS)
     return Field().fit(least_different(rows, F.col(text_col), cut, size))
 
 

@@ -29,6 +29,17 @@ def test_sample_of_texts_without_blanks_is_linear(spark):
     assert seconds(1_000_000) < 20
 
 
+def test_sample_of_texts_of_many_words_is_linear(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(pii, "least_different", lambda rows, key, value, size: seen.extend(r[0] for r in rows.select(value).collect()) or [])
+    pii.learn(spark.createDataFrame([("a b c d mail x@y.zz e f g h 7 i",), (" +1  b",)], "text string"))
+    assert seen == ["c d mail x@y.zz e f g h 7 i", "+1  b"]
+    long = spark.createDataFrame([("the rain in Spain falls 12.34.56.78 mainly\n" * 4000,)], "text string")
+    start = time.time()
+    pii.learn(long)
+    assert time.time() - start < 20 and len(seen[-1]) == pii.SAMPLE_CHARS
+
+
 def test_a_repeated_id_teaches_once(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
     once = spark.createDataFrame([(1, "awful words here"), (2, "kind words here")], "doc_id long, text string")
