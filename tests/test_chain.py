@@ -1,12 +1,14 @@
 """Chains: building in pieces, and the tamper cases."""
 
 import hashlib
+import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from chainlake.functions.crypto import row_entry_hash
-from chainlake.operators import chain, read
+from chainlake.operators import chain, linking, read
 from chainlake.schemas import CHAIN_ENTRY, ZERO_HASH
 
 
@@ -170,3 +172,38 @@ def test_page_limits(spark, built):
 
 def test_schema_of_entries(built):
     assert built.schema.simpleString() == f"struct<{CHAIN_ENTRY.replace(' STRING', ':string').replace(' INT', ':int').replace(' BIGINT', ':bigint').replace(', ', ',')}>"
+
+
+@pytest.mark.parametrize("size", [1, 3, 7, 100])
+def test_linking_does_not_depend_on_batches(size):
+    rng = random.Random(size)
+    rows = [
+        {"chain_id": c, "event_id": i, "position": 0, "timestamp": rng.randrange(-5, 2**40), "payload_type": rng.randrange(1, 256),
+         "payload_json": "é" * rng.randrange(4) + str(i)}
+        for c in (None, "a", "b", "c") for i in range(rng.randrange(1, 25))
+    ]
+    want = by_hand(rows)
+    # The entries of b from the fourth on follow a stored head; c has a head but no state.
+    seeded = []
+    for r in rows:
+        i = r["event_id"]
+        if r["chain_id"] == "b" and i < 3:
+            if i == min(2, len(want["b"]) - 1):
+                seeded.append({"chain_id": "b", "__seed": True, "__state": f"{i + 1}|{want['b'][i][2]}"})
+            continue
+        if r["chain_id"] == "c" and i == 0:
+            seeded.append({"chain_id": "c", "__seed": True, "__state": None})
+        seeded.append({**r, "__seed": False, "__state": None})
+    schema = pa.schema(
+        [("chain_id", pa.string()), ("event_id", pa.int64()), ("position", pa.int32()), ("timestamp", pa.int64()), ("payload_type", pa.int32()),
+         ("payload_json", pa.string()), ("__state", pa.string()), ("__seed", pa.bool_())]
+    )
+    table = pa.Table.from_pylist(seeded, schema)
+    got = {}
+    for batch in linking.link_batches(iter(table.to_batches(size))):
+        for r in batch.to_pylist():
+            got.setdefault(r["chain_id"], []).append((r["index"], r["prev_hash"], r["entry_hash"]))
+    assert got == {c: w for c, w in ((c, w[3:] if c == "b" else w) for c, w in want.items()) if w}
+    for column in ("timestamp", "payload_type", "payload_json"):
+        with pytest.raises(ValueError, match=column):
+            list(linking.link_batches(iter(pa.Table.from_pylist([{**seeded[0], column: None}], schema).to_batches())))
