@@ -2,6 +2,7 @@
 
 import random
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -84,6 +85,20 @@ def test_collocations_do_not_depend_on_bounds(spark, sf_dir, options):
     assert want and sorted(collocations.collocations(docs, **options).collect()) == sorted(want)
 
 
+def test_a_tally_holds_a_bounded_number_of_keys():
+    rng = np.random.default_rng(1)
+    tracemalloc.start()
+    tally, sums = collocations.Tally(), 0
+    for _ in range(20):
+        tally.add(rng.integers(0, 2**40, 400_000))
+        if tally.full():
+            sums += sum(np.frombuffer(c, np.int64).sum() for b in tally.blocks(4) for c in b.column("counts").to_pylist())
+    sums += sum(np.frombuffer(c, np.int64).sum() for b in tally.blocks(4) for c in b.column("counts").to_pylist())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sums == 20 * 400_000 and peak < 150_000_000
+
+
 def test_collocations_of_a_few_texts(spark):
     rows = [("Big\tApple, big apple! big", "en")] * 15 + [("x y", None), (None, "en"), ("", "fr"), ("a\x0bb  c", "und")]
     docs = spark.createDataFrame(rows, "text string, lang string").withColumns({"code": F.lit(1), "word": F.lit(2), "n": F.lit(3)})
