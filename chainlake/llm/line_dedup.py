@@ -106,5 +106,5 @@ def dedup(
 
 def html_lines(html: Column) -> Column:
     """Text of a page, one line for each run between tags; scripts, styles and comments go."""
-    bare = F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", "\n")
+    bare = F.regexp_replace(html, r"(?is)<(?:script[^>]*>.*?</script>|style[^>]*>.*?</style>|!--.*?-->)", "\n")
     return F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?s)<[^>]*>", "\n"), r"[ \t]*\n[ \t\n]*", "\n"))

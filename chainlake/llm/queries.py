@@ -12,6 +12,7 @@ from chainlake.llm import (
     whitening, winnowing,
 )
 from chainlake.llm.common import crc_fold, digest, sha256_of
+from chainlake.session import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +43,8 @@ def op2_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", line_dedup.html_lines(F.col("html")).alias("text"))
+    # Lines are read three times, and their patterns cost far more than the rest.
+    pages = materialize(pages, "page-lines")
     host = F.regexp_extract("url", "^[a-zA-Z]+://([^/?#:]+)", 1)
     found = line_dedup.dedup(pages, host, counts=True)
     return found.select(

@@ -1,5 +1,8 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, clashing columns."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,6 +127,28 @@ def test_line_dedup_cases(spark):
     assert out[3] == "own line 3\n" and out[8] is None and out[9] == "menu\nx" and out[10] == "menu"
 
 
+def test_patterns_of_pages_run_once(spark, sf_dir):
+    """The passes over the lines read what the patterns wrote, not the pages again."""
+    found = queries.op3_line_dedup(spark, sf_dir)
+    assert found.inputFiles() and not any("pages.parquet" in f for f in found.inputFiles())
+    assert found.count() == queries.table(spark, sf_dir, "pages").count()
+
+
+def test_lines_of_pages_are_those_of_the_patterns(spark):
+    dice = random.Random(5)
+    parts = ["<script", "<SCRIPT>", "</script>", "<style a>", "<style", "</Style>", "<!--", "-->", "<!-->", "<p>", "<", ">",
+             " ", "\t", "\n", "text", "\x01", "\x01\x02", "İ", "𝔘"]
+    pages = ["".join(dice.choice(parts) for _ in range(dice.randrange(1, 30))) for _ in range(3000)] + ["", None]
+    df = spark.createDataFrame(list(enumerate(pages)), "i int, html string")
+    out = {r.i: r.t for r in df.select("i", line_dedup.html_lines(F.col("html")).alias("t")).collect()}
+    for i, page in enumerate(pages):
+        if page is None:
+            assert out[i] is None
+            continue
+        bare = re.sub(r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", "\n", page)
+        assert out[i] == re.sub(r"[ \t]*\n[ \t\n]*", "\n", re.sub(r"<[^>]*>", "\n", bare)).strip(" ")
+
+
 @pytest.mark.parametrize("number", range(len(corpus_pipeline.STAGES)))
 def test_stages(docs, spark, sf_dir, number):
     name, stage = corpus_pipeline.STAGES[number]
