@@ -15,6 +15,8 @@ their own. Other columns are kept, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,17 @@ MIN_PAGES = 5
 #: picks a shuffle join.
 BROADCAST_HASHES = 500_000
 BROADCAST_CHARS = 16_000_000
+#: Bytes of a page, and openers of a longer one, that can't cost much even if nothing closes them.
+SHORT_PAGE = 8_000
+FEW_OPENERS = 32
+_UNSEEN = r"(?is)<(?:script[^>]*>.*?</script>|style[^>]*>.*?</style>|!--.*?-->)"
+_OPENER = r"(?i)<(?:script|style|!--)"
+_TAG = r"<[^>]*>"
+_BLANKS = r"[ \t]*\n[ \t\n]*"
+#: The same matches, with no run of blanks looked at again from each of its blanks.
+_BLANKS_ONCE = r"(?<![ \t])[ \t]*+\n[ \t\n]*+"
+#: The mark of an opener that nothing closes, and what a U+0001 of the page becomes beside such marks.
+_MARK, _OWN = "\x01\x03", "\x01\x02"
 
 
 def lines_of(text: Column) -> Column:
@@ -104,7 +117,44 @@ def dedup(
     return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in pages.columns], *more)
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _openers_set_apart(page: Column) -> Column:
+    """The page with a mark in every opener of a script, style or comment that nothing closes.
+
+    A pattern that meets such an opener looks for its end in all the rest of the page, again for each.
+    """
+    for opener, closer, inner in (("script", "</script>", ".*>"), ("style", "</style>", ".*>"), ("!--", "-->", ".*")):
+
+        def set_apart(page: Column) -> Column:
+            # What can be closed begins before the last closer, and a tag has its own end before it.
+            head = F.regexp_extract(F.regexp_extract(page, rf"(?is)\A(.*){closer}", 1), rf"(?s)\A({inner})", 1)
+            tail = lambda h: F.substr(page, F.length(h) + 1)
+            return _with(head, lambda h: F.concat(h, F.regexp_replace(tail(h), f"(?i)<(?={opener})", f"<{_MARK}")))
+
+        page = _with(page, set_apart)
+    return page
+
+
+def _without_tags(page: Column) -> Column:
+    # After the last end of a tag there is none to look for.
+    tail = F.substring_index(page, ">", -1)
+    head = F.substr(page, F.lit(1), F.length(page) - F.length(tail))
+    return F.concat(F.regexp_replace(head, _TAG, "\n"), tail)
+
+
 def html_lines(html: Column) -> Column:
-    """Text of a page, one line for each run between tags; scripts, styles and comments go."""
-    bare = F.regexp_replace(html, r"(?is)<(?:script[^>]*>.*?</script>|style[^>]*>.*?</style>|!--.*?-->)", "\n")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?s)<[^>]*>", "\n"), r"[ \t]*\n[ \t\n]*", "\n"))
+    """Text of a page, one line for each run between tags; scripts, styles and comments go.
+
+    Time is in proportion to a page of over ``SHORT_PAGE`` bytes; it takes more passes for that, with the same text.
+    """
+    short = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, _UNSEEN, "\n"), _TAG, "\n"), _BLANKS, "\n")
+    many = F.regexp_count(html, F.lit(_OPENER)) > FEW_OPENERS
+    marked = F.when(many, _openers_set_apart(F.replace(html, F.lit("\x01"), F.lit(_OWN)))).otherwise(html)
+    bare = _with(F.regexp_replace(marked, _UNSEEN, "\n"), _without_tags)
+    unmarked = F.replace(F.replace(bare, F.lit(_MARK), F.lit("")), F.lit(_OWN), F.lit("\x01"))
+    long = F.regexp_replace(F.when(many, unmarked).otherwise(bare), _BLANKS_ONCE, "\n")
+    return F.trim(F.when(F.octet_length(html) > SHORT_PAGE, long).otherwise(short))

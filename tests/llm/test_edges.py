@@ -134,10 +134,13 @@ def test_patterns_of_pages_run_once(spark, sf_dir):
     assert found.count() == queries.table(spark, sf_dir, "pages").count()
 
 
-def test_lines_of_pages_are_those_of_the_patterns(spark):
+@pytest.mark.parametrize("short, few", [(8_000, 32), (0, -1), (0, 3), (0, 1_000)])
+def test_lines_of_pages_are_those_of_the_patterns(spark, monkeypatch, short, few):
+    monkeypatch.setattr(line_dedup, "SHORT_PAGE", short)
+    monkeypatch.setattr(line_dedup, "FEW_OPENERS", few)
     dice = random.Random(5)
     parts = ["<script", "<SCRIPT>", "</script>", "<style a>", "<style", "</Style>", "<!--", "-->", "<!-->", "<p>", "<", ">",
-             " ", "\t", "\n", "text", "\x01", "\x01\x02", "İ", "𝔘"]
+             " ", "\t", "\n", "text", "\x01", "\x01\x02", "\x01\x03", "İ", "𝔘"]
     pages = ["".join(dice.choice(parts) for _ in range(dice.randrange(1, 30))) for _ in range(3000)] + ["", None]
     df = spark.createDataFrame(list(enumerate(pages)), "i int, html string")
     out = {r.i: r.t for r in df.select("i", line_dedup.html_lines(F.col("html")).alias("t")).collect()}
