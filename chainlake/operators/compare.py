@@ -13,6 +13,7 @@ from chainlake.operators.events import is_projectable, observed_members, parse_d
 from chainlake.operators.fold import ordered_fold
 from chainlake.operators.scan import BUCKET_ROWS, bucket_of, dense_ordinal, longest_key
 from chainlake.schemas import DEPLOYMENT_CHAIN, ZERO_HASH
+from chainlake.session import materialize
 
 
 def compare_heads(heads: DataFrame, mode: str = "code") -> DataFrame:
@@ -111,6 +112,8 @@ def process2(
     projected = with_canonical(fields.filter(is_projectable()), {"prx_json": members}).select(
         "index", "prx_json"
     )
+    # Stored, because numbering reads the rows of a long chain twice and each reading would parse all texts again.
+    projected = materialize(projected, "projected", compression="zstd")
     read = prx.agg(F.count("*")).first()[0]
     numbered = dense_ordinal(
         projected, [], ["index"], bucket_of(F.col("index"), bucket_rows), "ordinal", read, bucket_rows

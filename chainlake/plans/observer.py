@@ -8,6 +8,7 @@ from chainlake.operators import changes, compare, events
 from chainlake.operators.chain import build_chains
 from chainlake.plans import fixtures as fx
 from chainlake.plans.registry import query
+from chainlake.session import materialize
 
 _PG_OP = {"view": "SELECT", "click": "UPDATE", "purchase": "INSERT", "signup": "TRUNCATE", "error": "DELETE"}
 _PG_ACTION = {"view": None, "click": "write", "purchase": "write", "signup": "delete", "error": "delete"}
@@ -203,8 +204,9 @@ def observer_chain(spark, sf_dir):
     """What a faithful observer of the access log's deployment chain would have written."""
 
     def build(s, d):
-        deployment = fx.chains(s, d).filter(F.col("chain_id") == "_deployment")
-        rows = events.project_to_observed(deployment, fx.SALT)
+        deployment = fx.deployment_chain(s, d)
+        # Stored, because the linking counts the rows first and the texts are parsed for it.
+        rows = materialize(events.project_to_observed(deployment, fx.SALT), "observed", **fx.STORED)
         return build_chains(
             rows.select(
                 F.lit("_deployment").alias("chain_id"),
@@ -234,7 +236,7 @@ sizes AS (SELECT count(*) AS n, (SELECT count(*) FROM dep) AS total FROM proj)
 )
 def process2_tail(spark, sf_dir):
     """The observer lags by five entries and writes some with other member order; nothing diverges."""
-    proxy = fx.chains(spark, sf_dir).filter(F.col("chain_id") == "_deployment")
+    proxy = fx.deployment_chain(spark, sf_dir)
     obs = observer_chain(spark, sf_dir)
     turned = F.regexp_replace("payload_json", r'^\{("action":"[^"]*"),(.*)\}$', r"{$2, $1}")
     obs = obs.withColumn("payload_json", F.when(F.col("index") % 7 == 0, turned).otherwise(F.col("payload_json")))
@@ -256,7 +258,7 @@ def process2_divergence(spark, sf_dir):
 
 
 def _altered(spark, sf_dir):
-    proxy = fx.chains(spark, sf_dir).filter(F.col("chain_id") == "_deployment")
+    proxy = fx.deployment_chain(spark, sf_dir)
     obs = observer_chain(spark, sf_dir)
     middle = obs.agg(F.floor(F.count("*") / 2)).first()[0]
     edited = F.replace("payload_json", F.lit('"resource":"'), F.lit('"resource":"x'))
@@ -274,7 +276,7 @@ def _altered(spark, sf_dir):
 )
 def process2_page(spark, sf_dir):
     """One page of at most 500 entries per side."""
-    proxy = fx.chains(spark, sf_dir).filter(F.col("chain_id") == "_deployment")
+    proxy = fx.deployment_chain(spark, sf_dir)
     out = compare.process2(proxy, observer_chain(spark, sf_dir), fx.SALT, limit=500)
     return out.select("divergent", "entries_verified", "cursor_prx", "cursor_obs", "tail_depth")
 
