@@ -7,15 +7,22 @@ position first. Memory is bounded by the trigger's batch size, which the source
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from chainlake.operators.limits import ALERT_FAILURES, STUCK_MS, bucket_step, replay_step
 
+#: Rows of a key that are sorted in memory, and rows that are handed on together.
+HELD_ROWS = 200_000
+PIECE_ROWS = 10_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -208,23 +215,90 @@ def stream_behaviour(connections: DataFrame, window_ms: int = 60_000) -> DataFra
     )
 
 
+def _in_order(rows: Iterator[pd.DataFrame], order: str, held: int | None = None) -> Iterator[pd.DataFrame]:
+    """The rows of a key sorted by ``order``, in pieces, holding about ``held`` rows at a time.
+
+    More rows than that are sorted in runs that wait in files of the task, and the runs are merged piece by piece.
+    """
+    held = held or HELD_ROWS
+    with tempfile.TemporaryDirectory() as folder:
+        runs: list[str] = []
+        waiting, size, schema = [], 0, None
+
+        def settle() -> pa.Table:
+            nonlocal waiting, size
+            table = pa.concat_tables(waiting).sort_by(order)
+            waiting, size = [], 0
+            return table
+
+        for pdf in rows:
+            if not len(pdf):
+                continue
+            table = pa.Table.from_pandas(pdf, schema=schema, preserve_index=False)
+            if schema is None:
+                # A column may hold nulls only at first.
+                schema = pa.schema([f.with_type(pa.string()) if pa.types.is_null(f.type) else f for f in table.schema]).remove_metadata()
+                table = pa.Table.from_pandas(pdf, schema=schema, preserve_index=False)
+            waiting.append(table)
+            size += len(table)
+            if size >= held:
+                runs.append(os.path.join(folder, str(len(runs))))
+                with pa.OSFile(runs[-1], "wb") as sink, pa.ipc.new_file(sink, schema) as writer:
+                    writer.write_table(settle(), max_chunksize=PIECE_ROWS)
+        last = [settle()] if waiting else []
+        if not runs:
+            yield from (piece.to_pandas() for table in last for piece in _pieces(table))
+            return
+        yield from (table.to_pandas() for table in _merged([_read_run(r) for r in runs] + [iter(_pieces(t)) for t in last], order))
+
+
+def _pieces(table: pa.Table) -> list[pa.Table]:
+    return [table.slice(i, PIECE_ROWS) for i in range(0, len(table), PIECE_ROWS)]
+
+
+def _read_run(path: str) -> Iterator[pa.Table]:
+    with pa.OSFile(path) as source, pa.ipc.open_file(source) as reader:
+        for i in range(reader.num_record_batches):
+            yield pa.Table.from_batches([reader.get_batch(i)])
+
+
+def _merged(runs: list[Iterator[pa.Table]], order: str) -> Iterator[pa.Table]:
+    """Merge sorted runs: what is not above the least last value of the pieces at hand is complete."""
+    heads = {i: piece for i, run in enumerate(runs) if (piece := next(run, None)) is not None}
+    while heads:
+        bound = min(piece.column(order)[-1].as_py() for piece in heads.values())
+        ready = []
+        for i, piece in list(heads.items()):
+            n = pc.sum(pc.less_equal(piece.column(order), bound)).as_py() or 0
+            ready.append(piece.slice(0, n))
+            rest = piece.slice(n)
+            if not len(rest):
+                rest = next(runs[i], None)
+            if rest is None:
+                del heads[i]
+            else:
+                heads[i] = rest
+        yield pa.concat_tables(ready).sort_by(order)
+
+
 class LastActor(_Processor):
-    """State: actor of the latest marker."""
+    """State: actor of the latest marker. A source may be all rows of a batch, so they are met piece by piece."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.actor = handle.getValueState("actor", "actor STRING")
 
     def handleInputRows(self, key, rows, timerValues):
-        pdf = _ordered(rows, "seq")
-        actor = self.actor.get()[0] if self.actor.exists() else None
-        seen = [actor] + pdf["marker_actor"].where(pdf["marker_actor"].notna(), None).tolist()
-        filled = pd.Series(seen, dtype="object").ffill()
-        if filled.iloc[-1] is not None:
-            self.actor.update((filled.iloc[-1],))
-        pdf = pdf.assign(actor=filled.iloc[1:].values)
-        pdf["actor"] = pdf["actor"].where(pdf["actor"].notna(), "observer:" + pdf["source"])
-        plain = pdf[pdf["marker_actor"].isna()]
-        yield plain[["seq", "source", "action", "resource", "scope", "timestamp", "actor"]]
+        before = actor = self.actor.get()[0] if self.actor.exists() else None
+        for pdf in _in_order(rows, "seq"):
+            seen = [actor] + pdf["marker_actor"].where(pdf["marker_actor"].notna(), None).tolist()
+            filled = pd.Series(seen, dtype="object").ffill()
+            actor = filled.iloc[-1]
+            pdf = pdf.assign(actor=filled.iloc[1:].values)
+            pdf["actor"] = pdf["actor"].where(pdf["actor"].notna(), "observer:" + pdf["source"])
+            plain = pdf[pdf["marker_actor"].isna()]
+            yield plain[["seq", "source", "action", "resource", "scope", "timestamp", "actor"]]
+        if actor is not None and actor != before:
+            self.actor.update((actor,))
 
 
 def stream_attribute_actor(changes: DataFrame, by: str | None = None) -> DataFrame:

@@ -66,3 +66,54 @@ def test_short_way_to_canonical_text(text):
             return type(exc), str(exc)
 
     assert result(lambda: canon.canonical_json(text, canon.simple_codec())) == result(lambda: canon.canonical_text(json.loads(text)))
+
+
+class _Handle:
+    """State of one key, as the store keeps it."""
+
+    def __init__(self):
+        self.value, self.updates = None, 0
+
+    def getValueState(self, *_):  # noqa: N802
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value, self.updates = value, self.updates + 1
+
+
+@pytest.mark.parametrize("held", [40, 100_000])
+def test_actor_stream_holds_pieces_of_a_source(monkeypatch, held):
+    """All rows of a source were one pandas frame, and so was what they gave."""
+    import random
+
+    import pandas as pd
+
+    from chainlake.streaming import stateful
+
+    monkeypatch.setattr(stateful, "HELD_ROWS", held)
+    monkeypatch.setattr(stateful, "PIECE_ROWS", 10)
+    order = list(range(1000))
+    random.Random(1).shuffle(order)
+    marker = {i: f"m{i}" for i in range(50, 1000, 90)}
+    rows = [(i, "pg", "write", "r", None if i < 990 else "s", i, marker.get(i)) for i in order]
+    names = ["seq", "source", "action", "resource", "scope", "timestamp", "marker_actor"]
+    chunks = (pd.DataFrame(rows[i : i + 25], columns=names) for i in range(0, 1000, 25))
+    handle, actors = _Handle(), stateful.LastActor()
+    actors.init(handle)
+    handle.value = ("early",)
+    out = list(actors.handleInputRows(("pg",), chunks, None))
+    want, actor = [], "early"
+    for i in range(1000):
+        actor = marker.get(i, actor)
+        if i not in marker:
+            want.append((i, actor))
+    got = pd.concat(out, ignore_index=True)
+    assert list(zip(got["seq"], got["actor"])) == want
+    assert got["scope"][got["seq"] >= 990].tolist() == ["s"] * 10 and got["scope"][got["seq"] < 990].isna().all()
+    assert handle.value == (marker[950],) and len(out) > 5 and max(map(len, out)) < 400
