@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from chainlake.session import materialize
 
 BUCKET_ROWS = 1_000_000
+#: Keys whose rows are broadcast to the rows of a larger table.
+BROADCAST_KEYS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -45,6 +47,16 @@ def by_rank(df: DataFrame, keys: list[str], order: list[str], bucket_rows: int =
     return materialize(ranged.withColumn("__bucket", F.spark_partition_id().cast("bigint")), "ranges")
 
 
+def beside_rows(keyed: DataFrame) -> DataFrame:
+    """A stored table of one row a key, to be joined with rows by that key.
+
+    It is broadcast while it has few keys, whatever its bytes, so that the rows, with their payloads, are neither
+    shuffled nor put out of order; not where broadcasts are switched off.
+    """
+    off = keyed.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").startswith("-")
+    return keyed if off or keyed.count() > BROADCAST_KEYS else F.broadcast(keyed)
+
+
 def longest_key(df: DataFrame, keys: list[str]) -> int:
     """Row count of the largest key; reads only the key columns."""
     return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0

@@ -232,17 +232,19 @@ STRETCH = 20_000
 
 def tampered_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chains with one kind of damage each, at the middle index, by chain id."""
+    from chainlake.operators.scan import beside_rows
+    from chainlake.session import materialize
+
     entries = chains(spark, sf_dir)
-    counts = entries.groupBy("chain_id").agg(F.floor(F.count("*") / 2).alias("__m"))
-    # The middle is looked for in its stretch of the chain only, so that no task gets a whole long chain;
-    # sorted again, because a shuffled join scatters the entries.
+    counts = materialize(entries.groupBy("chain_id").agg(F.floor(F.count("*") / 2).alias("__m")), "middles")
+    # The middle is looked for in its stretch of the chain only, so that no task of a shuffled join gets a whole long
+    # chain; sorted again then, because such a join scatters the entries.
     stretch = lambda c: F.floor(F.col(c) / STRETCH).alias("__stretch")
-    rows = (
-        entries.select("*", stretch("index"))
-        .join(counts.select("*", stretch("__m")), ["chain_id", "__stretch"], "left")
-        .sortWithinPartitions("chain_id", "index")
-        .withColumn("__k", F.when(F.col("index") == F.col("__m"), tamper_kind()).otherwise(0))
-    )
+    middles = beside_rows(counts)
+    shuffled = middles is counts
+    rows = entries.select("*", stretch("index")).join(middles.select("*", stretch("__m")), ["chain_id", "__stretch"], "left")
+    rows = rows.sortWithinPartitions("chain_id", "index") if shuffled else rows
+    rows = rows.withColumn("__k", F.when(F.col("index") == F.col("__m"), tamper_kind()).otherwise(0))
     rows = rows.filter("__k != 3").withColumns(
         {
             "payload_json": F.when(

@@ -117,3 +117,23 @@ def test_actor_stream_holds_pieces_of_a_source(monkeypatch, held):
     assert list(zip(got["seq"], got["actor"])) == want
     assert got["scope"][got["seq"] >= 990].tolist() == ["s"] * 10 and got["scope"][got["seq"] < 990].isna().all()
     assert handle.value == (marker[950],) and len(out) > 5 and max(map(len, out)) < 400
+
+
+def test_truncation_shuffles_no_payloads(spark, sf_dir):
+    """Each of its readings sent all entries with their payloads through a shuffle or two."""
+    from chainlake.plans import fixtures as fx
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        rows = fx.tampered_chains(spark, sf_dir)
+        kept = chain.truncate_to_valid(rows)
+        text = kept._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
+        assert text.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in text
+        verdicts = chain.verify_chains(kept, check_type=False)
+        assert verdicts.filter("NOT ok").isEmpty()
+        valid = chain.last_valid(rows).filter("valid_prefix > 0").select("chain_id", "valid_prefix")
+        assert verdicts.select("chain_id", "entries").exceptAll(valid).isEmpty()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
