@@ -53,6 +53,7 @@ def overwrite_partitions(df: DataFrame, path: str, *partitions: str) -> None:
     (
         df.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
+        .option("compression", "zstd")
         .partitionBy(*partitions)
         .parquet(path)
     )
@@ -212,7 +213,7 @@ def compact(spark: SparkSession, path: str, runs: int = COMPACT_RUNS) -> list[in
     return full
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
+def delete(spark: SparkSession, folder: str) -> None:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
@@ -227,11 +228,11 @@ def vacuum(spark: SparkSession, path: str) -> list[tuple[int, int]]:
     for table, schema in (("entries", CHAIN_ENTRY), ("heads", _HEAD)):
         for r in read_or_empty(spark, f"{path}/{table}", schema + _LAYOUT).select("bucket", "run").distinct().collect():
             if r["run"] not in now.live.get(r["bucket"], []):
-                _delete(spark, f"{path}/{table}/bucket={r['bucket']}/run={r['run']}")
+                delete(spark, f"{path}/{table}/bucket={r['bucket']}/run={r['run']}")
                 gone.add((r["bucket"], r["run"]))
     old = read_or_empty(spark, f"{path}/manifest", _MANIFEST).filter(F.col("version") < now.version)
     for r in old.select("version").distinct().collect():
-        _delete(spark, f"{path}/manifest/version={r['version']}")
+        delete(spark, f"{path}/manifest/version={r['version']}")
     return sorted(gone)
 
 

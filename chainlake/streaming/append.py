@@ -74,8 +74,12 @@ def append_batch(events: DataFrame, batch_id: int, path: str, salt: str) -> None
         .filter((F.col("day") >= oldest - RETENTION_DAYS) & (F.col("batch_id") != batch_id))
         .select("event_id")
     )
-    # Used by the jobs below; a lost executor recomputes its part from the source.
-    fresh = batch.join(seen, "event_id", "left_anti").persist()
+    # Used by the jobs below. Stored compressed and deleted at the end: a cache would spill more, and a lost executor
+    # would read its part of the source again.
+    kept = new_path(spark, "fresh")
+    fresh = batch.join(seen, "event_id", "left_anti")
+    fresh.write.option("compression", "zstd").parquet(kept)
+    fresh = spark.read.schema(fresh.schema).parquet(kept)
     try:
         # Ids first: a batch that breaks off before its commit ignores its own ids when it runs again.
         ids = fresh.select("event_id", F.lit(batch_id).cast("bigint").alias("batch_id"), F.col("__day").alias("day"))
@@ -83,7 +87,7 @@ def append_batch(events: DataFrame, batch_id: int, path: str, salt: str) -> None
         payloads, longest = _payloads(fresh.drop("__day"), salt)
         chain_store.append(payloads, path, longest=longest, batch=batch_id)
     finally:
-        fresh.unpersist()
+        chain_store.delete(spark, kept)
 
 
 def stream_chain_append(events: DataFrame, path: str, salt: str, checkpoint: str, **trigger):

@@ -137,3 +137,24 @@ def test_truncation_shuffles_no_payloads(spark, sf_dir):
         assert verdicts.select("chain_id", "entries").exceptAll(valid).isEmpty()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_batches_are_not_cached(spark, sf_dir, tmp_path, monkeypatch):
+    """The events of a batch were cached, which spills them whole; what is stored instead goes at the end."""
+    import glob
+
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from chainlake.plans import fixtures as fx
+    from chainlake.session import shared_dir
+    from chainlake.streaming import append
+
+    def refuse(*_):
+        raise AssertionError("a batch was cached")
+
+    monkeypatch.setattr(DataFrame, "persist", refuse)
+    rows = fx.access_events(spark, sf_dir).filter("event_id < 50")
+    for _ in range(2):
+        append.append_batch(rows.unionByName(rows), 0, str(tmp_path), fx.SALT)
+    assert append.appended_entries(spark, str(tmp_path)).filter("chain_id = '_deployment'").count() == 50
+    assert not glob.glob(f"{shared_dir(spark).removeprefix('file://')}/chainlake/*/fresh-*")
